@@ -1,0 +1,185 @@
+"""Sequence similarity, edit rates and the pair score built on them."""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
+
+from earwitness.functions.text import agreement_tokens, compact_form, eval_form, let, nfkc_casefold, words
+
+
+def _longest_common(a: str, b: str, limit: int) -> tuple[int, int, int]:
+    """Longest common substring, earliest in ``a``, then earliest in ``b``.
+
+    Whether a common substring of length L exists is monotone in L, so the
+    length is found by galloping and bisection over sets of slices.
+    """
+    def probe(length: int) -> int:
+        seen = {b[j:j + length] for j in range(len(b) - length + 1)}
+        for i in range(len(a) - length + 1):
+            if a[i:i + length] in seen:
+                return i
+        return -1
+
+    limit = min(limit, len(a), len(b))
+    best, at, step = 0, -1, 1
+    while step <= limit:
+        found = probe(step)
+        if found < 0:
+            break
+        best, at = step, found
+        step *= 2
+    low, high = best, min(step, limit + 1)
+    while high - low > 1:
+        middle = (low + high) // 2
+        found = probe(middle)
+        if found < 0:
+            high = middle
+        else:
+            low, at = middle, found
+    if not low:
+        return 0, 0, 0
+    return low, at, b.find(a[at:at + low])
+
+
+def matched_length(a: str, b: str) -> int:
+    """Total length of the recursively found longest matching blocks."""
+    if a == b:
+        return len(a)
+    total, stack = 0, [(a, b, len(a))]
+    while stack:
+        left, right, limit = stack.pop()
+        if not left or not right:
+            continue
+        size, i, j = _longest_common(left, right, limit)
+        if not size:
+            continue
+        total += size
+        stack.append((left[:i], right[:j], size))
+        stack.append((left[i + size:], right[j + size:], size))
+    return total
+
+
+def ratio(a: str, b: str) -> float:
+    """2*M/T over matching blocks; order of arguments matters, as ties break on ``a``."""
+    if not a and not b:
+        return 1.0
+    if not a or not b:
+        return 0.0
+    return 2.0 * matched_length(a, b) / (len(a) + len(b))
+
+
+def _as_symbols(left: list[str], right: list[str]) -> tuple[str, str]:
+    """Token lists as strings with one private symbol per distinct token."""
+    code: dict[str, str] = {}
+    for token in (*left, *right):
+        if token not in code:
+            code[token] = chr(0xF0000 + len(code)) if len(code) < 0xFFFE else chr(0x20000 + len(code))
+    return "".join(code[t] for t in left), "".join(code[t] for t in right)
+
+
+@F.pandas_udf(DoubleType())
+def seq_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
+    seen: dict[tuple[str, str], float] = {}
+    out = []
+    for a, b in zip(left, right):
+        if a is None or b is None:
+            out.append(None)
+            continue
+        if (a, b) not in seen:
+            seen[a, b] = ratio(a, b)
+        out.append(seen[a, b])
+    return pd.Series(out, dtype="float64")
+
+
+@F.pandas_udf(DoubleType())
+def seq_ratio_tokens(left: pd.Series, right: pd.Series) -> pd.Series:
+    seen: dict[tuple, float] = {}
+    out = []
+    for a, b in zip(left, right):
+        if a is None or b is None:
+            out.append(None)
+            continue
+        key = (tuple(a), tuple(b))
+        if key not in seen:
+            seen[key] = ratio(*_as_symbols(list(a), list(b)))
+        out.append(seen[key])
+    return pd.Series(out, dtype="float64")
+
+
+def folded_forms(text: Column) -> Column:
+    """What pair scoring needs of one text; computed once per candidate, not once per pair."""
+    folded = nfkc_casefold(text)
+    return F.struct(compact_form(folded).alias("compact"), agreement_tokens(folded).alias("tokens"))
+
+
+def length_ratio(left: Column, right: Column) -> Column:
+    a, b = F.char_length(left), F.char_length(right)
+    longest = F.greatest(a, b)
+    return F.when(longest == 0, F.lit(1.0)).otherwise(F.try_divide(F.least(a, b).cast("double"), longest.cast("double")))
+
+
+def pair_scores(left: Column, right: Column) -> Column:
+    """Scores of two ``folded_forms``; NULL forms give NULL scores."""
+    char = seq_ratio(left["compact"], right["compact"])
+    token = seq_ratio_tokens(left["tokens"], right["tokens"])
+    length = length_ratio(left["compact"], right["compact"])
+    derived = F.lit(0.60) * char + F.lit(0.30) * token + F.lit(0.10) * length
+    return F.struct(
+        F.bround(char, 6).alias("character_similarity"),
+        F.bround(token, 6).alias("token_similarity"),
+        F.bround(length, 6).alias("length_ratio"),
+        F.bround(derived, 6).alias("derived_similarity"),
+    )
+
+
+def _symbols(tokens: Column, alphabet: Column) -> Column:
+    """One supplementary-plane code point per distinct word (surrogate pair, so a million fit)."""
+    def encode(word: Column) -> Column:
+        n = F.array_position(alphabet, word).cast("int") - 1
+        high = F.lit(0xD800) + F.shiftright(n, 10)
+        low = F.lit(0xDC00) + n.bitwiseAND(0x3FF)
+        return F.concat(F.hex(high), F.hex(low))
+
+    return F.decode(F.unhex(F.array_join(F.transform(tokens, encode), "")), "UTF-16BE")
+
+
+def _rate(distance: Column, size: Column, other_size: Column) -> Column:
+    return F.when(size == 0, F.when(other_size == 0, F.lit(0.0)).otherwise(F.lit(1.0))).otherwise(
+        F.try_divide(distance.cast("double"), size.cast("double"))
+    )
+
+
+def _word_pair(reference: Column, hypothesis: Column) -> Column:
+    return F.struct(words(eval_form(reference)).alias("ref"), words(eval_form(hypothesis)).alias("hyp"))
+
+
+def _distance(pair: Column) -> Column:
+    return let(
+        F.array_distinct(F.concat(pair["ref"], pair["hyp"])),
+        lambda alphabet: F.levenshtein(_symbols(pair["ref"], alphabet), _symbols(pair["hyp"], alphabet)),
+    )
+
+
+def word_distance(reference: Column, hypothesis: Column) -> Column:
+    return let(_word_pair(reference, hypothesis), _distance)
+
+
+def word_error_rate(reference: Column, hypothesis: Column) -> Column:
+    return let(
+        _word_pair(reference, hypothesis),
+        lambda pair: _rate(_distance(pair), F.size(pair["ref"]), F.size(pair["hyp"])),
+    )
+
+
+def character_error_rate(reference: Column, hypothesis: Column) -> Column:
+    pair = F.struct(
+        F.replace(eval_form(reference), F.lit(" "), F.lit("")).alias("ref"),
+        F.replace(eval_form(hypothesis), F.lit(" "), F.lit("")).alias("hyp"),
+    )
+    return let(
+        pair,
+        lambda p: _rate(F.levenshtein(p["ref"], p["hyp"]), F.char_length(p["ref"]), F.char_length(p["hyp"])),
+    )
