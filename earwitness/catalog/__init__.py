@@ -1 +1,23 @@
+"""All registered queries; each module registers its own on import."""
 
+from __future__ import annotations
+
+import importlib
+import pkgutil
+
+from earwitness.catalog.registry import ORACLES, QUERIES
+
+
+def _load() -> None:
+    for module in sorted(m.name for m in pkgutil.iter_modules(__path__)):
+        importlib.import_module(f"{__name__}.{module}")
+
+
+def all_queries():
+    _load()
+    return dict(QUERIES)
+
+
+def all_oracles():
+    _load()
+    return dict(ORACLES)
