@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from earwitness.operators.fold import sorted_groups
 from earwitness.operators.intervals import islands
 from earwitness.operators.scan import scan, slice_of
-from earwitness.session import cut_lineage
+from earwitness.session import cut_lineage, spread
 
 SLICE_SEC = 600.0
 BOUND_TOLERANCE = 1e-6
@@ -114,31 +114,39 @@ def bound_errors(start: Column, end: Column, duration: Column) -> Column:
 
 
 def _assign(island: pd.DataFrame) -> pd.DataFrame:
-    """Place every candidate once: best positive overlap, then nearest midpoint, then oldest region."""
-    island = island.sort_values(["provider_ord", "start_sec", "end_sec", "candidate_id"], kind="stable")
-    n = len(island)
-    low, high = np.empty(n), np.empty(n)
-    holder = np.full(n, -1, dtype="int64")
-    placed = np.empty(n, dtype="int64")
-    count = 0
-    for i, (p, s, e) in enumerate(zip(island["provider_ord"], island["start_sec"], island["end_sec"])):
-        overlap = np.minimum(high[:count], e) - np.maximum(low[:count], s)
-        open_to = np.flatnonzero((overlap > 0) & (holder[:count] != p))
-        if len(open_to):
-            open_to = open_to[overlap[open_to] == overlap[open_to].max()]
-            distance = np.abs((s + e) / 2.0 - (low[open_to] + high[open_to]) / 2.0)
-            at = open_to[distance == distance.min()][0]
-            low[at], high[at] = min(low[at], s), max(high[at], e)
+    """Place every candidate once: best positive overlap, then nearest midpoint, then oldest region.
+
+    Rows arrive by provider, then start, end, id. While one provider is placed, a
+    region it has joined is closed to it and the others keep their bounds, so each
+    provider is one sweep over regions in time order.
+    """
+    low: list[float] = []
+    high: list[float] = []
+    anchor: list[str] = []
+    placed: list[int] = []
+    provider, waiting, live = None, [], []
+    for p, s, e, name in zip(island["provider_ord"], island["start_sec"], island["end_sec"], island["candidate_id"]):
+        if p != provider:
+            provider, live = p, []
+            waiting = sorted(range(len(low)), key=low.__getitem__, reverse=True)
+        while waiting and low[waiting[-1]] < e:
+            live.append(waiting.pop())
+        live = [i for i in live if high[i] > s]
+        middle, best, at = (s + e) / 2.0, None, len(low)
+        for i in live:
+            overlap = min(high[i], e) - max(low[i], s)
+            rank = (overlap, -abs(middle - (low[i] + high[i]) / 2.0), -i)
+            if overlap > 0 and (best is None or rank > best):
+                best, at = rank, i
+        if best is None:
+            low.append(s), high.append(e), anchor.append(name)
         else:
-            at = count
-            low[at], high[at] = s, e
-            count += 1
-        holder[at] = p
-        placed[i] = at
-    out = island.assign(region_start_sec=low[placed], region_end_sec=high[placed])
-    anchors = pd.Series(island["candidate_id"].to_numpy()).groupby(placed).min()
-    out["region_anchor"] = anchors.loc[placed].to_numpy()
-    return out
+            low[at], high[at], anchor[at] = min(low[at], s), max(high[at], e), min(anchor[at], name)
+            live.remove(at)
+        placed.append(at)
+    return island.assign(
+        region_start_sec=[low[i] for i in placed], region_end_sec=[high[i] for i in placed],
+        region_anchor=[anchor[i] for i in placed])
 
 
 def align(candidates: DataFrame, slice_sec: float = SLICE_SEC) -> DataFrame:
@@ -160,7 +168,8 @@ def align(candidates: DataFrame, slice_sec: float = SLICE_SEC) -> DataFrame:
         StructField("region_start_sec", DoubleType()), StructField("region_end_sec", DoubleType()),
         StructField("region_anchor", StringType()),
     ])
-    assigned = cut_lineage(cut.groupBy("job_id", "island").applyInPandas(_assign, schema).drop("island"))
+    assigned = cut_lineage(sorted_groups(
+        cut, ["job_id", "island"], ["provider_ord", *order], _assign, schema).drop("island"))
     first = F.col("candidate_id") == F.col("region_anchor")
     numbered = scan(
         assigned, ["job_id"],
@@ -182,13 +191,11 @@ def gather_regions(long: DataFrame, keys: Sequence[str], provider_order: Sequenc
     """One row per region with a provider map; absent providers get a ``missing`` placeholder.
 
     A region holds at most one candidate per provider, so the collected list is
-    bounded by the registry. The fixed partition count keeps the scoring that
-    follows spread over all cores instead of being coalesced by size.
+    bounded by the registry. ``spread`` keeps the scoring that follows on all cores.
     """
-    n = int(long.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     present = F.map_from_entries(F.collect_list(F.struct(
         "provider", F.struct(F.col("missing"), *[F.col(f) for f in fields]))))
-    regions = long.repartition(n, *keys).groupBy(*keys).agg(present.alias("candidates"))
+    regions = spread(long, *keys).groupBy(*keys).agg(present.alias("candidates"))
     blanks = F.map_from_arrays(
         F.array(*[F.lit(p) for p in provider_order]),
         F.array_repeat(

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from earwitness.functions.hashing import canonical_json, sha256_text
+from earwitness.functions.text import let
 from earwitness.operators.latest import latest
 from earwitness.operators.scan import scan
 
@@ -31,8 +32,10 @@ CODE = r"^[A-Za-z0-9][A-Za-z0-9._-]{0,63}$"
 
 def input_errors(raw: Column) -> Column:
     """Every contract violation of one JSON input, read as VARIANT so types are checked, not coerced."""
-    v = F.try_parse_json(raw)
+    return let(F.struct(raw.alias("raw"), F.try_parse_json(raw).alias("v")), lambda x: _input_errors(x["raw"], x["v"]))
 
+
+def _input_errors(raw: Column, v: Column) -> Column:
     def kind(path: str) -> Column:
         return F.coalesce(F.schema_of_variant(F.try_variant_get(v, path, "variant")), F.lit("VOID"))
 

@@ -7,13 +7,14 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from earwitness.functions.hashing import candidate_id
 from earwitness.functions.similarity import ratio
 from earwitness.functions.text import is_blank, lexical_form, speaker_line, strip, word_count
 from earwitness.operators.fold import Fold, sorted_fold
 from earwitness.operators.scan import scan, slice_of
+from earwitness.session import spread
 
 CHUNK = ["job_id", "chunk_key"]
 IDENTITY = ("chunk_filename", "chunk_sha256", "provider", "provider_code", "model", "run_id", "response_format")
@@ -97,19 +98,19 @@ def chunk_records(payloads: DataFrame) -> DataFrame:
         F.coalesce("chunk_start_sec", F.lit(0.0)).alias("sort_start"))
 
 
-def _least_ratio(block: pd.DataFrame) -> pd.DataFrame:
-    """Smallest similarity between the two halves of one block pair (or within one block)."""
-    left = block[block["side"] != 1].sort_values("first_ordinal")
-    right = block[block["side"] != 0].sort_values("first_ordinal")
-    least, within = None, bool((block["side"] == 2).all())
-    for a_no, a in zip(left["first_ordinal"], left["form"]):
-        for b_no, b in zip(right["first_ordinal"], right["form"]):
-            if a_no == b_no or (within and b_no < a_no):
-                continue
-            value = ratio(a, b) if a_no < b_no else ratio(b, a)
-            least = value if least is None else min(least, value)
-    head = block.iloc[0]
-    return pd.DataFrame({"job_id": [head["job_id"]], "chunk_key": [head["chunk_key"]], "least": [least]})
+@F.pandas_udf(DoubleType())
+def _least_ratio(blocks: pd.Series) -> pd.Series:
+    """Smallest ratio between the sides of one block pair, or within one block (side 2)."""
+    def least(items) -> float | None:
+        left = [(x["first_ordinal"], x["form"]) for x in items if x["side"] != 1]
+        right = [(x["first_ordinal"], x["form"]) for x in items if x["side"] != 0]
+        within = left == right
+        found = [
+            ratio(a, b) if i < j else ratio(b, a)
+            for i, a in left for j, b in right if i != j and not (within and j < i)]
+        return min(found, default=None)
+
+    return blocks.map(least)
 
 
 BLOCK = 64
@@ -131,10 +132,9 @@ def least_similarity(forms: DataFrame) -> DataFrame:
     met = placed.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         *CHUNK, "form", "first_ordinal", F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi"),
         F.when(F.col("b") == F.col("o"), 2).when(F.col("b") < F.col("o"), 0).otherwise(1).alias("side"))
-    schema = StructType([
-        StructField("job_id", forms.schema["job_id"].dataType), StructField("chunk_key", StringType()),
-        *StructType.fromDDL("least double").fields])
-    parts = met.groupBy(*CHUNK, "lo", "hi").applyInPandas(_least_ratio, schema)
+    pairs = spread(met, *CHUNK, "lo", "hi").groupBy(*CHUNK, "lo", "hi").agg(
+        F.collect_list(F.struct("side", "first_ordinal", "form")).alias("items"))
+    parts = pairs.select(*CHUNK, _least_ratio("items").alias("least"))
     return parts.groupBy(*CHUNK).agg(F.min("least").alias("least_ratio"))
 
 

@@ -39,3 +39,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         shared = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-ckpt-", dir="/tmp"))
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition on ``keys`` into exactly ``spark.sql.shuffle.partitions`` parts.
+
+    AQE merges small shuffle partitions by size; before work that is heavy per
+    byte (Python scoring, folds) that would leave cores idle. An explicit count
+    is kept as it is.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
