@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from earwitness.catalog.registry import query
+from earwitness.functions.numbers import round_exact_sql
 from earwitness.operators import pilot
 from earwitness.operators.scan import scan, slice_of
 from earwitness.sources import tables as t
@@ -69,11 +70,11 @@ def chain_verify(spark, sf):
 
 
 def _pct(a: str, b: str) -> str:
-    return f"CASE WHEN {b} > 0 THEN round_even(({a})::DOUBLE / ({b})::DOUBLE * 100.0::DOUBLE, 3) END"
+    return f"CASE WHEN {b} > 0 THEN {round_exact_sql(f'({a})::DOUBLE / ({b})::DOUBLE * 100.0::DOUBLE', 3)} END"
 
 
 def _hour(a: str, h: str) -> str:
-    return f"CASE WHEN {h} > 0 THEN round_even(({a})::DOUBLE / ({h})::DOUBLE, 6) END"
+    return f"CASE WHEN {h} > 0 THEN {round_exact_sql(f'({a})::DOUBLE / ({h})::DOUBLE', 6)} END"
 
 
 OUTCOMES_SQL = t.EVENTS_SQL + """,
@@ -86,8 +87,8 @@ od AS (SELECT *, provider + labor + 1.0::DOUBLE AS delivery FROM oc)
 
 @query("pilot_job_metrics", sql=f"""
 WITH {OUTCOMES_SQL}
-SELECT job_id, seq, round_even(hours, 9) AS audio_hours, {_pct('corr', 'segs')} AS corrections_per_100_segments, {_hour('k', 'hours')} AS review_minutes_per_audio_hour,
-  round_even(delivery, 6) AS total_delivery_cost_usd, round_even({_hour('delivery', 'hours')}, 4) AS cost_per_reviewed_audio_hour_usd, round_even(revenue - delivery, 6) AS gross_margin_usd,
+SELECT job_id, seq, {round_exact_sql('hours', 9)} AS audio_hours, {_pct('corr', 'segs')} AS corrections_per_100_segments, {_hour('k', 'hours')} AS review_minutes_per_audio_hour,
+  {round_exact_sql('delivery', 6)} AS total_delivery_cost_usd, {_hour('delivery', 'hours')} AS cost_per_reviewed_audio_hour_usd, {round_exact_sql('revenue - delivery', 6)} AS gross_margin_usd,
   {_pct('revenue - delivery', 'revenue')} AS gross_margin_percent, {_pct('k // 2', 'k')} AS dialect_reference_accuracy_percent,
   {_pct('k // 9', 'k')} AS speaker_attribution_error_percent, {_hour('k // 20', 'hours')} AS omission_events_per_audio_hour, ta - tb AS trust_change
 FROM od
@@ -95,7 +96,7 @@ FROM od
 def pilot_job_metrics(spark, sf):
     return pilot.job_metrics(outcomes(spark, sf)).select(
         "job_id", "seq", "audio_hours", "corrections_per_100_segments", "review_minutes_per_audio_hour", "total_delivery_cost_usd",
-        F.bround("cost_per_reviewed_audio_hour_usd", 4).alias("cost_per_reviewed_audio_hour_usd"), "gross_margin_usd", "gross_margin_percent",
+        "cost_per_reviewed_audio_hour_usd", "gross_margin_usd", "gross_margin_percent",
         "dialect_reference_accuracy_percent", "speaker_attribution_error_percent", "omission_events_per_audio_hour", "trust_change")
 
 

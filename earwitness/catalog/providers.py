@@ -153,13 +153,13 @@ def chunk_matched_inputs(spark, sf):
 @query("proposals_applied", sql=f"""
 WITH {t.SEGMENTS_SQL}
 SELECT job_id, format('reconcile-chunk-{{:05d}}', ord + 1) AS window_id, CASE WHEN length(text) > 900 THEN 'AMBER' ELSE 'GREEN' END AS derived_status,
-  CASE WHEN length(text) <= 900 THEN upper(text) END AS final_text FROM segments WHERE speaker <> 'system' AND length(text) >= 60
+  CASE WHEN length(text) <= 900 THEN 'draft: ' || text END AS final_text FROM segments WHERE speaker <> 'system' AND length(text) >= 60
 """)
 def proposals_applied(spark, sf):
     good, _ = _inputs(spark, sf)
     n = F.char_length("text_alpha")
     proposals = good.select(
-        "job_id", "window_id", "input_sha256", F.upper("text_alpha").alias("proposed_text"), (n > 1200).alias("review_flag"),
+        "job_id", "window_id", "input_sha256", F.concat(F.lit("draft: "), "text_alpha").alias("proposed_text"), (n > 1200).alias("review_flag"),
         F.when((n > 900) & (n <= 1200), F.array(F.lit("unsure"))).otherwise(F.array().cast("array<string>")).alias("uncertainty_reasons"),
         F.array(F.lit("alpha"), F.lit("alpha")).alias("evidence_provider_codes"))
     return reconcile.apply_proposals(good, reconcile.proposal_errors(proposals, t.PROVIDERS)).select("job_id", "window_id", "derived_status", "final_text")

@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
+from earwitness.functions.numbers import round_exact
 from earwitness.functions.text import eval_form, let, words
 
 
@@ -171,7 +172,7 @@ def all_pair_scores(texts: pd.Series, reverse: pd.Series) -> pd.Series:
 def mean6(values: Column) -> Column:
     """Mean of an array to six places; NULL when it is empty."""
     total = F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
-    return F.bround(F.try_divide(total, F.size(values).cast("double")), 6)
+    return round_exact(F.try_divide(total, F.size(values).cast("double")), 6)
 
 
 def _symbols(tokens: Column, alphabet: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
+from earwitness.functions.numbers import round_exact
 from earwitness.functions.text import text_tokens
 from earwitness.operators.scan import scan
 
@@ -141,7 +142,7 @@ def execution_plans(jobs: DataFrame, routes: DataFrame, mode: str, cap_usd: floa
     if mode not in ("economy", "recommended", "max_quality"):
         raise ValueError(f"unsupported quality mode {mode!r}")
     used = routes.where(F.col("route_index") == 0) if mode == "economy" else routes
-    estimate = F.bround(F.col("duration_minutes") * F.col("price_per_minute_usd"), 9)
+    estimate = round_exact(F.col("duration_minutes") * F.col("price_per_minute_usd"), 9)
     primary = F.col("route_index") == 0
     rows = with_every_model(jobs, used).withColumn("__e", estimate)
     plans = rows.groupBy("job_id").agg(
@@ -152,7 +153,7 @@ def execution_plans(jobs: DataFrame, routes: DataFrame, mode: str, cap_usd: floa
         F.bool_or(primary & F.col("runnable")).alias("__primary_ok"), F.bool_and("runnable").alias("__all_ok"),
         F.array_sort(F.collect_list(F.when(~F.col("runnable"), F.struct(
             "route_index", F.concat("provider_code", F.lit(": "), "readiness_reason").alias("why"))))).alias("__why"))
-    first, worst = F.col("initial_estimated_cost_usd"), F.when(F.col("__known"), F.bround(F.coalesce("__worst", F.lit(0.0)), 9))
+    first, worst = F.col("initial_estimated_cost_usd"), F.when(F.col("__known"), round_exact(F.coalesce("__worst", F.lit(0.0)), 9))
     first_ok, worst_ok = F.coalesce(first <= cap_usd, F.lit(False)), F.coalesce(worst <= cap_usd, F.lit(False))
     return plans.select(
         "job_id", F.lit(mode).alias("quality_mode"), "route_count", first, worst.alias("maximum_estimated_cost_usd"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from earwitness.functions.numbers import round_exact
 from earwitness.functions.hashing import canonical_json, sha256_text
 from earwitness.functions.text import let
 from earwitness.operators.latest import latest
@@ -109,11 +110,11 @@ def _input_errors(raw: Column, v: Column) -> Column:
 
 
 def percent(part: Column, whole: Column) -> Column:
-    return F.when(whole > 0, F.bround(F.try_divide(part.cast("double"), whole.cast("double")) * 100.0, 3))
+    return F.when(whole > 0, round_exact(F.try_divide(part.cast("double"), whole.cast("double")) * 100.0, 3))
 
 
 def per_hour(value: Column, hours: Column) -> Column:
-    return F.when(hours > 0, F.bround(F.try_divide(value.cast("double"), hours.cast("double")), 6))
+    return F.when(hours > 0, round_exact(F.try_divide(value.cast("double"), hours.cast("double")), 6))
 
 
 def job_metrics(rows: DataFrame) -> DataFrame:
@@ -129,12 +130,12 @@ def job_metrics(rows: DataFrame) -> DataFrame:
     delivery = provider + F.col("delivery_labor_cost_usd") + F.col("support_cost_usd")
     revenue = F.col("price_charged_usd")
     return rows.select(
-        "*", F.bround(hours, 9).alias("audio_hours"),
+        "*", round_exact(hours, 9).alias("audio_hours"),
         percent(F.col("correction_count"), F.col("segment_count")).alias("corrections_per_100_segments"),
         per_hour(F.col("review_minutes"), hours).alias("review_minutes_per_audio_hour"),
-        F.bround(provider, 6).alias("provider_cost_usd"), F.bround(delivery, 6).alias("total_delivery_cost_usd"),
+        round_exact(provider, 6).alias("provider_cost_usd"), round_exact(delivery, 6).alias("total_delivery_cost_usd"),
         per_hour(delivery, hours).alias("cost_per_reviewed_audio_hour_usd"),
-        F.bround(revenue - delivery, 6).alias("gross_margin_usd"), percent(revenue - delivery, revenue).alias("gross_margin_percent"),
+        round_exact(revenue - delivery, 6).alias("gross_margin_usd"), percent(revenue - delivery, revenue).alias("gross_margin_percent"),
         percent(F.col("dialect_units_correct"), F.col("dialect_units_total")).alias("dialect_reference_accuracy_percent"),
         percent(F.col("meaning_units_correct"), F.col("meaning_units_total")).alias("meaning_unit_accuracy_percent"),
         percent(F.col("critical_terms_correct"), F.col("critical_terms_total")).alias("critical_term_accuracy_percent"),
@@ -212,7 +213,7 @@ def cohort_summary(eligible: DataFrame, generated_on: Column, *, rollup: bool =
     jobs, hours, cost, revenue = (F.col(c) for c in ("eligible_jobs", "audio_hours", "total_delivery_cost_usd", "price_charged_usd"))
 
     def mean3(name: str) -> Column:
-        return F.bround(F.try_divide(F.col(f"sum_{name}").cast("double"), jobs.cast("double")), 3)
+        return round_exact(F.try_divide(F.col(f"sum_{name}").cast("double"), jobs.cast("double")), 3)
 
     return rows.select(
         "cohort_code", F.coalesce(jobs, F.lit(0)).alias("eligible_jobs"), "participants", "repeat_participants",
@@ -220,7 +221,7 @@ def cohort_summary(eligible: DataFrame, generated_on: Column, *, rollup: bool =
         percent(F.col("usable"), jobs).alias("transcript_usable_rate_percent"),
         percent(F.col("reuse"), jobs).alias("would_use_again_rate_percent"),
         percent(F.col("repeat_participants"), F.col("participants")).alias("repeat_participant_rate_percent"),
-        F.bround("review_minutes", 3).alias("total_review_minutes"),
+        round_exact(F.col("review_minutes"), 3).alias("total_review_minutes"),
         per_hour(F.col("review_minutes"), hours).alias("review_minutes_per_audio_hour"),
         F.col("correction_count").alias("total_corrections"),
         percent(F.col("correction_count"), F.col("segment_count")).alias("corrections_per_100_segments"),
@@ -228,9 +229,9 @@ def cohort_summary(eligible: DataFrame, generated_on: Column, *, rollup: bool =
         percent(F.col("meaning_units_correct"), F.col("meaning_units_total")).alias("meaning_unit_accuracy_percent"),
         percent(F.col("critical_terms_correct"), F.col("critical_terms_total")).alias("critical_term_accuracy_percent"),
         percent(F.col("speaker_attribution_errors"), F.col("speaker_turns_total")).alias("speaker_attribution_error_percent"),
-        F.bround(hours, 6).alias("total_audio_hours"), F.bround("provider_cost_usd", 6).alias("provider_cost_usd"),
-        F.bround(cost, 6).alias("total_delivery_cost_usd"), per_hour(cost, hours).alias("cost_per_reviewed_audio_hour_usd"),
-        F.bround(revenue, 6).alias("revenue_usd"), F.bround(revenue - cost, 6).alias("gross_margin_usd"),
+        round_exact(hours, 6).alias("total_audio_hours"), round_exact(F.col("provider_cost_usd"), 6).alias("provider_cost_usd"),
+        round_exact(cost, 6).alias("total_delivery_cost_usd"), per_hour(cost, hours).alias("cost_per_reviewed_audio_hour_usd"),
+        round_exact(revenue, 6).alias("revenue_usd"), round_exact(revenue - cost, 6).alias("gross_margin_usd"),
         percent(revenue - cost, revenue).alias("gross_margin_percent"),
         mean3("trust_before").alias("average_trust_before"), mean3("trust_after").alias("average_trust_after"),
         mean3("trust_change").alias("average_trust_change"), mean3("confidence_to_share").alias("average_confidence_to_share"),

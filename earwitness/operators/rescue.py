@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from earwitness.functions.numbers import round_exact
 from earwitness.operators.chunking import plan_chunks
 from earwitness.params import RescuePolicy
 
@@ -58,7 +59,7 @@ def route(classified: DataFrame, windows: DataFrame, policy: RescuePolicy = Resc
 def window_statistics(windows: DataFrame) -> DataFrame:
     """Windows and their exact median duration."""
     length = F.col("end_sec") - F.col("start_sec")
-    return windows.agg(F.count(F.lit(1)).alias("rescue_windows"), F.bround(F.median(length), 3).alias("median_window_duration_sec"))
+    return windows.agg(F.count(F.lit(1)).alias("rescue_windows"), round_exact(F.median(length), 3).alias("median_window_duration_sec"))
 
 
 def pass_through(classified: DataFrame) -> DataFrame:

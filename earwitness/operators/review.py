@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from earwitness.functions.numbers import round_exact
 from earwitness.functions.text import is_blank
 from earwitness.operators.intervals import merged_duration
 from earwitness.operators.latest import latest
@@ -154,8 +155,8 @@ def verification_summary(
         *counts.columns,
         reviewed_content.alias("content_reviewed"), resolved.alias("content_resolved"),
         reviewed_speaker.alias("speaker_reviewed"), unresolved.alias("unresolved_selected_windows"),
-        F.bround(sel_sec, 3).alias("selected_audio_seconds"), F.bround(src_sec, 3).alias("source_audio_seconds"),
-        F.when(src_sec > 0, F.bround(F.try_divide(sel_sec, src_sec) * 100.0, 2)).alias("selected_audio_share_percent"),
+        round_exact(sel_sec, 3).alias("selected_audio_seconds"), round_exact(src_sec, 3).alias("source_audio_seconds"),
+        F.when(src_sec > 0, round_exact(F.try_divide(sel_sec, src_sec) * 100.0, 2)).alias("selected_audio_share_percent"),
         label.alias("completion_label"),
         F.when(F.col("windows_requiring_attention") > 0, "REVIEW_REQUIRED").otherwise("COMPLETE").alias("overall_status"),
     )

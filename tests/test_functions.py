@@ -131,3 +131,17 @@ def test_foreign_hash(spark):
     want = hashlib.sha256('{"a":null,"b":1.5}'.encode()).hexdigest()
     assert one(spark, hashing.foreign_event_sha256(F.col("s")), s='{"b": 1.5, "event_sha256": "q", "a": null}') == want
     assert one(spark, hashing.canonical_json({"b": F.lit(1), "a": F.lit(None).cast("string")})) == '{"a":null,"b":1}'
+
+
+def test_round_exact_is_pythons_round(spark):
+    from earwitness.functions.numbers import round_exact
+
+    rng = random.Random(5)
+    xs = [2.675, 0.0000005, 0.0625, 1.0005, -2.5, 16.0246875, 1e17, 0.5, 1.5, 145.36125]
+    xs += [rng.uniform(-1000, 1000) for _ in range(500)] + [rng.randint(0, 10**7) / 2000 for _ in range(500)]
+    xs += [rng.randint(0, 10**6) / rng.randint(1, 999) for _ in range(1000)]
+    rows = spark.createDataFrame([(x,) for x in xs], "x double").select(
+        "x", *[round_exact(F.col("x"), n).alias(f"r{n}") for n in (0, 2, 3, 6)]).collect()
+    for r in rows:
+        for n in (0, 2, 3, 6):
+            assert r[f"r{n}"] == round(r["x"], n), (r["x"], n)
