@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from earwitness.catalog.agreement import classified
 from earwitness.catalog.registry import query
 from earwitness.operators import chunking, intervals, media, rescue
+from earwitness.session import cut_lineage
 from earwitness.sources import tables as t
 
 
@@ -81,7 +82,7 @@ def window_contiguity(spark, sf):
 
 
 def rescue_plan(spark, sf):
-    regions = classified(spark, sf)
+    regions = cut_lineage(classified(spark, sf))  # scored once, read by selection and routing
     return regions, rescue.rescue_windows(rescue.first_red(regions), silences(spark, sf).withColumnRenamed("recording_id", "job_id"))
 
 

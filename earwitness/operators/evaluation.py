@@ -8,10 +8,14 @@ from pyspark.sql import functions as F
 from earwitness.functions.similarity import character_error_rate, word_error_rate
 from earwitness.functions.text import is_blank
 from earwitness.params import ScorecardThresholds
+from earwitness.session import spread
 
 
 def evaluate(cases: DataFrame) -> DataFrame:
-    """Add word and character error rates; optional columns get their defaults."""
+    """Add word and character error rates; optional columns get their defaults.
+
+    Edit distance costs far more per byte than reading, so cases are spread first.
+    """
     optional = {
         "provider": F.lit("fixture"), "model": F.lit("synthetic"), "duration_seconds": F.lit(0.0),
         "cost_usd": F.lit(0.0), "contract_errors": F.array().cast("array<string>"),
@@ -21,7 +25,7 @@ def evaluate(cases: DataFrame) -> DataFrame:
         F.coalesce("hypothesis", F.lit("")).alias("hypothesis"),
         *[(F.coalesce(F.col(n), d) if n in cases.columns else d).alias(n) for n, d in optional.items()],
     )
-    return filled.select(
+    return spread(filled, "id", "provider", "model").select(
         "id", "language", *optional,
         word_error_rate(F.col("reference"), F.col("hypothesis")).alias("word_error_rate"),
         character_error_rate(F.col("reference"), F.col("hypothesis")).alias("character_error_rate"),

@@ -10,6 +10,7 @@ from earwitness.functions.hashing import canonical_json, sha256_text
 from earwitness.functions.text import let
 from earwitness.operators.latest import latest
 from earwitness.operators.scan import scan
+from earwitness.session import cut_lineage
 
 # The input contract.
 CLASSIFICATIONS = ("synthetic", "consented_private")
@@ -206,7 +207,8 @@ def cohort_summary(eligible: DataFrame, generated_on: Column, *, rollup: bool =
                                      lambda b: F.concat(b["primary_blocker"], F.lit("="), b["n"].cast("string"))), ",").alias("blocker_counts"))
         return whole.join(blockers, keys, "left")
 
-    eligible = eligible.withColumn("__all", F.lit(1))
+    # Read four times below; already reduced to one row per job.
+    eligible = cut_lineage(eligible.withColumn("__all", F.lit(1)))
     rows = totals(["__all"]).withColumn("cohort_code", F.lit(None).cast("string")).drop("__all")
     if rollup:
         rows = totals(["cohort_code"]).unionByName(rows)
