@@ -26,9 +26,14 @@ def write_documents(parts: DataFrame, path: str, key: str = "job_id") -> None:
     """Document parts as text files under one folder per key, in part order.
 
     Parts are ranged over (key, part), so a very long document is spread over
-    tasks and its files still sort in reading order.
+    tasks and its files still sort in reading order. The text writer ends every
+    file with a newline; the newline that opens the next part, or closes the
+    document, is left to it, so the files joined give the document.
     """
+    last = parts.groupBy(key).agg(F.max("part").alias("__last"))
+    body = F.when(F.col("part") > 0, F.regexp_replace("body", r"\A\n", "")).otherwise(F.col("body"))
+    body = F.when(F.col("part") == F.col("__last"), F.regexp_replace(body, r"\n\z", "")).otherwise(body)
     (
-        parts.repartitionByRange(F.col(key), F.col("part")).sortWithinPartitions(key, "part")
-        .select(key, F.col("body").alias("value"))
-        .write.mode("errorifexists").partitionBy(key).option("lineSep", "").text(path))
+        parts.join(last, key).select(key, "part", body.alias("value"))
+        .repartitionByRange(F.col(key), F.col("part")).sortWithinPartitions(key, "part").select(key, "value")
+        .write.mode("errorifexists").partitionBy(key).text(path))

@@ -12,9 +12,9 @@ from earwitness.operators.jobs import valid_job_id
 
 def _documents(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """One JSON document per file, unreadable ones kept aside in ``_corrupt_record``."""
-    return (
-        spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
-        .select("*", F.col("_metadata.file_path").alias("file_path")))
+    whole = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file_path"))
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
+    return whole.select(F.from_json("value", schema, options).alias("d"), "file_path").select("d.*", "file_path")
 
 
 def manifests(spark: SparkSession, glob: str) -> DataFrame:

@@ -26,8 +26,8 @@ def maintain_latest(events: DataFrame, target: str, checkpoint: str) -> Streamin
     def fold(batch: DataFrame, batch_id: int) -> None:
         now = batch
         if batch_id > 0:
-            now = batch.sparkSession.read.schema(batch.schema).parquet(f"{target}/v={batch_id - 1}").unionByName(batch)
-        latest(now, ["job_id"], ["seq"]).select(*batch.columns).write.mode("overwrite").parquet(f"{target}/v={batch_id}")
+            now = batch.sparkSession.read.schema(batch.schema).parquet(f"{target}/snapshot_no={batch_id - 1}").unionByName(batch)
+        latest(now, ["job_id"], ["seq"]).select(*batch.columns).write.mode("overwrite").parquet(f"{target}/snapshot_no={batch_id}")
 
     return (
         events.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint)
@@ -37,5 +37,5 @@ def maintain_latest(events: DataFrame, target: str, checkpoint: str) -> Streamin
 def current(spark: SparkSession, target: str) -> DataFrame:
     """The newest snapshot."""
     rows = spark.read.parquet(target)
-    newest = rows.select(F.max("v").alias("v"))
-    return rows.join(newest, "v").drop("v")
+    newest = rows.select(F.max("snapshot_no").alias("snapshot_no"))
+    return rows.join(newest, "snapshot_no").drop("snapshot_no")
