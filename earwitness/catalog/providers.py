@@ -69,14 +69,16 @@ def timing_capability(spark, sf):
 
 
 @query("diarized_text", sql="""
-WITH f AS (SELECT conv_id, role, min(turn) AS t FROM conversations GROUP BY ALL),
-r AS (SELECT conv_id, role, row_number() OVER (PARTITION BY conv_id ORDER BY t) AS k FROM f)
-SELECT conv_id AS job_id, string_agg('Speaker ' || k || ': ' || text, chr(10) ORDER BY turn) AS text FROM conversations JOIN r USING (conv_id, role) GROUP BY ALL
+WITH c AS (SELECT *, turn // 64 AS part FROM conversations), f AS (SELECT conv_id, part, role, min(turn) AS t FROM c GROUP BY ALL),
+r AS (SELECT conv_id, part, role, row_number() OVER (PARTITION BY conv_id, part ORDER BY t) AS k FROM f)
+SELECT conv_id AS job_id, part, string_agg('Speaker ' || k || ': ' || text, chr(10) ORDER BY turn) AS text FROM c JOIN r USING (conv_id, part, role) GROUP BY ALL
 """)
 def diarized_text(spark, sf):
+    """A response covers one chunk of 64 turns."""
     items = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda s: F.struct(s["text"].alias("text"), s["role"].alias("speaker_id")))
-    rows = t.read(spark, sf, "conversations").groupBy(F.col("conv_id").alias("job_id")).agg(F.to_json(F.struct(items.alias("utterances"))).alias("raw"))
-    return pj.diarized_segments(rows).select("job_id", "text")
+    part = F.floor(F.col("turn") / 64).cast("long").alias("part")
+    rows = t.read(spark, sf, "conversations").groupBy(F.col("conv_id").alias("job_id"), part).agg(F.to_json(F.struct(items.alias("utterances"))).alias("raw"))
+    return pj.diarized_segments(rows).select("job_id", "part", "text")
 
 
 @query("chat_text", sql="SELECT conv_id AS job_id, turn, text FROM conversations")

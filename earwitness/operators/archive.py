@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from earwitness.functions.text import is_blank, meeting_folder, meeting_prefix, safe_component
 from earwitness.operators.scan import scan
+from earwitness.operators.skew import lookup
 
 # Where a meeting start may come from.
 DATETIME_SOURCES = ("user", "source_metadata", "filename", "inferred", "unknown")
@@ -84,7 +85,8 @@ def next_revisions(requests: DataFrame, revisions: DataFrame, bucket: Column) ->
     ``requests``: meeting_id, seq, stem. ``revisions``: meeting_id, revision.
     """
     had = revisions.groupBy("meeting_id").agg(F.max("revision").alias("__had"))
-    placed = scan(requests, ["meeting_id"], ["seq"], bucket, row_number="__k").join(had, "meeting_id", "left")
+    placed = scan(requests, ["meeting_id"], ["seq"], bucket, row_number="__k")
+    placed = lookup(placed, had, "meeting_id", "seq")
     rows = placed.withColumn("revision", F.coalesce("__had", F.lit(0)) + F.col("__k")).drop("__had", "__k")
     return rows.withColumn("final_stem", F.when(F.col("revision") == 1, F.col("stem")).otherwise(
         F.concat("stem", F.format_string(" rev%02d", "revision"))))
@@ -100,7 +102,7 @@ def retain_objects(incoming: DataFrame, objects: DataFrame) -> tuple[DataFrame,
     keys = ["sha256", "ext"]
     firsts = incoming.groupBy(*keys).agg(F.min("file_id").alias("__first"), F.first("size_bytes").alias("size_bytes"))
     new = firsts.join(objects.select(*keys), keys, "left_anti")
-    report = incoming.join(new.select(*keys, "__first"), keys, "left").withColumn(
+    report = lookup(incoming, new.select(*keys, "__first"), keys, "file_id").withColumn(
         "reused", ~F.col("file_id").eqNullSafe(F.col("__first"))).drop("__first")
     return new.drop("__first"), report
 

@@ -10,6 +10,8 @@ from earwitness.functions.hashing import correction_id, sha256_text
 from earwitness.functions.text import is_blank, speaker_line, strip
 from earwitness.operators.fold import Fold, sorted_fold
 from earwitness.operators.latest import latest
+from earwitness.operators.scan import scan, slice_of
+from earwitness.operators.skew import lookup
 
 KEYS = ["job_id", "segment_id"]
 
@@ -22,34 +24,42 @@ class _Replay(Fold):
     def feed(self, row):
         if self.current is None:
             self.current = row.segment_sha256
-        stale = row.expected_original_sha256 is not None and row.expected_original_sha256 != self.current
-        out = (row.job_id, row.segment_id, row.seq, self.current, not stale)
-        if not stale:
+        fresh = row.expected_original_sha256 is None or row.expected_original_sha256 == self.current
+        if fresh:
             self.current = row.accepted_sha256
-        return [out]
+        return [(row.job_id, row.segment_id, row.seq, row.segment_sha256, row.accepted_sha256, fresh)]
 
 
-def check_corrections(events: DataFrame, segments: DataFrame) -> DataFrame:
+def check_corrections(events: DataFrame, segments: DataFrame, seqs_per_slice: int = 100_000) -> DataFrame:
     """Add ``errors`` and the hash each event found. Only hashes pass through the replay.
 
+    An event without an expected hash is accepted whatever came before, so the
+    text after it is known: a segment's history is cut there and the pieces are
+    replayed side by side.
+
     ``events``: job_id, seq, segment_id, accepted_text, reason, reviewer, corrected_at,
     expected_original_sha256. ``segments``: job_id, segment_id, text.
     """
     fields = ("segment_id", "accepted_text", "reason", "reviewer")
     known = segments.select(*KEYS, sha256_text(F.coalesce("text", F.lit(""))).alias("segment_sha256"))
-    joined = events.join(known, KEYS, "left").withColumn("errors", F.array_compact(F.array(
+    joined = lookup(events, known, KEYS, "seq").withColumn("errors", F.array_compact(F.array(
         *[F.when(is_blank(F.col(f)), F.lit(f"{f} must be a non-empty string")) for f in fields],
         F.when(F.col("segment_sha256").isNull(), F.lit("unknown segment_id")),
     )))
     legal = joined.where(F.size("errors") == 0).select(
-        *KEYS, "seq", "segment_sha256", "expected_original_sha256",
+        *KEYS, F.col("seq").cast("long").alias("seq"), "segment_sha256", "expected_original_sha256",
         sha256_text(strip(F.col("accepted_text"))).alias("accepted_sha256"))
+    bucket = slice_of("seq", seqs_per_slice)
+    runs = scan(legal, KEYS, ["seq"], bucket, sums={"run": F.col("expected_original_sha256").isNull().cast("long")})
     schema = StructType([
-        StructField("job_id", events.schema["job_id"].dataType), StructField("segment_id", StringType()),
-        StructField("seq", LongType()), StructField("original_text_sha256", StringType()), StructField("__fresh", BooleanType())])
-    replayed = sorted_fold(legal, KEYS, ["seq"], _Replay, schema)
+        StructField("job_id", events.schema["job_id"].dataType), StructField("segment_id", StringType()), StructField("seq", LongType()),
+        StructField("segment_sha256", StringType()), StructField("accepted_sha256", StringType()), StructField("__fresh", BooleanType())])
+    replayed = sorted_fold(runs, [*KEYS, "run"], ["seq"], _Replay, schema)
+    found = scan(replayed, KEYS, ["seq"], bucket, max_before={"__last": F.when(
+        F.col("__fresh"), F.struct(F.col("seq").alias("at"), F.col("accepted_sha256").alias("sha")))})
+    verdicts = found.select(*KEYS, "seq", "__fresh", F.coalesce("__last.sha", "segment_sha256").alias("original_text_sha256"))
     stale = F.array(F.lit("expected original hash is stale or does not match"))
-    return joined.drop("segment_sha256").join(replayed, [*KEYS, "seq"], "left").withColumn(
+    return joined.drop("segment_sha256").join(verdicts, [*KEYS, "seq"], "left").withColumn(
         "errors", F.when(F.col("__fresh") == F.lit(False), F.concat("errors", stale)).otherwise(F.col("errors"))).drop("__fresh")
 
 

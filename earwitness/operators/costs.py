@@ -9,6 +9,7 @@ from pyspark.sql.types import ArrayType
 from earwitness.functions.numbers import round_exact
 from earwitness.functions.text import text_tokens
 from earwitness.operators.scan import scan
+from earwitness.operators.skew import lookup
 
 RESERVE = 0.15
 CAP_SLACK = 1e-12
@@ -171,12 +172,13 @@ def spend_guard(costs: DataFrame, caps: DataFrame, bucket: Column) -> DataFrame:
     """
     spent = scan(
         costs, ["job_id"], ["seq"], bucket,
-        sums_before={"spent_before": F.when(F.col("cached"), F.lit(0)).otherwise(F.col("actual"))}).join(caps, "job_id")
+        sums_before={"spent_before": F.when(F.col("cached"), F.lit(0)).otherwise(F.col("actual"))})
+    spent = lookup(spent, caps, "job_id", "seq", "inner")
     left = F.greatest(F.lit(0), F.col("cap") - F.col("spent_before"))
     breach = ~F.col("cached") & ((F.col("estimated") > left) | (F.col("spent_before") > F.col("cap")))
     marked = spent.withColumn("__breach", breach)
     stops = marked.groupBy("job_id").agg(F.min(F.when(F.col("__breach"), F.col("seq"))).alias("__stop"))
-    return marked.join(stops, "job_id").select(
+    return lookup(marked, stops, "job_id", "seq", "inner").select(
         *costs.columns, "cap", "spent_before", F.coalesce(F.col("seq") < F.col("__stop"), F.lit(True)).alias("runs"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from earwitness.operators.skew import lookup
+
 JOB_ID = r"^[A-Za-z0-9][A-Za-z0-9._-]{0,127}$"
 # Stage order of the quality workflow.
 STAGES = ("INGEST", "CHUNK", "TRANSCRIBE", "COMPARE", "RESCUE", "FINAL_DRAFT", "REVIEW")
@@ -79,7 +81,7 @@ def newest_failed(sources: DataFrame, manifests: DataFrame) -> DataFrame:
     """For each source hash, the newest failed quality job to resume (largest folder name)."""
     failed = manifests.where(F.col("quality.overall_status") == "failed").groupBy("source.sha256").agg(
         F.max_by("job_id", "dir_name").alias("resume_job_id")).withColumnRenamed("sha256", "source_sha256")
-    return sources.join(failed, "source_sha256")
+    return lookup(sources, failed, "source_sha256", [c for c in sources.columns if c != "source_sha256"], "inner")
 
 
 def error_rollup(manifests: DataFrame) -> DataFrame:

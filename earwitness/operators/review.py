@@ -9,6 +9,7 @@ from earwitness.functions.numbers import round_exact
 from earwitness.functions.text import is_blank
 from earwitness.operators.intervals import merged_duration
 from earwitness.operators.latest import latest
+from earwitness.operators.skew import lookup
 
 # Decision vocabularies.
 DECISION_TYPES = ("provider_candidate", "manual_correction", "unclear")
@@ -32,7 +33,7 @@ def check_decisions(decisions: DataFrame, windows: DataFrame) -> DataFrame:
     w = windows.select(*KEYS, "review_required", "provider_candidates")
     kind = F.col("decision_type")
     offered = F.try_element_at("provider_candidates", F.col("selected_provider"))["text"]
-    joined = decisions.join(w, KEYS, "left")
+    joined = lookup(decisions, w, KEYS, "seq")
     errors = F.array_compact(F.array(
         F.when(F.col("review_required").isNull(), F.lit("unknown review window")),
         F.when(F.col("review_required") == F.lit(False), F.lit("window does not require a decision")),
@@ -54,7 +55,7 @@ def check_decisions(decisions: DataFrame, windows: DataFrame) -> DataFrame:
 def check_speaker_decisions(decisions: DataFrame, windows: DataFrame) -> DataFrame:
     """``windows`` carries review_required and speaker_selected."""
     w = windows.select(*KEYS, "review_required", "speaker_selected")
-    joined = decisions.join(w, KEYS, "left")
+    joined = lookup(decisions, w, KEYS, "seq")
     return joined.withColumn("errors", F.array_compact(F.array(
         F.when(F.col("review_required").isNull(), F.lit("unknown review window")),
         F.when(~(F.col("review_required") | F.col("speaker_selected")), F.lit("window is not selected for speaker verification")),

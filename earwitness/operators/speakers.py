@@ -12,6 +12,7 @@ from earwitness.operators.fold import Fold, sorted_fold
 from earwitness.operators.intervals import overlap_join
 from earwitness.operators.latest import latest
 from earwitness.operators.scan import scan, slice_of
+from earwitness.operators.skew import lookup
 
 SLICE = 600.0
 
@@ -163,13 +164,27 @@ def mapping_errors(events: DataFrame, speakers: DataFrame) -> DataFrame:
     ))).drop("__known")
 
 
-def canonical_ids(events: DataFrame) -> DataFrame:
-    """Replay naming events in order: keep a speaker's id, else give the smallest free one."""
+def canonical_ids(events: DataFrame, seqs_per_slice: int = 100_000) -> DataFrame:
+    """Replay naming events in order: keep a speaker's id, else give the smallest free one.
+
+    Only a speaker's first event and events that bring their own id can change
+    the mapping, so only those are replayed; every other event takes the id its
+    speaker had, found by a sliced scan.
+    """
     job = events.schema["job_id"]
     schema = StructType([StructField("job_id", job.dataType), *MAPPING_EVENTS.fields[1:]])
-    return sorted_fold(
-        events.select("job_id", "seq", "local_speaker_key", "canonical_speaker_id", strip(F.col("display_name")).alias("display_name")),
-        ["job_id"], ["seq"], _CanonicalIds, schema)
+    keys = ["job_id", "local_speaker_key"]
+    clean = events.select(
+        "job_id", F.col("seq").cast("long").alias("seq"), "local_speaker_key",
+        F.nullif(strip(F.col("canonical_speaker_id")), F.lit("")).alias("canonical_speaker_id"), strip(F.col("display_name")).alias("display_name"))
+    first = clean.groupBy(*keys).agg(F.min("seq").alias("__first"))
+    marked = lookup(clean, first, keys, "seq", "inner")
+    deciding = (F.col("seq") == F.col("__first")) | F.col("canonical_speaker_id").isNotNull()
+    replayed = sorted_fold(marked.where(deciding).drop("__first"), ["job_id"], ["seq"], _CanonicalIds, schema)
+    rest = marked.where(~deciding).drop("__first")
+    return scan(
+        replayed.unionByName(rest), keys, ["seq"], slice_of("seq", seqs_per_slice), last_known={"__id": F.col("canonical_speaker_id")},
+    ).withColumn("canonical_speaker_id", F.col("__id")).drop("__id")
 
 
 def display_labels(speakers: DataFrame, mappings: DataFrame) -> DataFrame:

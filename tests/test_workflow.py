@@ -396,3 +396,37 @@ def test_archive_metadata(spark):
     df = spark.createDataFrame(rows, "meeting_id string, meeting_start string, meeting_datetime_source string")
     got = [r["e"] for r in df.select(archive.metadata_errors().alias("e")).collect()]
     assert [len(e) for e in got] == [0, 2, 1, 0, 1]
+
+
+def test_hot_keys_give_the_same_answers(spark):
+    """Most rows under one key, many slices: replayed corrections and ids equal a plain loop."""
+    from hashlib import sha256
+
+    rng = random.Random(31)
+    h = lambda s: sha256(s.encode()).hexdigest()
+    rows, state, want = [], {"hot": h("t"), "cold": h("t")}, {}
+    for i in range(400):
+        seg = "hot" if rng.random() < 0.9 else "cold"
+        expected = rng.choice([None, state[seg], h("other")])
+        text = f"text {rng.randint(0, 3)}"
+        want[i] = (expected is not None and expected != state[seg], state[seg])
+        if not want[i][0]:
+            state[seg] = h(text)
+        rows.append((1, i, seg, text, "r", "me", "t", expected))
+    df = spark.createDataFrame(rows, "job_id int, seq long, segment_id string, accepted_text string, reason string, reviewer string, corrected_at string, expected_original_sha256 string")
+    seg = spark.createDataFrame([(1, "hot", "t"), (1, "cold", "t")], "job_id int, segment_id string, text string")
+    got = {r["seq"]: (len(r["errors"]) > 0, r["original_text_sha256"]) for r in corrections.check_corrections(df, seg, seqs_per_slice=16).collect()}
+    assert got == want
+
+    events, mapping, ids = [], {}, {}
+    for i in range(300):
+        who, own = rng.choice("abcde"), rng.choice([None, None, None, "host", "canonical-speaker-002"])
+        chosen = own or mapping.get(who)
+        n = 1
+        while not chosen:
+            name = f"canonical-speaker-{n:03d}"
+            chosen, n = (None if name in mapping.values() else name), n + 1
+        mapping[who] = ids[i] = chosen
+        events.append((1, i, who, own, "N"))
+    df = spark.createDataFrame(events, "job_id int, seq long, local_speaker_key string, canonical_speaker_id string, display_name string")
+    assert {r["seq"]: r["canonical_speaker_id"] for r in speakers.canonical_ids(df, seqs_per_slice=16).collect()} == ids
