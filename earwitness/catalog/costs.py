@@ -196,3 +196,13 @@ def orders_to_quote(spark, sf):
         F.when(key % 3 != 2, F.col("duration_sec").cast("decimal(18,3)")).alias("duration_seconds"),
         F.when(key % 3 == 2, (F.col("duration_sec") / 60).cast("decimal(18,3)")).alias("requested_review_minutes"),
         F.lit("2026-09-11 00:00:00").cast("timestamp").alias("created_at"))
+
+
+@query("ordered_models", sql=f"""
+WITH {t.EVENTS_SQL}, f AS (SELECT user_id, event_type, min(event_id) AS p FROM ev WHERE event_type <> 'view' GROUP BY ALL)
+SELECT user_id AS request_id, event_type AS model_id, row_number() OVER (PARTITION BY user_id ORDER BY p) - 1 AS route_index FROM f
+""")
+def ordered_models(spark, sf):
+    asked = t.events(spark, sf).select(
+        F.col("user_id").alias("request_id"), F.col("event_id").alias("position"), F.when(F.col("event_type") == "view", " ").otherwise(F.col("event_type")).alias("model_id"))
+    return cs.ordered_models(asked)

@@ -143,3 +143,11 @@ def speaker_mapping(spark, sf):
     mapped = sp.canonical_ids(naming_events(spark, sf))
     known = mapped.select("job_id", "local_speaker_key").distinct().withColumn("provider_speaker_id", F.col("local_speaker_key"))
     return sp.display_labels(known, mapped).select("job_id", "local_speaker_key", "canonical_speaker_id", "display_label")
+
+
+@query("overlay_text_guard", sql="SELECT conv_id AS job_id, CAST(turn AS VARCHAR) AS window_id FROM conversations WHERE role = 'system'")
+def overlay_text_guard(spark, sf):
+    """An overlay that rewrote the system turns is caught, window by window."""
+    before = t.segments(spark, sf).select("job_id", F.col("ord").cast("string").alias("window_id"), "text", "speaker")
+    after = before.withColumn("text", F.when(F.col("speaker") == "system", F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    return sp.changed_texts(before, after, ["text"]).select("job_id", "window_id")

@@ -183,3 +183,36 @@ WHERE event_type IN ('error', 'signup') OR s.job_id IS NULL
 def correction_rejects(spark, sf):
     checked = co.check_corrections(correction_events(spark, sf), corrected_source(spark, sf))
     return checked.where(F.size("errors") > 0).select("job_id", "seq", F.array_join("errors", "|").alias("errors"))
+
+
+def provider_results(spark, sf):
+    return t.region_candidates(spark, sf).where(F.col("provider") != "charlie").select(
+        "job_id", F.col("provider").alias("provider_code"), (F.col("ord") + 1).alias("chunk_no"), F.concat("provider", F.lit("-1")).alias("model"),
+        F.concat(F.lit("run-"), "speaker").alias("run_id"), "text")
+
+
+@query("retained_documents", sql=f"""
+WITH {t.REGION_CANDIDATES_SQL}
+SELECT job_id, provider AS provider_code, string_agg(text, chr(10) || chr(10) ORDER BY ord) AS body FROM region_candidates WHERE provider <> 'charlie' GROUP BY ALL
+""")
+def retained_documents(spark, sf):
+    return tr.retained_documents(provider_results(spark, sf)).select("job_id", "provider_code", "body")
+
+
+@query("retained_index", sql=f"""
+WITH {t.REGION_CANDIDATES_SQL}
+SELECT job_id, provider AS provider_code, count(*) AS chunk_count, array_to_string(list_sort(list(DISTINCT 'run-' || speaker)), ',') AS run_ids,
+  provider || '-1' AS requested_model, CAST(sum(length(text)) + 2 * (count(*) - 1) AS BIGINT) AS character_count
+FROM region_candidates WHERE provider <> 'charlie' GROUP BY job_id, provider
+""")
+def retained_index(spark, sf):
+    return tr.retained_index(provider_results(spark, sf)).withColumn("run_ids", F.array_join("run_ids", ","))
+
+
+@query("job_summary", sql="""
+SELECT conv_id AS job_id, CAST(sum(len(regexp_extract_all(text, '\S+'))) AS BIGINT) AS word_count, count(*) AS chunk_count, count(*) AS segment_count FROM conversations GROUP BY ALL
+""")
+def job_summary(spark, sf):
+    from earwitness.operators.jobs import job_summary as summarise
+
+    return summarise(t.segments(spark, sf).select("job_id", "text", F.lit(1).cast("long").alias("segment_count")))

@@ -206,6 +206,11 @@ def gather_regions(long: DataFrame, keys: Sequence[str], provider_order: Sequenc
     return regions.withColumn("candidates", full)
 
 
+def region_rows(regions: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Provider map back to one row per candidate, placeholders included."""
+    return regions.select(*keys, F.explode("candidates").alias("provider", "c")).select(*keys, "provider", "c.*")
+
+
 def alignment_statistics(aligned: DataFrame, provider_order: Sequence[str]) -> DataFrame:
     """Per recording: segments by provider, total, regions, regions seen by one provider only."""
     per_region = aligned.groupBy("job_id", "region_no").agg(

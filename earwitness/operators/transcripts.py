@@ -15,6 +15,7 @@ from earwitness.functions.text import is_blank, lexical_form, speaker_line, stri
 from earwitness.operators.fold import Fold, sorted_fold
 from earwitness.operators.scan import scan, slice_of
 from earwitness.session import spread
+from earwitness.sinks.documents import document_parts
 
 CHUNK = ["job_id", "chunk_key"]
 IDENTITY = ("chunk_filename", "chunk_sha256", "provider", "provider_code", "model", "run_id", "response_format")
@@ -358,8 +359,23 @@ def transcript_summary(chunks: DataFrame, records: DataFrame) -> DataFrame:
         "providers", "models", "run_ids", "source_hashes")
 
 
-def retained_documents(results: DataFrame) -> DataFrame:
-    """Provider documents as ordered rows: (job, provider, chunk order) with joined text per bounded part."""
-    from earwitness.sinks.documents import document_parts
+def retained_index(results: DataFrame) -> DataFrame:
+    """One entry per (job, provider): chunks, sorted run ids, requested model of the first chunk, text size.
+
+    ``results``: job_id, provider_code, chunk_no, model, run_id, text.
+    """
+    return results.groupBy("job_id", "provider_code").agg(
+        F.count(F.lit(1)).alias("chunk_count"), F.array_sort(F.collect_set(F.nullif(F.col("run_id"), F.lit("")))).alias("run_ids"),
+        F.min_by("model", "chunk_no").alias("requested_model"),
+        (F.sum(F.char_length(F.coalesce("text", F.lit("")))) + 2 * (F.count(F.lit(1)) - 1)).alias("character_count"))
+
 
-    return document_parts(results.withColumn("body", F.coalesce("text", F.lit(""))), ["job_id", "provider_code"], "chunk_no", "\n\n")
+def missing_documents(expected: DataFrame, results: DataFrame) -> DataFrame:
+    """Expected (job, provider) pairs whose provider returned nothing at all."""
+    return expected.join(results.select("job_id", "provider_code").distinct(), ["job_id", "provider_code"], "left_anti")
+
+
+def retained_documents(results: DataFrame) -> DataFrame:
+    """Retained text per (job, provider): chunk texts joined by a blank line, as document parts (chunk_no from 1)."""
+    body = results.select("job_id", "provider_code", "chunk_no", F.coalesce("text", F.lit("")).alias("body"))
+    return document_parts(body, ["job_id", "provider_code"], "chunk_no", "\n\n")
