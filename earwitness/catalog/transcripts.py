@@ -60,11 +60,22 @@ def plain_chunks(spark, sf):
     return t.segments(spark, sf).select("job_id", (F.col("ord") + 1).alias("chunk_no"), "text")
 
 
-@query("full_transcript", sql="""
-SELECT conv_id AS job_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS body FROM conversations GROUP BY ALL
-""")
+def parts_sql(rows: str, key: str, line: str, separator: str, head: str = "''", tail: str = "''") -> str:
+    """Documents in parts of 2000 lines; ``rows`` has ``ord`` from 0 without gaps per key."""
+    return f"""
+, doc AS (SELECT *, ord // 2000 AS part, max(ord) OVER (PARTITION BY {key}) AS final FROM {rows})
+SELECT {key}, part, CASE WHEN part = 0 THEN {head} ELSE '' END || string_agg(CASE WHEN ord > 0 THEN {separator} ELSE '' END || {line}, '' ORDER BY ord)
+  || CASE WHEN max(ord) = any_value(final) THEN {tail} ELSE '' END AS body
+FROM doc GROUP BY {key}, part
+"""
+
+
+BLANK = "chr(10) || chr(10)"
+
+
+@query("full_transcript", sql=f"WITH {t.SEGMENTS_SQL}" + parts_sql("segments", "job_id", "text", BLANK))
 def full_transcript(spark, sf):
-    return documents.plain_text(plain_chunks(spark, sf)).select("job_id", "body")
+    return documents.plain_text(plain_chunks(spark, sf)).select("job_id", "part", "body")
 
 
 @query("overlap_dedup")
@@ -97,33 +108,26 @@ def _cue(sep: str) -> str:
     return f"(ord + 1) || chr(10) || {start} || ' --> ' || {end} || chr(10) || {text}"
 
 
-@query("srt_cues", sql=f"""
-WITH {t.SEGMENTS_SQL}
-SELECT job_id, string_agg({_cue(',')}, chr(10) || chr(10) ORDER BY ord) || chr(10) AS body FROM segments GROUP BY ALL
-""")
+@query("srt_cues", sql=f"WITH {t.SEGMENTS_SQL}" + parts_sql("segments", "job_id", _cue(","), BLANK, tail="chr(10)"))
 def srt_cues(spark, sf):
-    return documents.srt(caption_rows(spark, sf)).select("job_id", "body")
+    return documents.srt(caption_rows(spark, sf)).select("job_id", "part", "body")
 
 
-@query("vtt_cues", sql=f"""
-WITH {t.SEGMENTS_SQL}
-SELECT job_id, 'WEBVTT' || chr(10) || chr(10) || string_agg({_cue('.')}, chr(10) || chr(10) ORDER BY ord) || chr(10) AS body FROM segments GROUP BY ALL
-""")
+@query("vtt_cues", sql=f"WITH {t.SEGMENTS_SQL}" + parts_sql("segments", "job_id", _cue("."), BLANK, "'WEBVTT' || " + BLANK, "chr(10)"))
 def vtt_cues(spark, sf):
-    return documents.vtt(caption_rows(spark, sf)).select("job_id", "body")
+    return documents.vtt(caption_rows(spark, sf)).select("job_id", "part", "body")
 
 
-@query("html_report", sql=f"""
-WITH {t.SEGMENTS_SQL}
-SELECT job_id, '<table><thead><tr><th>Speaker</th><th>Text</th></tr></thead><tbody>' || chr(10) || string_agg('<tr><td><span class="' || speaker || '">'
-  || speaker || '</span></td><td>' || replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;')
-  || '</td></tr>', chr(10) ORDER BY ord) || chr(10) || '</tbody></table>' AS body
-FROM segments GROUP BY ALL
-""")
+_ROW = """'<tr><td><span class="' || speaker || '">' || speaker || '</span></td><td>' || replace(replace(replace(replace(replace(
+  text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '\'\'', '&#x27;') || '</td></tr>'"""
+
+
+@query("html_report", sql=f"WITH {t.SEGMENTS_SQL}" + parts_sql(
+    "segments", "job_id", _ROW, "chr(10)", "'<table><thead><tr><th>Speaker</th><th>Text</th></tr></thead><tbody>' || chr(10)", "chr(10) || '</tbody></table>'"))
 def html_report(spark, sf):
     rows = t.segments(spark, sf).withColumn("no", F.col("ord") + 1)
     cells = [documents.html_badge(F.col("speaker")), documents.html_cell(F.col("text"), "MISSING")]
-    return documents.html_table(rows, ["job_id"], "no", ["Speaker", "Text"], cells).select("job_id", "body")
+    return documents.html_table(rows, ["job_id"], "no", ["Speaker", "Text"], cells).select("job_id", "part", "body")
 
 
 def correction_events(spark, sf):
@@ -191,12 +195,10 @@ def provider_results(spark, sf):
         F.concat(F.lit("run-"), "speaker").alias("run_id"), "text")
 
 
-@query("retained_documents", sql=f"""
-WITH {t.REGION_CANDIDATES_SQL}
-SELECT job_id, provider AS provider_code, string_agg(text, chr(10) || chr(10) ORDER BY ord) AS body FROM region_candidates WHERE provider <> 'charlie' GROUP BY ALL
-""")
+@query("retained_documents", sql=f"WITH {t.REGION_CANDIDATES_SQL}, heard AS (SELECT job_id, provider AS provider_code, ord, text FROM region_candidates WHERE provider <> 'charlie')"
+       + parts_sql("heard", "job_id, provider_code", "text", BLANK))
 def retained_documents(spark, sf):
-    return tr.retained_documents(provider_results(spark, sf)).select("job_id", "provider_code", "body")
+    return tr.retained_documents(provider_results(spark, sf)).select("job_id", "provider_code", "part", "body")
 
 
 @query("retained_index", sql=f"""
