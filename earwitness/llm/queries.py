@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from earwitness.llm import decontaminate, jaccard
-from earwitness.llm.common import table
+from earwitness.llm import decontaminate, jaccard, quality
+from earwitness.llm.common import crc_fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -61,3 +61,13 @@ SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id FROM w LEFT JOIN
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of documents at 3-word shingles and a Jaccard similarity of 0.9."""
     return jaccard.components(table(spark, sf_dir, "documents"), "doc_id", words=3, percent=90)
+
+
+@query("op10_random_indexing_quality")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learned from the labels outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    held_out = F.coalesce(crc_fold("doc_id", quality.PARAMS.folds) == quality.PARAMS.held_out, F.lit(False))
+    return quality.scored(docs, model, ["doc_id"]).select(
+        "doc_id", held_out.alias("held_out"), F.col("__out.score").alias("score"), quality.accepted().cast("int").alias("predicted"))
