@@ -15,6 +15,8 @@ from earwitness.session import cut_lineage
 
 #: Entries a worker's word memo may hold before it starts anew. A memo only saves time; no result depends on it.
 MEMO_ENTRIES = 300_000
+#: Rows of an Arrow batch handled at once, which bounds what a task holds in Python besides the batch.
+SLICE_ROWS = 512
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,8 +63,9 @@ def utf8(column: pa.Array) -> list[bytes | None]:
 
 def _extend(batches: Iterator[pa.RecordBatch], start: Callable[[], Callable[[pa.RecordBatch], dict]], keep: list[str], kind: pa.StructType, name: str) -> Iterator[pa.RecordBatch]:
     make = start()
-    for batch in batches:
-        if batch.num_rows:
+    for whole in batches:
+        for at in range(0, whole.num_rows, SLICE_ROWS):
+            batch = whole.slice(at, SLICE_ROWS)
             made = make(batch)
             new = pa.StructArray.from_arrays([pa.array(made[f.name], f.type) for f in kind], fields=list(kind))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), new], names=[*keep, name])
@@ -79,3 +82,9 @@ def extend(df: DataFrame, start: Callable[[], Callable[[pa.RecordBatch], dict]],
     kind = T.StructType.fromDDL(ddl)
     schema = T.StructType([*(df.schema[c] for c in keep), T.StructField(name, kind)])
     return df.mapInArrow(partial(_extend, start=start, keep=keep, kind=to_arrow_type(kind), name=name), schema)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share, where checkpoints go."""
+    cut_lineage(spark.range(0))  # names the folder where the session has none yet
+    return spark.sparkContext.getCheckpointDir()

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from earwitness.llm import decontaminate, jaccard, quality
+from earwitness.llm import decontaminate, jaccard, packing, quality, secrets
 from earwitness.llm.common import crc_fold, table
+from earwitness.session import cut_lineage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -71,3 +72,20 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(crc_fold("doc_id", quality.PARAMS.folds) == quality.PARAMS.held_out, F.lit(False))
     return quality.scored(docs, model, ["doc_id"]).select(
         "doc_id", held_out.alias("held_out"), F.col("__out.score").alias("score"), quality.accepted().cast("int").alias("predicted"))
+
+
+@query("op3_randomness_secrets")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document: base patterns, and random-looking strings beyond them."""
+    found = cut_lineage(secrets.scanned(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"]))
+    spans = secrets.all_spans(secrets.thresholds(found))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("spans", lambda s: s.kind != "random")
+    return found.select("doc_id", spans.alias("spans")).select(
+        "doc_id", count("assign"), count("access"), count("hex"), _sha256(secrets.written(base)).alias("base_sha256"), secrets.written(F.col("spans")).alias("spans"))
+
+
+@query("op8_vector_best_fit")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, cut and packed into sequences of 4096 tokens."""
+    return packing.packed_documents(table(spark, sf_dir, "documents"), "doc_id")
