@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from earwitness.llm import decontaminate, jaccard, packing, quality, secrets
+from earwitness.llm import decontaminate, jaccard, language, packing, quality, secrets
 from earwitness.llm.common import crc_fold, table
 from earwitness.session import cut_lineage
 
@@ -89,3 +89,13 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, cut and packed into sequences of 4096 tokens."""
     return packing.packed_documents(table(spark, sf_dir, "documents"), "doc_id")
+
+
+@query("op1_rank_order_language")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from the documents outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(crc_fold("doc_id", 5) == 0, F.lit(False))
+    learned = language.profiles(docs.where(~held_out).select(F.col("doc_id").alias("id"), "lang", "text"))
+    found = language.predicted(docs.select("doc_id", "text"), learned, ["doc_id"])
+    return found.select("doc_id", held_out.alias("held_out"), F.col("__out.lang").alias("lang_pred"), F.col("__out.score").alias("score"))
