@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from earwitness.llm import decontaminate, jaccard, language, packing, quality, secrets
+from earwitness.llm import decontaminate, html, jaccard, language, packing, quality, secrets
 from earwitness.llm.common import crc_fold, table
 from earwitness.session import cut_lineage
 
@@ -99,3 +99,10 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     learned = language.profiles(docs.where(~held_out).select(F.col("doc_id").alias("id"), "lang", "text"))
     found = language.predicted(docs.select("doc_id", "text"), learned, ["doc_id"])
     return found.select("doc_id", held_out.alias("held_out"), F.col("__out.lang").alias("lang_pred"), F.col("__out.score").alias("score"))
+
+
+@query("op4_tree_scored_text")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    found = html.extracted(table(spark, sf_dir, "pages").select("page_id", "url", "html"), ["page_id", "url"])
+    return found.select("page_id", "url", F.col("__out.text").alias("text"), F.char_length("__out.text").cast("long").alias("n_chars"))
