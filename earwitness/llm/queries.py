@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from earwitness.llm import decontaminate, html, jaccard, language, packing, quality, secrets
+from earwitness.llm import decontaminate, html, jaccard, language, packing, quality, secrets, urls
 from earwitness.llm.common import crc_fold, table
 from earwitness.session import cut_lineage
 
@@ -106,3 +106,44 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     found = html.extracted(table(spark, sf_dir, "pages").select("page_id", "url", "html"), ["page_id", "url"])
     return found.select("page_id", "url", F.col("__out.text").alias("text"), F.char_length("__out.text").cast("long").alias("n_chars"))
+
+
+#: Rules of the contract: (verdict, host/path).
+URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
+
+
+def _rank_sql(name: str, src: str, dst: str, seed: str, p: urls.RankParams = urls.PARAMS) -> str:
+    """CTEs of the same PageRank, round by round."""
+    parts = [f"{name}_w AS (SELECT {src} AS s, {dst} AS d, CAST({p.damping} AS DOUBLE) / count(*) OVER (PARTITION BY {src}) AS w FROM edges)",
+             f"{name}_0 AS (SELECT host, {1 - p.damping} * {seed} / sum({seed}) OVER () AS r FROM shares WHERE {seed} > 0)"]
+    for k in range(1, p.rounds + 1):
+        parts.append(f"{name}_{k} AS MATERIALIZED (SELECT host, sum(r) AS r FROM (SELECT * FROM {name}_0 UNION ALL SELECT d, w * r FROM {name}_w JOIN {name}_{k - 1} ON host = s) GROUP BY host)")
+    return ", ".join(parts)
+
+
+def _host_sql(url: str) -> tuple[str, str]:
+    """Host and path of a url."""
+    rest = f"CASE WHEN strpos({url}, '://') > 0 THEN substr({url}, strpos({url}, '://') + 3) ELSE '' END"
+    return f"translate(regexp_extract({rest}, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')", f"regexp_extract({rest}, '^[^/?#]*([^?#]*)', 1)"
+
+
+_URL_SQL = f"""
+WITH rules(verdict, domain, prefix, rule) AS (VALUES {", ".join(f"('{v}', '{r.partition('/')[0]}', '/{r.partition('/')[2]}', '{r}')" for v, r in URL_RULES)}),
+placed AS (SELECT page_id, coalesce({_host_sql("url")[0]}, '') AS host, coalesce({_host_sql("url")[1]}, '') AS path, html FROM pages),
+fits AS (SELECT p.page_id, r.rule, r.verdict, row_number() OVER (PARTITION BY p.page_id ORDER BY length(r.rule) DESC) AS k
+         FROM placed p JOIN rules r ON (p.host = r.domain OR ends_with(p.host, '.' || r.domain)) AND starts_with(p.path, r.prefix)),
+ruled AS (SELECT p.page_id, p.host, p.path, f.rule, f.verdict FROM placed p LEFT JOIN fits f ON p.page_id = f.page_id AND f.k = 1),
+shares AS (SELECT host, avg(CAST(verdict = 'allow' AS INT)) AS good, 1 - avg(CAST(verdict = 'allow' AS INT)) AS bad FROM ruled WHERE rule IS NOT NULL GROUP BY host),
+hrefs AS (SELECT DISTINCT host, unnest(regexp_extract_all(html, '(?i)<a\\s[^>]*?href\\s*=\\s*["'']?([^"''\\s>]+)', 1)) AS href FROM placed),
+links AS (SELECT host AS src, CASE WHEN starts_with(href, '//') THEN 'x:' || href ELSE href END AS href FROM hrefs),
+edges AS (SELECT DISTINCT src, {_host_sql("href")[0]} AS dst FROM links WHERE src <> '' AND {_host_sql("href")[0]} NOT IN ('', src)),
+{_rank_sql("t", "src", "dst", "good")}, {_rank_sql("x", "dst", "src", "bad")},
+worse AS (SELECT x.host FROM x_{urls.PARAMS.rounds} x LEFT JOIN t_{urls.PARAMS.rounds} t USING (host) WHERE round(x.r, 12) > coalesce(round(t.r, 12), 0))
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN host IN (SELECT host FROM worse) THEN 'block' ELSE 'allow' END) AS verdict FROM ruled
+"""
+
+
+@query("op5_link_graph_urls", _URL_SQL)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on the url of every page."""
+    return urls.judged(table(spark, sf_dir, "pages").select("page_id", "url", "html"), URL_RULES)
