@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from earwitness.llm import decontaminate, html, jaccard, language, packing, quality, secrets, urls
+from earwitness.llm import caps, decontaminate, html, jaccard, language, packing, quality, secrets, urls
 from earwitness.llm.common import crc_fold, table
 from earwitness.session import cut_lineage
 
@@ -147,3 +147,17 @@ SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN host IN (SELECT ho
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on the url of every page."""
     return urls.judged(table(spark, sf_dir, "pages").select("page_id", "url", "html"), URL_RULES)
+
+
+@query("op6_spherical_cap_duplicates", """
+WITH RECURSIVE v AS (SELECT vec_id, label, [CAST(x AS DOUBLE) for x in embedding] AS e FROM embeddings),
+g AS (SELECT vec_id, label, e, sqrt(list_dot_product(e, e)) AS n FROM v WHERE label IS NOT NULL AND len(e) > 0 AND len([x for x in e if x IS NULL OR NOT isfinite(x)]) = 0 AND len([x for x in e if x <> 0]) > 0),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id AND list_dot_product(a.e, b.e) >= 0.98 * a.n * b.n),
+r(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a),
+c AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY a),
+k AS (SELECT a AS vec_id, count(*) AS n_links FROM p GROUP BY a)
+SELECT c.vec_id, coalesce(n_links, 0) AS n_links, component_id, c.vec_id = component_id AS kept FROM c LEFT JOIN k USING (vec_id)
+""")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate embeddings of one label at a cosine of 0.98."""
+    return caps.linked(table(spark, sf_dir, "embeddings"))
