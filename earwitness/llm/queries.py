@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from earwitness.llm import caps, decontaminate, html, jaccard, language, packing, quality, secrets, urls
+from earwitness.llm import caps, decontaminate, html, jaccard, language, packing, pii, quality, secrets, urls
 from earwitness.llm.common import crc_fold, table
 from earwitness.session import cut_lineage
 
@@ -161,3 +161,12 @@ SELECT c.vec_id, coalesce(n_links, 0) AS n_links, component_id, c.vec_id = compo
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate embeddings of one label at a cosine of 0.98."""
     return caps.linked(table(spark, sf_dir, "embeddings"))
+
+#: The key of the registered query; a user passes a secret of their own.
+SURROGATE_KEY = b"registered query"
+
+
+@query("op2_surrogates")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with surrogates for personal data."""
+    return pii.pseudonymised(table(spark, sf_dir, "documents"), SURROGATE_KEY)
