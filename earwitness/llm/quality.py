@@ -81,6 +81,15 @@ def _memo(p: QualityParams) -> Memo:
     return Memo(partial(_codes, rows=p.word_rows))
 
 
+def _around(codes: np.ndarray, index: np.ndarray, reach: int) -> np.ndarray:
+    """For each place of a text the sum of the index vectors at most ``reach`` places away, without its own."""
+    own = index[codes]
+    sums = np.zeros((len(codes) + 1, index.shape[1]), index.dtype)
+    np.cumsum(own, 0, out=sums[1:])
+    at = np.arange(len(codes))
+    return sums[np.minimum(at + reach + 1, len(codes))] - sums[np.maximum(at - reach, 0)] - own
+
+
 def _contexts(batches, p: QualityParams):
     """One row a task: the sum of the index vectors seen around every row, as whole numbers."""
     memo, index = _memo(p), index_vectors(p)
@@ -88,9 +97,10 @@ def _contexts(batches, p: QualityParams):
     for batch in batches:
         for text in batch.column("text").to_pylist():
             codes = word_codes(text, memo, p.word_rows)
-            for step in range(1, p.window * 3 + 1):
-                np.add.at(total, codes[:-step], index[codes[step:]])
-                np.add.at(total, codes[step:], index[codes[:-step]])
+            if len(codes):
+                order = np.argsort(codes, kind="stable")
+                starts = np.flatnonzero(np.diff(codes[order], prepend=-1))
+                total[codes[order][starts]] += np.add.reduceat(_around(codes, index, 3 * p.window)[order], starts)
     yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
 
 
@@ -98,7 +108,7 @@ def word_vectors(sample: DataFrame, p: QualityParams) -> np.ndarray:
     """Own index vector and the direction of the contexts, side by side in one space and of one length."""
     index = index_vectors(p)
     sums = np.zeros_like(index)
-    for r in sample.select("text").mapInArrow(partial(_contexts, p=p), "sums binary").toLocalIterator():
+    for r in sample.select("text").mapInArrow(partial(_contexts, p=p), "sums binary").collect():
         sums += np.frombuffer(r.sums, np.int64).reshape(sums.shape)
     unit = lambda x: x / np.maximum(1e-9, np.linalg.norm(x, axis=1, keepdims=True))
     return (unit(index.astype(float)) + unit(sums.astype(float))).astype(np.float32)
