@@ -30,7 +30,7 @@ def registry(spark):
 @query("cumulative_spend_stop", sql=f"""
 WITH {t.EVENTS_SQL}, c AS (SELECT user_id AS job_id, event_id AS seq, cents + 50 AS estimated, cents AS actual, event_type = 'view' AS cached FROM ev),
 s AS (SELECT *, CAST(coalesce(sum(CASE WHEN cached THEN 0 ELSE actual END) OVER (PARTITION BY job_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS spent_before FROM c),
-b AS (SELECT *, NOT cached AND estimated > greatest(0, 150000 - spent_before) AS breach FROM s),
+b AS (SELECT *, spent_before > 150000 OR (NOT cached AND estimated > greatest(0, 150000 - spent_before)) AS breach FROM s),
 x AS (SELECT *, min(seq) FILTER (breach) OVER (PARTITION BY job_id) AS stop FROM b)
 SELECT job_id, seq, spent_before, coalesce(seq < stop, true) AS runs FROM x
 """)
@@ -38,6 +38,28 @@ def cumulative_spend_stop(spark, sf):
     return guarded(spark, sf).select("job_id", "seq", F.col("spent_before").cast("long").alias("spent_before"), "runs")
 
 
+@query("spend_after_earlier_runs", sql=f"""
+WITH {t.EVENTS_SQL}, e AS (SELECT *, event_type = 'purchase' AND user_id % 2 = 0 AS old FROM ev),
+c AS (SELECT user_id AS job_id, event_id AS seq, cents + 50 AS estimated, cents AS actual, event_type = 'view' AS cached FROM e WHERE NOT old),
+w AS (SELECT user_id AS job_id, sum(cents) AS earlier FROM e WHERE old GROUP BY user_id),
+s AS (SELECT c.*, row_number() OVER (PARTITION BY c.job_id ORDER BY seq) AS k, coalesce(w.earlier, 0)
+        + coalesce(sum(CASE WHEN cached THEN 0 ELSE actual END) OVER (PARTITION BY c.job_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent_before FROM c LEFT JOIN w USING (job_id)),
+b AS (SELECT *, (spent_before > 60000 AND k > 1) OR (NOT cached AND estimated > greatest(0, 60000 - spent_before)) AS breach FROM s),
+x AS (SELECT *, min(seq) FILTER (breach) OVER (PARTITION BY job_id) AS stop FROM b)
+SELECT job_id, seq, CAST(spent_before AS BIGINT) AS spent_before, coalesce(seq < stop, true) AS runs FROM x
+""")
+def spend_after_earlier_runs(spark, sf):
+    """Every second user's purchases are an earlier run, whose spend counts first."""
+    events = t.events(spark, sf).withColumn("old", (F.col("event_type") == "purchase") & (F.col("user_id") % 2 == 0))
+    chunks = events.where(~F.col("old")).select(
+        F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), (F.col("cents") + 50).alias("estimated"),
+        F.col("cents").alias("actual"), (F.col("event_type") == "view").alias("cached"))
+    earlier = events.where("old").select(F.col("user_id").alias("job_id"), F.col("cents").alias("spent"))
+    caps = chunks.select("job_id").distinct().withColumn("cap", F.lit(60_000).cast("long"))
+    out = cs.spend_guard(chunks, caps, slice_of("seq", 100_000), earlier)
+    return out.select("job_id", "seq", F.col("spent_before").cast("long").alias("spent_before"), "runs")
+
+
 def guarded(spark, sf):
     chunks = t.events(spark, sf).select(
         F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), (F.col("cents") + 50).alias("estimated"),
@@ -49,7 +71,7 @@ def guarded(spark, sf):
 @query("spend_summary", sql=f"""
 WITH {t.EVENTS_SQL}, c AS (SELECT user_id AS job_id, event_id AS seq, cents, event_type = 'view' AS cached FROM ev),
 s AS (SELECT *, coalesce(sum(CASE WHEN cached THEN 0 ELSE cents END) OVER (PARTITION BY job_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c),
-x AS (SELECT *, min(seq) FILTER (NOT cached AND cents + 50 > greatest(0, 150000 - before)) OVER (PARTITION BY job_id) AS stop FROM s),
+x AS (SELECT *, min(seq) FILTER (before > 150000 OR (NOT cached AND cents + 50 > greatest(0, 150000 - before))) OVER (PARTITION BY job_id) AS stop FROM s),
 r AS (SELECT *, coalesce(seq < stop, true) AS runs FROM x)
 SELECT job_id, count(*) FILTER (runs AND NOT cached) AS new_chunks, count(*) FILTER (runs AND cached) AS reused_chunks,
   count(*) FILTER (NOT runs) AS stopped_chunks, CAST(coalesce(sum(cents) FILTER (runs AND NOT cached), 0) AS BIGINT) AS spent,

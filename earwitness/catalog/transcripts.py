@@ -211,7 +211,7 @@ def retained_index(spark, sf):
     return tr.retained_index(provider_results(spark, sf)).withColumn("run_ids", F.array_join("run_ids", ","))
 
 
-@query("job_summary", sql="""
+@query("job_summary", sql=r"""
 SELECT conv_id AS job_id, CAST(sum(len(regexp_extract_all(text, '\S+'))) AS BIGINT) AS word_count, count(*) AS chunk_count, count(*) AS segment_count FROM conversations GROUP BY ALL
 """)
 def job_summary(spark, sf):

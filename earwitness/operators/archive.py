@@ -86,7 +86,7 @@ def next_revisions(requests: DataFrame, revisions: DataFrame, bucket: Column) ->
     """
     had = revisions.groupBy("meeting_id").agg(F.max("revision").alias("__had"))
     placed = scan(requests, ["meeting_id"], ["seq"], bucket, row_number="__k")
-    placed = lookup(placed, had, "meeting_id", "seq")
+    placed = lookup(placed, had, "meeting_id")
     rows = placed.withColumn("revision", F.coalesce("__had", F.lit(0)) + F.col("__k")).drop("__had", "__k")
     return rows.withColumn("final_stem", F.when(F.col("revision") == 1, F.col("stem")).otherwise(
         F.concat("stem", F.format_string(" rev%02d", "revision"))))
@@ -102,7 +102,7 @@ def retain_objects(incoming: DataFrame, objects: DataFrame) -> tuple[DataFrame,
     keys = ["sha256", "ext"]
     firsts = incoming.groupBy(*keys).agg(F.min("file_id").alias("__first"), F.first("size_bytes").alias("size_bytes"))
     new = firsts.join(objects.select(*keys), keys, "left_anti")
-    report = lookup(incoming, new.select(*keys, "__first"), keys, "file_id").withColumn(
+    report = lookup(incoming, new.select(*keys, "__first"), keys).withColumn(
         "reused", ~F.col("file_id").eqNullSafe(F.col("__first"))).drop("__first")
     return new.drop("__first"), report
 

@@ -20,7 +20,7 @@ def split_work(work: DataFrame, done: DataFrame, keys: Sequence[str] = CHUNK_KEY
 
 def reuse_counters(work: DataFrame, done: DataFrame, keys: Sequence[str] = CHUNK_KEYS) -> DataFrame:
     finished = done.where(F.col("status") == "completed").select(*keys).distinct().withColumn("__done", F.lit(True))
-    return lookup(work, finished, keys, work.columns).groupBy("job_id").agg(
+    return lookup(work, finished, keys).groupBy("job_id").agg(
         F.count_if("__done").alias("reused"), F.count_if(F.col("__done").isNull()).alias("new"))
 
 
@@ -30,7 +30,7 @@ def usable_evidence(requests: DataFrame, retained: DataFrame) -> DataFrame:
     ``requests``: job_id, provider_code, source_sha256, evidence_id.
     ``retained``: evidence_id, evidence_sha256, evidence_providers (array).
     """
-    joined = lookup(requests, retained, "evidence_id", ["job_id", "provider_code"])
+    joined = lookup(requests, retained, "evidence_id")
     return joined.withColumn("errors", F.array_compact(F.array(
         F.when(F.col("evidence_sha256").isNull(), F.lit("reused evidence is incomplete")),
         F.when(F.col("evidence_sha256") != F.col("source_sha256"), F.lit("evidence belongs to a different source audio")),

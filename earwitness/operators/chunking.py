@@ -185,7 +185,7 @@ def contiguity_errors(windows: DataFrame, keys: list[str], ends: DataFrame, gap_
     """
     placed = scan(windows, keys, ["start_sec", "end_sec"], slice_of("start_sec", 600),
                   previous={"__prev": F.col("end_sec")}, following={"__next": F.col("start_sec")})
-    joined = lookup(placed, ends, keys, "start_sec", "inner")
+    joined = lookup(placed, ends, keys, "inner")
     return joined.withColumn("errors", F.array_compact(F.array(
         F.when(F.abs(F.coalesce("__prev", "region_start_sec") - F.col("start_sec")) > gap_sec, F.lit("windows must be contiguous")),
         F.when(F.col("__next").isNull() & (F.abs(F.col("end_sec") - F.col("region_end_sec")) > end_sec), F.lit("windows do not reach the end")),
@@ -202,7 +202,7 @@ def consecutive_parts(parts: DataFrame, totals: DataFrame) -> DataFrame:
     whole = parts.groupBy("job_id").agg(F.sum("duration_sec").alias("__sum"), F.count(F.lit(1)).alias("__n"))
     delta = F.abs(F.col("__sum") - F.col("total_sec"))
     tolerance = F.greatest(F.lit(0.25), F.col("__n") * 0.05)
-    return lookup(placed, whole.join(totals, "job_id"), "job_id", "part_no", "inner").select(
+    return lookup(placed, whole.join(totals, "job_id"), "job_id", "inner").select(
         "job_id", "part_no", "duration_sec", "start_sec",
         F.least(F.col("total_sec"), F.col("start_sec") + F.col("duration_sec")).alias("end_sec"),
         delta.alias("duration_delta_sec"), (delta <= tolerance).alias("covers"))

@@ -42,7 +42,7 @@ def check_corrections(events: DataFrame, segments: DataFrame, seqs_per_slice: in
     """
     fields = ("segment_id", "accepted_text", "reason", "reviewer")
     known = segments.select(*KEYS, sha256_text(F.coalesce("text", F.lit(""))).alias("segment_sha256"))
-    joined = lookup(events, known, KEYS, "seq").withColumn("errors", F.array_compact(F.array(
+    joined = lookup(events, known, KEYS).withColumn("errors", F.array_compact(F.array(
         *[F.when(is_blank(F.col(f)), F.lit(f"{f} must be a non-empty string")) for f in fields],
         F.when(F.col("segment_sha256").isNull(), F.lit("unknown segment_id")),
     )))

@@ -4,16 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType
 
 from earwitness.functions.numbers import round_exact
 from earwitness.functions.text import text_tokens
 from earwitness.operators.scan import scan
-from earwitness.operators.skew import lookup
 
 RESERVE = 0.15
 CAP_SLACK = 1e-12
-MODELS_LIMIT = 10_000
+MODEL_SHARDS = 4
 
 
 def route_status(models: DataFrame) -> DataFrame:
@@ -39,23 +37,16 @@ def registry_errors(models: DataFrame) -> DataFrame:
     ))).drop("__ids", "__codes").where(F.size("errors") > 0)
 
 
-def with_every_model(rows: DataFrame, models: DataFrame, key: str = "job_id") -> DataFrame:
+def with_every_model(rows: DataFrame, models: DataFrame) -> DataFrame:
     """Each row with each registered model.
 
-    A registry is a few rows, checked here: it is inlined as a literal, so rows
-    are expanded where they are, without a shuffle. Should it ever be large, both
-    sides are spread over (shard, salt) and meet in an equi-join instead.
+    One plan at every size: the registry is dealt over ``MODEL_SHARDS`` shards, each
+    row meets every shard, and the sides join on the shard. Spark sends a registry
+    that its own size check finds small to all tasks, so that rows stay where they are.
     """
-    listed = [r[0] for r in models.select(F.to_json(F.struct("*"))).take(MODELS_LIMIT + 1)]
-    if len(listed) <= MODELS_LIMIT:
-        text = F.lit("[" + ",".join(listed) + "]")
-        return rows.select("*", F.inline(F.from_json(text, ArrayType(models.schema))))
-    spread = 64
-    left = rows.withColumn("__salt", F.pmod(F.xxhash64(key), F.lit(spread))).withColumn(
-        "__shard", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
-    right = models.withColumn("__shard", F.pmod(F.xxhash64("model_id"), F.lit(spread)).cast("int")).withColumn(
-        "__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(spread - 1).cast("long"))))
-    return left.join(right, ["__shard", "__salt"]).drop("__shard", "__salt")
+    left = rows.withColumn("__shard", F.explode(F.sequence(F.lit(0), F.lit(MODEL_SHARDS - 1))))
+    right = models.withColumn("__shard", F.pmod(F.xxhash64("model_id"), F.lit(MODEL_SHARDS)).cast("int"))
+    return left.join(right, "__shard").drop("__shard")
 
 
 def request_envelope(models: DataFrame, defaults: dict[str, int]) -> DataFrame:
@@ -163,22 +154,33 @@ def execution_plans(jobs: DataFrame, routes: DataFrame, mode: str, cap_usd: floa
         F.array_join(F.transform("__why", lambda w: w["why"]), "; ").alias("mode_readiness_reasons"))
 
 
-def spend_guard(costs: DataFrame, caps: DataFrame, bucket: Column) -> DataFrame:
-    """Stop each job before the first chunk whose estimate exceeds what is left.
+def spend_guard(costs: DataFrame, caps: DataFrame, bucket: Column, earlier: DataFrame | None = None) -> DataFrame:
+    """Stop each job before the first chunk that its budget no longer allows.
 
     ``costs``: job_id, seq, estimated, actual, cached. ``caps``: job_id, cap.
-    Cached chunks cost nothing and never stop a job. Spend before a chunk is a
-    running sum of actual costs; everything from the first breach on is not run.
+    ``earlier``: job_id, spent by runs before this one (none by default); it counts
+    against the cap from the start. A new chunk needs an estimate within what is
+    left. Once a chunk has taken actual spend past the cap nothing after it runs,
+    cached or not. ``spent_before`` is the running sum of actual costs, with what
+    was spent earlier.
     """
+    first = costs.groupBy("job_id").agg(F.min("seq").alias("__first"))
+    caps = caps.join(first, "job_id")
+    if earlier is None:
+        caps = caps.withColumn("__earlier", F.lit(0))
+    else:
+        before = earlier.groupBy("job_id").agg(F.sum("spent").alias("__earlier"))
+        caps = caps.join(before, "job_id", "left").fillna(0, ["__earlier"])
     spent = scan(
         costs, ["job_id"], ["seq"], bucket,
         sums_before={"spent_before": F.when(F.col("cached"), F.lit(0)).otherwise(F.col("actual"))})
-    spent = lookup(spent, caps, "job_id", "seq", "inner")
+    spent = spent.join(caps, "job_id").withColumn("spent_before", F.col("spent_before") + F.col("__earlier"))
     left = F.greatest(F.lit(0), F.col("cap") - F.col("spent_before"))
-    breach = ~F.col("cached") & ((F.col("estimated") > left) | (F.col("spent_before") > F.col("cap")))
+    overspent = (F.col("spent_before") > F.col("cap")) & (F.col("seq") > F.col("__first"))
+    breach = overspent | (~F.col("cached") & (F.col("estimated") > left))
     marked = spent.withColumn("__breach", breach)
     stops = marked.groupBy("job_id").agg(F.min(F.when(F.col("__breach"), F.col("seq"))).alias("__stop"))
-    return lookup(marked, stops, "job_id", "seq", "inner").select(
+    return marked.join(stops, "job_id").select(
         *costs.columns, "cap", "spent_before", F.coalesce(F.col("seq") < F.col("__stop"), F.lit(True)).alias("runs"))
 
 

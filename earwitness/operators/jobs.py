@@ -43,9 +43,11 @@ def list_items(manifests: DataFrame) -> DataFrame:
         F.coalesce(F.col("quality.review_url") != "", F.lit(False)).alias("has_quality_review"))
 
 
-def recent(items: DataFrame, limit: int = 24) -> DataFrame:
-    """Newest jobs first; the list length is clamped to 1..50."""
-    return items.orderBy(F.coalesce("updated_at", "created_at").desc(), "job_id").limit(max(1, min(int(limit), 50)))
+def recent(items: DataFrame, limit: int = 24, most: int = 50) -> DataFrame:
+    """Newest jobs first; ``limit`` is between 1 and the inbox's ceiling ``most``."""
+    if not 1 <= int(limit) <= most:
+        raise ValueError(f"limit must be between 1 and {most}")
+    return items.orderBy(F.coalesce("updated_at", "created_at").desc(), "job_id").limit(int(limit))
 
 
 def manifest_summary(manifests: DataFrame) -> DataFrame:
@@ -81,7 +83,7 @@ def newest_failed(sources: DataFrame, manifests: DataFrame) -> DataFrame:
     """For each source hash, the newest failed quality job to resume (largest folder name)."""
     failed = manifests.where(F.col("quality.overall_status") == "failed").groupBy("source.sha256").agg(
         F.max_by("job_id", "dir_name").alias("resume_job_id")).withColumnRenamed("sha256", "source_sha256")
-    return lookup(sources, failed, "source_sha256", [c for c in sources.columns if c != "source_sha256"], "inner")
+    return lookup(sources, failed, "source_sha256", "inner")
 
 
 def error_rollup(manifests: DataFrame) -> DataFrame:

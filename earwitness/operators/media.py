@@ -77,7 +77,7 @@ def silence_intervals(lines: DataFrame, durations: DataFrame) -> DataFrame:
     seen = scan(marks, ["file"], ["line_no"], bucket, previous={"__last": F.when(F.col("e").isNull(), F.col("s"))},
                 following={"__next": F.lit(True)})
     opened = F.coalesce("s", "__last", F.lit(0.0))
-    closed = lookup(seen, durations, "file", "line_no", "inner").select(
+    closed = lookup(seen, durations, "file", "inner").select(
         "file", "line_no", "duration_sec", "e", "s", "__next", opened.alias("opened"))
     ended = closed.where("e IS NOT NULL").select(
         "file", "line_no", F.col("opened").alias("start_sec"), F.least("e", "duration_sec").alias("end_sec"))

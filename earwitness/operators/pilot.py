@@ -186,7 +186,8 @@ def cohort_summary(eligible: DataFrame, generated_on: Column, *, rollup: bool =
 
     Rows are first reduced per cohort and participant, so a participant with a
     third of all records is one row before the second step. Participants are
-    counted again for the total, where cohorts may share them.
+    counted again for the total, where cohorts may share them. The total is there
+    without any record too, with zero counts and sums and NULL rates.
     """
     one = F.count(F.lit(1))
 
@@ -198,18 +199,21 @@ def cohort_summary(eligible: DataFrame, generated_on: Column, *, rollup: bool =
             *[F.sum(c).alias(f"sum_{c}") for c in (*RATINGS, "trust_change")],
             F.count_if(F.col("retention_review_due_on") < generated_on).alias("overdue"),
             F.count_if("public_excerpt_authorized").alias("excerpts"))
+        none = F.lit(0)
         whole = people.groupBy(*keys).agg(
-            F.sum("jobs").alias("eligible_jobs"), one.alias("participants"), F.count_if(F.col("jobs") >= 2).alias("repeat_participants"),
-            *[F.sum(c).alias(c) for c in ("completed", "usable", "reuse", *_SUMS, *_COUNTS, "overdue", "excerpts")],
+            F.coalesce(F.sum("jobs"), none).alias("eligible_jobs"), one.alias("participants"), F.count_if(F.col("jobs") >= 2).alias("repeat_participants"),
+            *[F.coalesce(F.sum(c), none).alias(c) for c in ("completed", "usable", "reuse", *_SUMS, *_COUNTS, "overdue", "excerpts")],
             *[F.sum(f"sum_{c}").alias(f"sum_{c}") for c in (*RATINGS, "trust_change")])
         blockers = eligible.groupBy(*keys, "primary_blocker").agg(one.alias("n")).groupBy(*keys).agg(
             F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("primary_blocker", "n"))),
                                      lambda b: F.concat(b["primary_blocker"], F.lit("="), b["n"].cast("string"))), ",").alias("blocker_counts"))
-        return whole.join(blockers, keys, "left")
+        if keys:
+            return whole.join(blockers, keys, "left")
+        return whole.withColumn("__one", F.lit(1)).join(blockers.withColumn("__one", F.lit(1)), "__one").drop("__one")
 
     # Read four times below; already reduced to one row per job.
-    eligible = cut_lineage(eligible.withColumn("__all", F.lit(1)))
-    rows = totals(["__all"]).withColumn("cohort_code", F.lit(None).cast("string")).drop("__all")
+    eligible = cut_lineage(eligible)
+    rows = totals([]).withColumn("cohort_code", F.lit(None).cast("string"))
     if rollup:
         rows = totals(["cohort_code"]).unionByName(rows)
     jobs, hours, cost, revenue = (F.col(c) for c in ("eligible_jobs", "audio_hours", "total_delivery_cost_usd", "price_charged_usd"))

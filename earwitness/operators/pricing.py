@@ -136,6 +136,8 @@ def quote_orders(orders: DataFrame, book: PriceBook = PriceBook()) -> tuple[Data
     # Almost every order settles at once; the cent search runs only for the rest.
     good = good.withColumn("s", settle(base)).withColumn(
         "s", F.when(F.col("s.meets"), F.col("s")).otherwise(F.try_element_at(F.filter(steps, lambda x: x["meets"]), F.lit(1))))
+    missed = good.where(F.col("s").isNull()).select(*orders.columns, F.array(F.lit("no price within a hundred cents of the floor meets the target margin")).alias("errors"))
+    good, bad = good.where(F.col("s").isNotNull()), bad.unionByName(missed)
     margin = F.round(F.try_divide(F.col("s.after_tax").cast("decimal(24,12)"), F.col("s.price").cast("decimal(12,2)")), 4).cast("decimal(10,4)")
     facts = good.select(
         "quote_id", "plan_id", "payment_method", "billed_audio_minutes", "requested_review_minutes_rounded", "billed_review_minutes",

@@ -17,7 +17,7 @@ def first_red(classified: DataFrame) -> DataFrame:
         F.struct("region_id", "start_sec", "end_sec"), "region_no").alias("r"))
     return best.select(
         "job_id", "r.*",
-        F.when(~(F.col("r.end_sec") > F.col("r.start_sec")), F.lit("invalid bounds")).alias("error"))
+        F.when(~F.coalesce(F.col("r.end_sec") > F.col("r.start_sec"), F.lit(False)), F.lit("invalid bounds")).alias("error"))
 
 
 def rescue_windows(selected: DataFrame, silences: DataFrame, policy: RescuePolicy = RescuePolicy(), framerate: int = 1000) -> DataFrame:
@@ -46,13 +46,18 @@ def rescue_windows(selected: DataFrame, silences: DataFrame, policy: RescuePolic
 
 
 def route(classified: DataFrame, windows: DataFrame, policy: RescuePolicy = RescuePolicy()) -> DataFrame:
-    """What to do with each recording: pass through, rescue, defer, or refuse (too many windows)."""
+    """What to do with each recording: pass through, rescue, defer, or refuse.
+
+    Refused are too many windows and a first RED region with invalid bounds. The
+    windows themselves are whole in ``rescue_windows``, whatever the route.
+    """
+    invalid = first_red(classified).where("error is not null").select("job_id", F.lit(True).alias("invalid"))
     jobs = classified.groupBy("job_id").agg(F.count_if(F.col("agreement_status") == "RED").alias("red_regions"))
     counts = windows.groupBy("job_id").agg(F.count(F.lit(1)).alias("windows"))
     n = F.coalesce("windows", F.lit(0))
-    return jobs.join(counts, "job_id", "left").select(
+    return jobs.join(counts, "job_id", "left").join(invalid, "job_id", "left").select(
         "job_id", "red_regions", n.alias("rescue_windows"),
-        F.when(F.col("red_regions") == 0, "pass_through").when(n > policy.hard_windows, "error")
+        F.when(F.col("red_regions") == 0, "pass_through").when(F.col("invalid") | (n > policy.hard_windows), "error")
         .when(n > policy.auto_windows, "deferred").otherwise("rescue").alias("route"))
 
 

@@ -33,7 +33,7 @@ def check_decisions(decisions: DataFrame, windows: DataFrame) -> DataFrame:
     w = windows.select(*KEYS, "review_required", "provider_candidates")
     kind = F.col("decision_type")
     offered = F.try_element_at("provider_candidates", F.col("selected_provider"))["text"]
-    joined = lookup(decisions, w, KEYS, "seq")
+    joined = lookup(decisions, w, KEYS)
     errors = F.array_compact(F.array(
         F.when(F.col("review_required").isNull(), F.lit("unknown review window")),
         F.when(F.col("review_required") == F.lit(False), F.lit("window does not require a decision")),
@@ -55,7 +55,7 @@ def check_decisions(decisions: DataFrame, windows: DataFrame) -> DataFrame:
 def check_speaker_decisions(decisions: DataFrame, windows: DataFrame) -> DataFrame:
     """``windows`` carries review_required and speaker_selected."""
     w = windows.select(*KEYS, "review_required", "speaker_selected")
-    joined = lookup(decisions, w, KEYS, "seq")
+    joined = lookup(decisions, w, KEYS)
     return joined.withColumn("errors", F.array_compact(F.array(
         F.when(F.col("review_required").isNull(), F.lit("unknown review window")),
         F.when(~(F.col("review_required") | F.col("speaker_selected")), F.lit("window is not selected for speaker verification")),

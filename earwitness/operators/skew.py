@@ -5,22 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-SALTS = 32
 
+def lookup(rows: DataFrame, facts: DataFrame, keys: Sequence[str] | str, how: str = "left") -> DataFrame:
+    """``rows`` with the facts of their key; ``facts`` holds at most one row per key.
 
-def lookup(
-    rows: DataFrame, facts: DataFrame, keys: Sequence[str] | str, spread_on: Sequence[str] | str, how: str = "left", salts: int = SALTS,
-) -> DataFrame:
-    """``rows.join(facts, keys, how)`` with every key's rows dealt over ``salts`` partitions.
-
-    ``facts`` holds at most one row per key and is repeated per salt, so a key with
-    a third of all rows is joined by ``salts`` tasks. Small facts are still
-    broadcast by Spark's own size check. ``how`` keeps or drops rows of the left side.
+    A plain equi-join: Spark sends facts that its size check finds small to all
+    tasks, and splits the partition of a key with many rows at run time. Nothing is
+    copied for a skew that may not be there. ``how`` keeps or drops rows of the left side.
     """
-    keys = [keys] if isinstance(keys, str) else list(keys)
-    spread_on = [spread_on] if isinstance(spread_on, str) else list(spread_on)
-    dealt = rows.withColumn("__salt", F.pmod(F.xxhash64(*spread_on), F.lit(salts)).cast("int"))
-    copies = facts.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return dealt.join(copies, [*keys, "__salt"], how).drop("__salt")
+    return rows.join(facts, [keys] if isinstance(keys, str) else list(keys), how)

@@ -178,7 +178,7 @@ def canonical_ids(events: DataFrame, seqs_per_slice: int = 100_000) -> DataFrame
         "job_id", F.col("seq").cast("long").alias("seq"), "local_speaker_key",
         F.nullif(strip(F.col("canonical_speaker_id")), F.lit("")).alias("canonical_speaker_id"), strip(F.col("display_name")).alias("display_name"))
     first = clean.groupBy(*keys).agg(F.min("seq").alias("__first"))
-    marked = lookup(clean, first, keys, "seq", "inner")
+    marked = lookup(clean, first, keys, "inner")
     deciding = (F.col("seq") == F.col("__first")) | F.col("canonical_speaker_id").isNotNull()
     replayed = sorted_fold(marked.where(deciding).drop("__first"), ["job_id"], ["seq"], _CanonicalIds, schema)
     rest = marked.where(~deciding).drop("__first")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from earwitness.functions.hashing import candidate_id
+from earwitness.functions.numbers import round_exact
 from earwitness.functions.similarity import ratio
 from earwitness.functions.text import is_blank, lexical_form, speaker_line, strip, word_count
 from earwitness.operators.fold import Fold, sorted_fold
@@ -24,7 +25,7 @@ CHUNK_KIND = r"(^|\.)transcript\.chunk\.v1$"
 ORDINALS_PER_SLICE = 1024
 
 # What counts as one boundary token, what may follow a repeat, and the repeat limits.
-TOKEN = r"[A-Za-z0-9]+(?:['’][A-Za-z0-9]+)*|[㐀-䶿一-鿿豈-﫿]|[^\W_]"
+TOKEN = r"[A-Za-z0-9]+(?:['’][A-Za-z0-9]+)*|[\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff]|[^\W_]"
 TOKEN_JVM = r"[A-Za-z0-9]+(?:['’][A-Za-z0-9]+)*|[\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{f900}-\x{faff}]|[\p{L}\p{N}]"
 SEPARATOR = r"[\s.,!?;:…，。！？；：、\-–—]+"
 MIN_TOKENS, MIN_CHARS, MAX_TOKENS = 4, 12, 100
@@ -160,7 +161,7 @@ def reconcile(records: DataFrame, threshold: float = 0.85) -> DataFrame:
     # A copy of another candidate scores 1.0 with it, so copies never lower the minimum.
     least = least_similarity(folded.select(*CHUNK, "ordinal", "form"))
     graded = summary.join(least, CHUNK, "left").withColumn(
-        "least", F.when(F.col("candidate_count") > 1, F.bround(F.coalesce("least_ratio", F.lit(1.0)), 6)))
+        "least", F.when(F.col("candidate_count") > 1, round_exact(F.coalesce("least_ratio", F.lit(1.0)), 6)))
     equal = F.col("distinct_texts") == 1
     reason = (
         F.when(F.col("usable_count") == 0, "no_usable_candidate_text")

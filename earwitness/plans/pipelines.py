@@ -23,12 +23,15 @@ def compare(docs: DataFrame, provider_order: Sequence[str], thresholds: Agreemen
     """Provider documents to aligned, classified regions with statistics and rejects.
 
     A recording with any unusable candidate is set aside whole: partial evidence
-    would look like disagreement.
+    would look like disagreement. ``rejects`` has all its candidates, those that are
+    usable with the reason ``other candidate of the recording is unusable``.
     """
     order = agreement.check_order(provider_order)
     found = alignment.timeline_candidates(docs)
-    bad = found.where(F.size("errors") > 0)
-    good = found.join(bad.select("job_id").distinct(), "job_id", "left_anti").withColumn("missing", F.lit(False)).drop("errors")
+    spoilt = found.where(F.size("errors") > 0).select("job_id").distinct()
+    good = found.join(spoilt, "job_id", "left_anti").withColumn("missing", F.lit(False)).drop("errors")
+    bad = found.join(spoilt, "job_id", "left_semi").withColumn(
+        "errors", F.when(F.size("errors") > 0, F.col("errors")).otherwise(F.array(F.lit("other candidate of the recording is unusable"))))
     aligned = alignment.align(good)
     keys = ["job_id", "region_no", "region_id", "region_start_sec", "region_end_sec"]
     fields = ["text", "candidate_id", "start_sec", "end_sec", "source_kind", "source_index", "segment_id", "chunk_filename", "model", "run_id"]
@@ -68,12 +71,12 @@ def aggregate(payloads: DataFrame) -> dict[str, DataFrame]:
             "rejects": decisions.where(F.size("errors") > 0)}
 
 
-def speaker_timeline(payloads: DataFrame, windows: DataFrame, provider_code: Column, slice_width: float) -> dict[str, DataFrame]:
-    """Raw timed payloads to turns, window evidence and local speakers."""
+def speaker_timeline(payloads: DataFrame, windows: DataFrame, provider_code: Column, slice_width: float, run_id: str = "run-1") -> dict[str, DataFrame]:
+    """Raw timed payloads of one run to turns, window evidence and local speakers of that run."""
     timed = provider_json.native_timing(payloads)
     words = timed.where((F.col("collection") == "words") & F.col("warning").isNull()).select(
         "job_id", F.concat_ws("/", "chunk_filename", F.format_string("%010d", "index")).alias("word_no"), "text", "speaker",
-        F.lit("run-1").alias("run_id"), "chunk_filename", F.col("global_start_sec").alias("start"), F.col("global_end_sec").alias("end"))
+        F.lit(run_id).alias("run_id"), "chunk_filename", F.col("global_start_sec").alias("start"), F.col("global_end_sec").alias("end"))
     turns = cut_lineage(sp.speaker_turns(words))
     return {"warnings": timed.where(F.col("warning").isNotNull()), "turns": turns, "statistics": sp.timeline_statistics(turns),
             "windows": sp.attach_evidence(windows, turns, slice_width),

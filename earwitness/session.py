@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,19 +27,38 @@ def build_session(app: str = "earwitness", master: str | None = None, **conf: st
         builder = builder.master(master)
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship(spark)
+    return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package's source to all executors, once for each context.
+
+    Functions that run in Python workers are found by module name there, so workers
+    need the package wherever they start.
+    """
+    context = spark.sparkContext
+    if not getattr(context, "_earwitness_shipped", False):
+        package = Path(__file__).resolve().parent
+        archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='earwitness-')}/{package.name}", "zip", package.parent, package.name)
+        context.addPyFile(archive)
+        context._earwitness_shipped = True
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder the cluster names.
 
-    ``spark.checkpoint.dir`` wins; a folder of our own is made only when nothing
-    is configured (local tests).
+    ``spark.checkpoint.dir`` wins. In local mode, where driver and executors are one
+    process, a folder of our own is made if nothing is set; on a cluster that is an
+    error, since executors would not see each other's files.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None and re.fullmatch(r"local(\[.*\])?", context.master) is None:
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-ckpt-", dir="/tmp"))
     return df.checkpoint(eager=True)
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import posixpath
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -27,9 +30,11 @@ def manifests(spark: SparkSession, glob: str) -> DataFrame:
 
 
 def chunk_transcripts(spark: SparkSession, glob: str, root: str) -> tuple[DataFrame, DataFrame]:
-    """Chunk transcripts inside ``root`` and files refused (unreadable or elsewhere)."""
+    """Chunk transcripts inside the folder ``root`` and files refused (unreadable or elsewhere)."""
     rows = _documents(spark, glob, schemas.chunk_transcript())
-    inside = F.contains("file_path", F.lit(root.rstrip("/") + "/")) & ~F.contains("file_path", F.lit("/../"))
+    scheme = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
+    folder = posixpath.normpath(re.sub(scheme, "", root)).rstrip("/") + "/"
+    inside = F.startswith(F.regexp_replace("file_path", scheme, ""), F.lit(folder)) & ~F.contains("file_path", F.lit("/../"))
     good = inside & F.col("_corrupt_record").isNull()
     return rows.where(good).drop("_corrupt_record"), rows.where(~good)
 

@@ -10,11 +10,13 @@ from pyspark.sql.types import StructType
 from earwitness.operators.latest import latest
 
 
-def ledger_stream(spark: SparkSession, path: str, schema: StructType, lateness: str = "7 days") -> DataFrame:
-    """New ledger events; an ``event_id`` delivered again within ``lateness`` is dropped."""
-    return (
-        spark.readStream.schema(schema).json(path)
-        .withWatermark("recorded_at", lateness).dropDuplicatesWithinWatermark(["event_id"]))
+def ledger_stream(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """New ledger events, however late; none is dropped.
+
+    An event delivered again has the ``seq`` and content of its first delivery, so
+    the latest record per job is the same with it and without it.
+    """
+    return spark.readStream.schema(schema).json(path)
 
 
 def maintain_latest(events: DataFrame, target: str, checkpoint: str) -> StreamingQuery:

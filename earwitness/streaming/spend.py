@@ -15,8 +15,9 @@ class SpendGuard(StatefulProcessor):
     """State per job: what was spent, whether it stopped, and the chunks already seen.
 
     A chunk delivered twice (same hash, model, provider) is ignored. Once a chunk
-    breaks the budget the job stays stopped, also across restarts. Arrivals of one
-    batch are taken in ``seq`` order.
+    breaks the budget, or has taken actual spend past it, the job stays stopped for
+    all chunks after it, also across restarts. A job's arrivals of one micro-batch
+    are gathered and taken in ``seq`` order; the trigger bounds how many those are.
     """
 
     def __init__(self, cap: int) -> None:
@@ -29,18 +30,15 @@ class SpendGuard(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         spent, stopped = self.spent.get() if self.spent.exists() else (0, False)
         out = []
-        for batch in rows:
-            for r in batch.sort_values("seq").itertuples(index=False):
-                identity = (f"{r.chunk_sha256}/{r.model}/{r.provider_code}",)
-                if self.seen.containsKey(identity):
-                    continue
-                self.seen.updateValue(identity, (int(r.seq),))
-                if not r.cached and (stopped or spent > self.cap or r.estimated > max(0, self.cap - spent)):
-                    stopped = True
-                runs = not stopped
-                out.append((key[0], int(r.seq), int(spent), runs))
-                if runs and not r.cached:
-                    spent += int(r.actual)
+        for r in pd.concat(list(rows)).sort_values("seq", kind="stable").itertuples(index=False):
+            identity = (f"{r.chunk_sha256}/{r.model}/{r.provider_code}",)
+            if self.seen.containsKey(identity):
+                continue
+            self.seen.updateValue(identity, (int(r.seq),))
+            stopped = stopped or spent > self.cap or (not r.cached and r.estimated > max(0, self.cap - spent))
+            out.append((key[0], int(r.seq), int(spent), not stopped))
+            if not stopped and not r.cached:
+                spent += int(r.actual)
         self.spent.update((int(spent), bool(stopped)))
         yield pd.DataFrame(out, columns=["job_id", "seq", "spent_before", "runs"])
 

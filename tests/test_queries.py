@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 SAMPLE = (
     "region_pairs_missing", "align_regions", "cer_characters", "speaker_turns", "speaker_overlap_join", "merged_duration", "review_summary",
     "full_transcript", "srt_cues", "corrections_applied", "cumulative_spend_stop", "cost_preflight", "price_quotes", "pilot_rollup", "chain_verify",
-    "nearest_silence", "archive_folders", "object_retention", "job_inbox", "native_timing", "status_counts")
+    "nearest_silence", "archive_folders", "object_retention", "job_inbox", "native_timing", "spend_summary", "spend_after_earlier_runs", "wer_words", "scorecards", "release_gate", "eval_report")
 
 
 @pytest.fixture(scope="module")
