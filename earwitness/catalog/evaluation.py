@@ -24,13 +24,29 @@ def cases(spark, sf):
             F.array().cast("array<string>")).alias("contract_errors"))
 
 
-@query("wer_words")
+# The SQL engine counts bytes in levenshtein, so accented letters become unused capitals first.
+_PLAIN = "translate(replace(trim(regexp_replace(lower({0}), '\\s+', ' ', 'g')), ' ', ''), 'àáâäçèéêëíîïñóôöùúûüß¿¡', 'ABCDEFGHIJKLMNOPQRSTUVW')"
+# Word distance row by row: each word of the reference turns the row of the words before it into its own.
+_WORD_DISTANCE = """list_reduce(r, lambda row, w: list_reduce(range(1, len(h) + 1),
+    lambda new, j: list_append(new, least(new[j] + 1, row[j + 1] + 1, row[j] + CASE WHEN w = h[j] THEN 0 ELSE 1 END)), [row[1] + 1]), range(len(h) + 1))[len(h) + 1]"""
+_WORDS_SQL = f"""{t.SEGMENTS_SQL}, heard AS (
+  SELECT job_id, ord, speaker, dur_ms, 'bravo' AS provider, text AS r, lower(replace(replace(text, '.', ''), ',', '')) AS h FROM segments
+  UNION ALL
+  SELECT job_id, ord, speaker, dur_ms, 'charlie', text,
+    CASE WHEN speaker = 'system' THEN '' ELSE array_to_string(list_filter(regexp_extract_all(text, '\\S+'), lambda w: length(w) > 2), ' ') END
+  FROM segments),
+spoken AS (SELECT * EXCLUDE (r, h), regexp_extract_all(lower(r), '\\S+') AS r, regexp_extract_all(lower(h), '\\S+') AS h FROM heard),
+wer AS (SELECT job_id, ord, provider, CASE WHEN len(r) = 0 THEN CASE WHEN len(h) = 0 THEN 0.0 ELSE 1.0 END ELSE CAST({_WORD_DISTANCE} AS DOUBLE) / len(r) END AS wer FROM spoken)"""
+
+
+@query("wer_words", sql=f"""
+WITH {_WORDS_SQL}
+SELECT format('{{}}/{{}}', job_id, ord) AS id, provider, wer AS word_error_rate FROM wer
+""")
 def wer_words(spark, sf):
     return ev.evaluate(cases(spark, sf)).select("id", "provider", "word_error_rate")
 
 
-# The SQL engine counts bytes in levenshtein, so accented letters become unused capitals first.
-_PLAIN = "translate(replace(trim(regexp_replace(lower({0}), '\\s+', ' ', 'g')), ' ', ''), 'àáâäçèéêëíîïñóôöùúûüß¿¡', 'ABCDEFGHIJKLMNOPQRSTUVW')"
 
 
 @query("cer_characters", sql=f"""
@@ -51,19 +67,45 @@ def cer_characters(spark, sf):
     return ev.evaluate(cases(spark, sf)).select("id", "provider", "character_error_rate")
 
 
-@query("scorecards")
+_CARDS_SQL = f"""{_WORDS_SQL},
+letters AS (SELECT job_id, ord, provider, speaker, dur_ms, {_PLAIN.format('r')} AS r, {_PLAIN.format('h')} AS h FROM heard),
+results AS (SELECT l.*, w.wer, CASE WHEN length(l.r) = 0 THEN CASE WHEN length(l.h) = 0 THEN 0.0 ELSE 1.0 END ELSE CAST(levenshtein(l.r, l.h) AS DOUBLE) / length(l.r) END AS cer,
+  CAST(l.provider = 'charlie' AND speaker = 'system' AS BIGINT) AS errors FROM letters l JOIN wer w USING (job_id, ord, provider)),
+cards AS (SELECT provider, 'm1' AS model, count(*) AS case_count, string_agg(DISTINCT speaker, ',' ORDER BY speaker) AS languages,
+  round(avg(wer), 9) AS mean_word_error_rate, round(avg(cer), 9) AS mean_character_error_rate, round(max(wer), 9) AS max_word_error_rate, round(max(cer), 9) AS max_character_error_rate,
+  CAST(sum(errors) AS BIGINT) AS contract_error_count, round(sum(dur_ms) / 1000.0, 6) AS duration_seconds, round(sum(ceil(dur_ms / 1000.0) * 0.0045::DOUBLE / 60), 9) AS total_cost_usd,
+  round(sum(ceil(dur_ms / 1000.0) * 0.0045::DOUBLE / 60) / (sum(dur_ms) / 1000.0 / 60), 9) AS cost_per_audio_minute_usd,
+  CASE WHEN sum(errors) > 0 OR avg(wer) > 0.30 OR avg(cer) > 0.20 THEN 'fail' WHEN avg(wer) > 0.15 OR avg(cer) > 0.10 THEN 'warn' ELSE 'pass' END AS qualification
+  FROM results GROUP BY provider)"""
+#: Means and sums of doubles depend on the order of addition in the last digits, so both sides are rounded.
+_ROUNDED = ("mean_word_error_rate", "mean_character_error_rate", "max_word_error_rate", "max_character_error_rate", "duration_seconds", "total_cost_usd", "cost_per_audio_minute_usd")
+
+
+def _rounded(df):
+    return df.withColumns({c: F.round(c, 6 if c == "duration_seconds" else 9) for c in _ROUNDED if c in df.columns})
+
+
+@query("scorecards", sql=f"WITH {_CARDS_SQL} SELECT * FROM cards")
 def scorecards(spark, sf):
-    return ev.scorecards(ev.evaluate(cases(spark, sf))).withColumn("languages", F.array_join("languages", ","))
+    return _rounded(ev.scorecards(ev.evaluate(cases(spark, sf)))).withColumn("languages", F.array_join("languages", ","))
 
 
-@query("release_gate")
+@query("release_gate", sql=f"""
+WITH {_CARDS_SQL}
+SELECT CASE WHEN count(*) = 0 OR count(*) FILTER (qualification = 'fail') > 0 THEN 'fail' WHEN count(*) FILTER (qualification = 'warn') > 0 THEN 'warn' ELSE 'pass' END AS status,
+  count(*) AS provider_scorecard_count FROM cards
+""")
 def release_gate(spark, sf):
     return ev.release_gate(ev.scorecards(ev.evaluate(cases(spark, sf))))
 
 
-@query("eval_report")
+@query("eval_report", sql=f"""
+WITH {_CARDS_SQL}
+SELECT count(*) AS case_count, string_agg(DISTINCT speaker, ',' ORDER BY speaker) AS languages, round(avg(wer), 9) AS mean_word_error_rate, round(avg(cer), 9) AS mean_character_error_rate,
+  round(max(wer), 9) AS max_word_error_rate, round(max(cer), 9) AS max_character_error_rate, CAST(sum(errors) AS BIGINT) AS contract_error_count FROM results
+""")
 def eval_report(spark, sf):
-    return ev.report(ev.evaluate(cases(spark, sf))).withColumn("languages", F.array_join("languages", ","))
+    return _rounded(ev.report(ev.evaluate(cases(spark, sf)))).withColumn("languages", F.array_join("languages", ","))
 
 
 @query("contract_errors", sql=f"""
