@@ -34,7 +34,7 @@ FROM region_candidates l JOIN region_candidates r
 """)
 def region_pairs_missing(spark, sf):
     pairs = agreement.with_pairwise(regions(spark, sf), t.PROVIDERS)
-    return pairs.select("job_id", F.col("region_no").alias("ord"), F.explode("pairwise").alias("p")).select(
+    return pairs.select("job_id", F.col("region_no").alias("ord"), F.explode_outer("pairwise").alias("p")).select(
         "job_id", "ord", F.col("p.providers")[0].alias("left_provider"), F.col("p.providers")[1].alias("right_provider"),
         F.col("p.missing").alias("missing"))
 
@@ -48,7 +48,7 @@ def region_status(spark, sf):
 
 @query("pair_scores")
 def pair_scores(spark, sf):
-    return classified(spark, sf).select("job_id", "region_id", F.explode("pairwise").alias("p")).select(
+    return classified(spark, sf).select("job_id", "region_id", F.explode_outer("pairwise").alias("p")).select(
         "job_id", "region_id", F.array_join("p.providers", "|").alias("providers"), "p.missing",
         "p.character_similarity", "p.token_similarity", "p.length_ratio", "p.derived_similarity")
 

@@ -190,12 +190,12 @@ def correction_rejects(spark, sf):
 
 
 def provider_results(spark, sf):
-    return t.region_candidates(spark, sf).where(F.col("provider") != "charlie").select(
+    return t.region_candidates(spark, sf).select(
         "job_id", F.col("provider").alias("provider_code"), (F.col("ord") + 1).alias("chunk_no"), F.concat("provider", F.lit("-1")).alias("model"),
         F.concat(F.lit("run-"), "speaker").alias("run_id"), "text")
 
 
-@query("retained_documents", sql=f"WITH {t.REGION_CANDIDATES_SQL}, heard AS (SELECT job_id, provider AS provider_code, ord, text FROM region_candidates WHERE provider <> 'charlie')"
+@query("retained_documents", sql=f"WITH {t.REGION_CANDIDATES_SQL}, heard AS (SELECT job_id, provider AS provider_code, ord, text FROM region_candidates)"
        + parts_sql("heard", "job_id, provider_code", "text", BLANK))
 def retained_documents(spark, sf):
     return tr.retained_documents(provider_results(spark, sf)).select("job_id", "provider_code", "part", "body")
@@ -205,7 +205,7 @@ def retained_documents(spark, sf):
 WITH {t.REGION_CANDIDATES_SQL}
 SELECT job_id, provider AS provider_code, count(*) AS chunk_count, array_to_string(list_sort(list(DISTINCT 'run-' || speaker)), ',') AS run_ids,
   provider || '-1' AS requested_model, CAST(sum(length(text)) + 2 * (count(*) - 1) AS BIGINT) AS character_count
-FROM region_candidates WHERE provider <> 'charlie' GROUP BY job_id, provider
+FROM region_candidates GROUP BY job_id, provider
 """)
 def retained_index(spark, sf):
     return tr.retained_index(provider_results(spark, sf)).withColumn("run_ids", F.array_join("run_ids", ","))
