@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import os
+import re
+import struct
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import partial
+from functools import cache, partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from earwitness.llm.common import Memo, extend, numbered
+from earwitness.llm.common import extend, numbered
 
 #: Pieces packed together by one task; as many shards as the pieces need are packed independently.
 SHARD_PIECES = 8192
@@ -37,41 +41,92 @@ class Capacities:
 DEFAULT = Capacities()
 
 
-def _tokenizer(path: str | None):
-    import public_tokenizers
-    from tokenizers import Tokenizer
+#: A full stop or comma before a space that another sign precedes: the tokenizer keeps them together.
+_CROWDED = re.compile(r"[^A-Za-z0-9À-ÖØ-öø-ÿ\s][.,] ")
+_PLAIN = re.compile(r"[a-zß-öø-ÿ]+")
 
-    return Tokenizer.from_file(path or public_tokenizers.path("word_bpe_49k.json"))
+
+def space_free_parts(text: str | None) -> list[str]:
+    """Parts of a text whose tokens, one part after the other, are the text's.
+
+    No pattern of the tokenizer crosses a space or a line feed, and its normal forms
+    leave them apart. In a Latin-1 text, where lower case and normal forms are plain,
+    words are lower-cased first and lose a full stop or comma that stands alone
+    after them, so that fewer parts are new.
+    """
+    if not text:
+        return []
+    line = text.replace("\n", " ")
+    try:
+        line.encode("latin-1")
+    except UnicodeEncodeError:
+        return line.split(" ")
+    line = line.lower()
+    if _CROWDED.search(line) is None:
+        line = line.replace(". ", " . ").replace(", ", " , ")
+    return line.split(" ")
 
 
 class WordTokens:
-    """Token ids of texts by way of their words.
+    """Token ids of texts by way of their space-free parts, which repeat: new ones only are encoded.
 
-    No pattern of the tokenizer crosses a space or a line feed, and its normal
-    forms leave them apart, so a text's ids are those of its space-free parts in
-    order. Parts repeat; each new one is encoded once by the tokenizer itself.
+    A plain word is one piece for the tokenizer's patterns and goes straight to its model.
     """
 
-    def __init__(self, path: str | None = None) -> None:
-        self.tokenizer = _tokenizer(path)
-        self.memo = Memo(self._encode)
-
-    def _encode(self, part: str) -> bytes:
-        return np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
+    def __init__(self, path: str | None = None, entries: int = 250_000) -> None:
+        import public_tokenizers
+        from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks share the cores already
+        self.whole = Tokenizer.from_file(path or public_tokenizers.path("word_bpe_49k.json"))
+        self.plain = Tokenizer(self.whole.model)
+        self.plain.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.whole.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that end a word
+        self.ends[[k for token, k in vocabulary.items() if token.endswith(self.whole.model.end_of_word_suffix)]] = True
+        self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+        self.entries = entries
+
+    def _whole(self, texts: list[str]) -> Iterator[tuple[str, bytes]]:
+        encoded = self.whole.encode_batch_fast(texts, add_special_tokens=False)
+        return zip(texts, (struct.pack(f"<{len(e.ids)}I", *e.ids) for e in encoded), strict=True)
+
+    def _plain(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """All words in one text; each ends with the next token that ends a word."""
+        ids = np.array(self.plain.encode("\n".join(words), add_special_tokens=False).ids, "<u4")
+        cuts = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
+        raw = ids.tobytes()
+        return zip(words, (raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)), strict=True)
 
     def learn(self, parts: set[str]) -> None:
-        new = [p for p in parts if p not in self.memo]
-        if len(self.memo) + len(new) > self.memo.entries:
-            self.memo.clear()
-            new = list(parts)
-        for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.memo[p] = np.array(e.ids, "<u4").tobytes()
+        """Makes all of ``parts`` known. What was not met for long is forgotten, half of it at a time."""
+        if len(self.known) > self.entries:
+            self.before, self.known = self.known, {}
+        plain, odd = [], []
+        for p in parts.difference(self.known):
+            ids = self.before.get(p)
+            if ids is not None:
+                self.known[p] = ids
+            elif p.isalpha() and _PLAIN.fullmatch(p):
+                plain.append(p)
+            else:
+                odd.append(p)
+        self.known.update(self._whole(odd))
+        self.known.update(self._plain(plain))
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of every text."""
-        parts = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
+        parts = [space_free_parts(t) for t in texts]
         self.learn(set().union(*parts))
-        return [b"".join(map(self.memo.__getitem__, p)) for p in parts]
+        return [b"".join(map(self.known.__getitem__, p)) for p in parts]
+
+
+@cache
+def _words(path: str | None) -> WordTokens:
+    """One for each worker process, which keeps what it has learned for its next task."""
+    return WordTokens(path)
 
 
 _END = np.array([1], "<u4").tobytes()
@@ -79,7 +134,7 @@ _PIECE = "piece:int,start:long,length:long,ids_crc32:long"
 
 
 def _cutter(path: str | None, tokens: int, with_ids: bool):
-    words = WordTokens(path)
+    words = _words(path)
 
     def pieces(ids: bytes) -> list[dict]:
         out = []
@@ -90,7 +145,7 @@ def _cutter(path: str | None, tokens: int, with_ids: bool):
 
     def make(batch):
         texts = batch.column("text").to_pylist()
-        return {"pieces": [pieces(ids + _END) for at in range(0, len(texts), 64) for ids in words.ids(texts[at : at + 64])]}
+        return {"pieces": [pieces(ids + _END) for at in range(0, len(texts), 256) for ids in words.ids(texts[at : at + 256])]}
 
     return make
 
