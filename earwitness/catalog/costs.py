@@ -197,7 +197,8 @@ ok AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY k) AS rn FROM f
   WHERE (price::HUGEINT * 600000 - cost - fee_c::HUGEINT * 600000) * 83 >= price::HUGEINT * 600000 * 15)
 SELECT job_id AS quote_id, CASE p WHEN 0 THEN 'dialect_draft' WHEN 1 THEN 'compare_and_flag' ELSE 'human_review_budget' END AS plan_id,
   CASE WHEN card THEN 'card' ELSE 'paynow' END AS payment_method, bm AS billed_minutes, price AS price_cents, fee_c AS fee_cents,
-  CAST((cost + 300000) // 600000 AS BIGINT) AS delivery_cents FROM ok WHERE rn = 1
+  CAST((cost + 300000) // 600000 AS BIGINT) AS delivery_cents,
+  strftime(TIMESTAMP '2026-09-11 00:00:00' + INTERVAL 30 MINUTE, '%Y-%m-%d %H:%M') AS expires_at FROM ok WHERE rn = 1
 """)
 def price_quotes(spark, sf):
     quotes, _ = pricing.quote_orders(orders_to_quote(spark, sf))
@@ -207,7 +208,8 @@ def price_quotes(spark, sf):
 
     return quotes.select(
         "quote_id", "plan_id", "payment_method", F.coalesce("billed_audio_minutes", "billed_review_minutes").alias("billed_minutes"),
-        cents("price_pre_gst").alias("price_cents"), cents("payment_fee_estimate").alias("fee_cents"), cents("delivery_cost").alias("delivery_cents"))
+        cents("price_pre_gst").alias("price_cents"), cents("payment_fee_estimate").alias("fee_cents"), cents("delivery_cost").alias("delivery_cents"),
+        F.date_format("expires_at", "yyyy-MM-dd HH:mm").alias("expires_at"))
 
 
 def orders_to_quote(spark, sf):
