@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from functools import partial
 
+import numpy as np
 import pyarrow as pa
+from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -88,3 +90,31 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors share, where checkpoints go."""
     cut_lineage(spark.range(0))  # names the folder where the session has none yet
     return spark.sparkContext.getCheckpointDir()
+
+
+#: Bits of a bitmap: 8 MB for every task, whatever the data.
+BITMAP_BITS = 1 << 26
+
+
+def bitmaps(values: DataFrame, column: str, *conditions: Column, bits: int = BITMAP_BITS) -> list[Broadcast]:
+    """For each condition a bit for each hash in the long ``column``, sent to all tasks: what may be among the values.
+
+    The size is fixed. Rows whose bit is not set are surely not among the values and
+    need no join; a crowded bitmap only saves less.
+    """
+    place = F.col(column).bitwiseAND(F.lit(bits - 1))
+    bit = F.expr(f"shiftleft(1L, cast({column} & 63 as int))")
+    marked = values.select(F.shiftrightunsigned(place, 6).alias("word"), *(F.when(c, bit).otherwise(F.lit(0).cast("long")).alias(f"bit{k}") for k, c in enumerate(conditions)))
+    found = marked.groupBy("word").agg(*(F.bit_or(f"bit{k}").alias(f"bit{k}") for k in range(len(conditions)))).toArrow()
+    out = []
+    for k in range(len(conditions)):
+        words = np.zeros(bits >> 6, np.uint64)
+        words[found.column("word").to_numpy()] = found.column(f"bit{k}").to_numpy().view(np.uint64)
+        out.append(values.sparkSession.sparkContext.broadcast(words))
+    return out
+
+
+def maybe_in(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes may be among a bitmap's values."""
+    place = hashes.view(np.uint64) & np.uint64(len(words) * 64 - 1)
+    return (words[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1

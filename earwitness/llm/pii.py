@@ -70,8 +70,10 @@ _PATTERNS = (
 _TITLES = {t.lower(): g for titles, g in ((MALE_TITLES, "m"), (FEMALE_TITLES, "f"), (OTHER_TITLES, "n")) for t in titles}
 _TITLED = re.compile(rf"(?<!\w)({'|'.join(sorted(map(re.escape, (*MALE_TITLES, *FEMALE_TITLES, *OTHER_TITLES)), key=len, reverse=True))})\.?[  ]({_NAME_WORD})(?:[  ]({_NAME_WORD}))?(?:[  ]({_NAME_WORD}))?")
 _GIVEN = re.compile(rf"(?<!\w)({'|'.join(n for names in GIVEN.values() for n in names)})[  ]({_NAME_WORD})(?!\w)")
+_KNOWN = (*MALE_TITLES, *FEMALE_TITLES, *OTHER_TITLES, *(n for names in GIVEN.values() for n in names))
 #: What a text must have, for the JVM, before Python looks at it: a digit, an at sign, a title or a known name.
-SUSPECT = "[0-9@]|" + "|".join((*MALE_TITLES, *FEMALE_TITLES, *OTHER_TITLES, *(n for names in GIVEN.values() for n in names)))
+#: The names are tried only where one of their first letters is.
+SUSPECT = f"[0-9@]|(?=[{''.join(sorted({n[0] for n in _KNOWN}))}])(?:{'|'.join(sorted(_KNOWN))})"
 
 
 @dataclass(frozen=True)

@@ -94,19 +94,31 @@ def test_hamming_distance_is_a_lower_bound():
         a = np.unique(rng.integers(0, 2**63, size).astype(np.uint64))
         b = np.unique(np.concatenate([a[3:], rng.integers(0, 2**63, 3).astype(np.uint64)]))
         band = jaccard.bands_of(len(a), 80)[0]
-        x, y = (np.frombuffer(jaccard.sketch(s, band, 80), np.uint8) for s in (a, b))
-        assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
+        x, y = (np.frombuffer(jaccard.sketch(s, band, 80), np.uint32) for s in (a, b))
+        assert np.bitwise_count((x ^ y) & jaccard.PARITY).sum() <= 6 and (x != y).sum() <= 6
 
 
 @pytest.mark.parametrize("percent", [60, 80, 90, 95])
-def test_bands_and_chunks_miss_no_sizes(percent):
-    for small in [*range(1, 300), 1000, 5000]:
-        for large in {small, small * 100 // percent}:
-            shared = set(jaccard.bands_of(small, percent)) & set(jaccard.bands_of(large, percent))
-            assert jaccard.bands_of(small, percent)[0] in shared
-            differ = (small + large) * (100 - percent) // (100 + percent)
-            band = jaccard.bands_of(small, percent)[0]
-            assert differ == 0 or jaccard.band_chunks(band, percent) >= differ + 2
+def test_linked_sets_share_two_keys(percent):
+    """As far apart as a link allows, for sizes across bands."""
+    rng = np.random.default_rng(percent)
+    for size in [*range(1, 60), 90, 150, 400, 1500]:
+        for grow in (0, size * (100 - percent) // percent):  # other set larger, or as large with swaps
+            a = np.unique(rng.integers(0, 2**63, size).astype(np.uint64))
+            if grow:
+                b = np.unique(np.concatenate([a, rng.integers(0, 2**63, grow).astype(np.uint64)]))
+            else:
+                swaps = int(size * (100 - percent) / (100 + percent))
+                b = np.unique(np.concatenate([a[swaps:], rng.integers(0, 2**63, swaps).astype(np.uint64)]))
+            both = len(np.intersect1d(a, b))
+            assert both * 100 >= percent * len(np.union1d(a, b))
+            if both == len(a) == len(b):
+                continue
+            keys = []
+            for s in (a, b):
+                bands = [k for k in jaccard.bands_of(len(s), percent) if jaccard.band_chunks(k, percent)[1]]
+                keys.append(np.concatenate([jaccard.chunk_keys(jaccard.sketch(s, k, percent), k, percent) for k in bands]))
+            assert len(np.intersect1d(*keys)) >= 2
 
 
 def test_roots_of_chains_and_stars(spark):
