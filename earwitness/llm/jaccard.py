@@ -1,42 +1,44 @@
 """N-gram Jaccard join by parity sketches.
 
 A document's set holds its distinct word shingles. Every set is XOR-hashed into a
-bit sketch: a bit is the parity of the shingles that fall on it, so the Hamming
-distance of two sketches is at most the symmetric difference of the sets. At a
-similarity of ``percent`` sets of sizes x and y differ in at most
-``(x + y) * (100 - percent) / (100 + percent)`` shingles. Sketches of a size band
-are cut into two chunks more than that bound, so linked sets agree in two whole
-chunks at least (pigeonhole). Pairs that do are verified on the exact sets.
+sketch of 32-bit chunks: a shingle falls on one chunk, flips one of its parity
+bits and XORs a hash into the rest. So the Hamming distance of two sketches, in
+parity bits as well as in chunks, is at most the symmetric difference of the sets.
+At a similarity of ``percent`` sets of sizes x and y differ in at most
+``(x + y) * (100 - percent) / (100 + percent)`` shingles. A set with two chunks
+in use more than that shares two of them with every set it is linked to
+(pigeonhole); sketches of a size band are long enough for that, and the rare set
+that has fewer in use gives its unused chunks too. Pairs that share two chunks
+are verified on the exact sets.
 
 Documents with equal sets are one class, and everything after the first scan
 works on classes. Buckets with equal members count once. Small buckets give their
 pairs; a large one is compared in blocks of sketches, first along a spanning
 forest, then wherever classes that may be linked are still apart. No pair that
 could join two components goes unverified, and no group is expanded into all
-its pairs.
+its pairs. Fixed-size bitmaps keep rows that can't matter out of shuffles.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_right
-from functools import partial
+from functools import cache, partial, reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from earwitness.llm.common import Memo, extend, numbered, utf8
+from earwitness.llm.common import Memo, bitmaps, extend, maybe_in, numbered, utf8
 from earwitness.llm.components import roots
 from earwitness.session import cut_lineage
 
 #: Words of a shingle, and the least similarity in percent.
 WORDS, PERCENT = 5, 80
-#: Bits of a chunk.
-CHUNK_BITS = 32
 #: Ratio of a size band.
-BAND_RATIO = 1.25
+BAND_RATIO = 1.5
 #: Members up to which a bucket's pairs are listed; a larger one is compared in blocks of BLOCK members.
 SMALL, BLOCK = 32, 1024
 
@@ -51,11 +53,23 @@ def _band_edges(ratio: float = BAND_RATIO) -> list[int]:
 EDGES = _band_edges()
 
 
-def band_chunks(band: int, percent: int) -> int:
-    """Chunks of a band's sketches: two more than linked sets of the band can differ by; 0 where only equal sets link."""
+@cache
+def band_chunks(band: int, percent: int) -> tuple[int, int]:
+    """How much linked sets of a band differ at most, and the chunks of its sketches (0 where only equal sets link).
+
+    Chunks are as few as leave two more in use than that, by three standard
+    deviations, for the smallest set of the band; tiny sets have as many as shingles.
+    """
     small = EDGES[band + 1] - 1
     differ = (small + small * 100 // percent) * (100 - percent) // (100 + percent)
-    return differ + 2 if differ else 0
+    if not differ:
+        return 0, 0
+    least = EDGES[band]
+    for chunks in range(differ + 2, max(differ + 2, least) + 1):
+        unused = (1 - 1 / chunks) ** least
+        if chunks * (1 - unused) - 3 * (chunks * unused * (1 - unused)) ** 0.5 >= differ + 2:
+            return differ, chunks
+    return differ, max(differ + 2, least)
 
 
 def bands_of(size: int, percent: int) -> list[int]:
@@ -89,10 +103,27 @@ def shingle_hashes(text: bytes | None, memo: Memo, words: int) -> np.ndarray:
     return np.unique(total)
 
 
+#: The half of a chunk that holds parity bits.
+PARITY = np.uint32(0xFFFF)
+
+
 def sketch(hashes: np.ndarray, band: int, percent: int) -> bytes:
-    """Parity bits of a set in a band."""
-    bits = CHUNK_BITS * band_chunks(band, percent)
-    return np.packbits(np.bincount((hashes % np.uint64(bits)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes()
+    """Chunks of a set in a band, 32 bits each: 16 parity bits, and 16 bits of XORed hashes."""
+    out = np.zeros(band_chunks(band, percent)[1], np.uint32)
+    flips = (np.uint64(1) << ((hashes >> np.uint64(40)) & np.uint64(15))) | ((hashes >> np.uint64(28)) & np.uint64(0xFFFF0000))
+    np.bitwise_xor.at(out, (_mix(hashes) % np.uint64(len(out))).astype(np.int64), flips.astype(np.uint32))
+    return out.tobytes()
+
+
+def chunk_keys(bits: bytes, band: int, percent: int) -> np.ndarray:
+    """Keys of a sketch's chunks in use, or of all, if those in use are too few; the top byte is the band."""
+    values = np.frombuffer(bits, np.uint32)
+    used = np.flatnonzero(values)
+    if len(used) < band_chunks(band, percent)[0] + 2:
+        used = np.arange(len(values))
+    with np.errstate(over="ignore"):
+        key = _mix(_mix(values[used].astype(np.uint64) + np.uint64(1)) + used.astype(np.uint64) * _ODD[0][1] + np.uint64(band))
+    return (key >> np.uint64(8)) | (np.uint64(band) << np.uint64(56))
 
 
 def _word_memo() -> Memo:
@@ -111,38 +142,40 @@ def _summarizer(words: int, percent: int):
             h = shingle_hashes(text, memo, words)
             sizes.append(len(h))
             prints.append(xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None)
-            bands = [b for b in bands_of(len(h), percent) if band_chunks(b, percent)] if len(h) else []
+            bands = [b for b in bands_of(len(h), percent) if band_chunks(b, percent)[1]] if len(h) else []
             sketches.append([{"band": b, "bits": sketch(h, b, percent)} for b in bands])
         return {"n": sizes, "fp": prints, "sketches": sketches}
 
     return make
 
 
-def _printer(words: int, with_set: bool):
+def _printer(words: int, with_set: bool, wanted: Broadcast):
+    """Fingerprints, and sets if asked for, of the rows whose ``hash`` may be in the bitmap; others have none."""
     memo = _word_memo()
 
     def make(batch):
-        hashes = [shingle_hashes(t, memo, words) for t in utf8(batch.column("text"))]
-        out = {"fp": [xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None for h in hashes]}
-        return out | {"items": [h.view(np.int64) for h in hashes]} if with_set else out
+        asked = maybe_in(wanted.value, batch.column("__hash").to_numpy())
+        hashes = [shingle_hashes(t, memo, words) if yes else () for t, yes in zip(utf8(batch.column("text")), asked, strict=True)]
+        out = {"maybe": asked, "fp": [xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None for h in hashes]}
+        return out | {"items": [h.view(np.int64) if len(h) else None for h in hashes]} if with_set else out
 
     return make
 
 
-def _chunk_rows(batches):
-    """A row (key, node) for each chunk of each sketch; the key's top byte is the band."""
+def _chunk_rows(batches, percent: int, within: Broadcast | None, without: Broadcast | None):
+    """A row (key, node) for each key of each sketch that may be in the one bitmap and is not in the other."""
     for batch in batches:
-        keys, nodes = [], []
+        keys, nodes = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
         for node, sketches in zip(batch.column("node").to_pylist(), batch.column("sketches").to_pylist(), strict=True):
             for s in sketches:
-                values = np.frombuffer(s["bits"], np.uint32).astype(np.uint64)
-                with np.errstate(over="ignore"):
-                    at = np.arange(len(values), dtype=np.uint64) * _ODD[0][1] + np.uint64(s["band"])
-                    key = _mix(_mix(values + np.uint64(1)) + at)
-                keys.append((key >> np.uint64(8)) | (np.uint64(s["band"]) << np.uint64(56)))
-                nodes.append(np.full(len(values), node, np.int64))
-        if keys:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nodes))], names=["key", "node"])
+                key = chunk_keys(s["bits"], s["band"], percent)
+                if within is not None:
+                    key = key[maybe_in(within.value, key)]
+                if without is not None:
+                    key = key[~maybe_in(without.value, key)]
+                keys.append(key)
+                nodes.append(np.full(len(key), node, np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nodes))], names=["key", "node"])
 
 
 def _near(table: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -150,7 +183,7 @@ def _near(table: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
     node = table.column("node").to_numpy()
     n = table.column("n").to_numpy()
     side = table.column("block").to_numpy() == table.column("i")[0].as_py()
-    bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint32).reshape(len(node), -1)
+    bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint32).reshape(len(node), -1) & PARITY
     one_block = bool(side.all())
     near = np.zeros((len(node), len(node)), bool)
     step = max(1, (4 << 20) // max(1, bits.size))
@@ -197,12 +230,23 @@ def _across(table: pa.Table, percent: int) -> pa.Table:
     return _pairs(node[x], node[y])
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose sets are similar enough; the sets meet the pairs in two equi-joins."""
-    left = sets.select(F.col("node").alias("a"), F.col("items").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
+def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Pairs (a, b) whose sets are similar enough.
+
+    Sets are made from the texts of the classes in question only, one row a class,
+    and meet the pairs by fingerprint in two equi-joins over one exchange.
+    """
+    pairs = cut_lineage(
+        pairs.distinct().join(reps.select(F.col("node").alias("a"), F.col("fp").alias("a_fp"), F.col("label").alias("a_id")), "a")
+        .join(reps.select(F.col("node").alias("b"), F.col("fp").alias("b_fp"), F.col("label").alias("b_id")), "b"))
+    ids = pairs.select(F.xxhash64("a_id").alias("hash")).union(pairs.select(F.xxhash64("b_id"))).distinct()
+    (asked,) = bitmaps(ids, "hash", F.lit(True))
+    made = extend(docs.withColumn("__hash", F.xxhash64("id")), partial(_printer, words, True, asked), "maybe boolean, fp binary, items array<long>", [])
+    sets = made.where("__out.items is not null").select("__out.fp", "__out.items").dropDuplicates(["fp"])
+    left = sets.select(F.col("fp").alias("a_fp"), F.col("items").alias("x"))
+    right = sets.select(F.col("fp").alias("b_fp"), F.col("items").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
-    return pairs.join(left, "a").join(right, "b").where(both * 100 >= (F.size("x") + F.size("y") - both) * percent).select("a", "b")
+    return pairs.select("a", "b", "a_fp", "b_fp").join(left, "a_fp").join(right, "b_fp").where(both * 100 >= (F.size("x") + F.size("y") - both) * percent).select("a", "b")
 
 
 def _in_blocks(hot: DataFrame, size: Column) -> DataFrame:
@@ -226,33 +270,40 @@ def classes(docs: DataFrame, id_col: str, words: int = WORDS, percent: int = PER
     docs = docs.select(F.col(id_col).alias("id"), "text")
     summary = cut_lineage(extend(docs, partial(_summarizer, words, percent), _SETS, ["id"]).select("id", "__out.*"))
     reps = numbered(summary.where("fp is not null").groupBy("fp").agg(F.min("id").alias("label"), F.first("n").alias("n"), F.first("sketches").alias("sketches")), "node")
-    chunks = reps.select("node", "sketches").mapInArrow(_chunk_rows, "key long, node long")
-    buckets = chunks.groupBy("key").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).where("size > 1")
-    buckets = buckets.groupBy("size", "x", "y", F.shiftright("key", 56).alias("band")).agg(F.min("key").alias("key"), F.count("*").alias("weight"))
-    members = cut_lineage(chunks.join(buckets.select("key", "size", "weight", "band"), "key"))
+    slim = reps.select("node", "fp", "label")
+
+    def chunks(within: Broadcast | None, without: Broadcast | None) -> DataFrame:
+        return reps.select("node", "sketches").mapInArrow(partial(_chunk_rows, percent=percent, within=within, without=without), "key long, node long")
+
+    sizes = chunks(None, None).groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    repeated, large = bitmaps(sizes, "key", F.lit(True), F.col("size") > SMALL)
 
-    lists = members.where(F.col("size") <= SMALL).groupBy("key", "weight").agg(F.array_sort(F.collect_list("node")).alias("m"))
+    # What may be in a large bucket is compared in blocks, all else has few members.
+    lists = chunks(repeated, large).groupBy("key").agg(F.array_sort(F.collect_list("node")).alias("m")).where(F.size("m") > 1)
     listed = F.flatten(F.transform("m", lambda p, k: F.transform(F.slice("m", k + 2, F.greatest(F.size("m") - k - 1, F.lit(0))), lambda q: F.struct(p.alias("a"), q.alias("b")))))
-    small = lists.select("weight", F.explode(listed).alias("p")).groupBy("p.a", "p.b").agg(F.sum("weight").alias("weight")).where("weight > 1").select("a", "b")
+    small = cut_lineage(lists.select(F.explode(listed).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("weight")).where("weight > 1"))
+    nearest = small.groupBy("b").agg(F.min_by("a", F.struct(-F.col("weight"), F.col("a"))).alias("a")).select("a", "b")
 
+    members = cut_lineage(chunks(large, None))
+    buckets = members.groupBy("key").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).where("size > 1")
+    buckets = buckets.groupBy("size", "x", "y", F.shiftright("key", 56).alias("band")).agg(F.min("key").alias("key"))
     bits = reps.select("node", "n", F.explode("sketches").alias("s")).select("node", "n", F.col("s.band").alias("band"), F.col("s.bits").alias("bits"))
-    hot = members.where(F.col("size") > SMALL).join(bits, ["node", "band"])
+    hot = members.join(buckets.select("key", "size", "band"), "key").join(bits, ["node", "band"])
     forest = _in_blocks(hot, F.col("size")).groupBy("key", "i", "j").applyInArrow(lambda t: _forest(t, percent), "a long, b long")
-    first = cut_lineage(small.union(forest).distinct())
-
-    wanted = first.select(F.col("a").alias("node")).union(first.select("b")).distinct().join(reps.select("node", "fp", "label"), "node")
-    texts = docs.join(wanted.select(F.col("label").alias("id")).distinct().withColumnRenamed("id", "wanted_id"), F.col("id").eqNullSafe(F.col("wanted_id")), "left_semi")
-    hashed = extend(texts, partial(_printer, words, True), "fp binary, items array<long>", []).select("__out.*")
-    sets = cut_lineage(hashed.join(wanted.select("fp", "node"), "fp").select("node", "items").dropDuplicates(["node"]))
-
-    links = cut_lineage(_verified(first, sets, percent))
-    if not members.where(F.col("size") > SMALL).isEmpty():
-        root = roots(links)
-        placed = hot.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-        apart = _in_blocks(placed.join(mixed, "key"), F.col("size")).groupBy("key", "i", "j").applyInArrow(lambda t: _across(t, percent), "a long, b long")
-        links = links.union(_verified(apart.distinct().join(first, ["a", "b"], "left_anti"), sets, percent))
-    linked = reps.select("node", "fp", "label").join(roots(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    first = cut_lineage(nearest.union(forest).distinct())
+    links = cut_lineage(_verified(first, reps, docs, words, percent))
+
+    # Only pairs between components that are still apart can add anything.
+    root = cut_lineage(roots(links))
+    ends = [root.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")) for c in ("a", "b")]
+    apart = small.join(ends[0], "a", "left").join(ends[1], "b", "left").where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
+    placed = hot.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    across = _in_blocks(placed.join(mixed, "key"), F.col("size")).groupBy("key", "i", "j").applyInArrow(lambda t: _across(t, percent), "a long, b long")
+    rest = cut_lineage(apart.union(across).distinct().join(first, ["a", "b"], "left_anti"))
+    if not rest.isEmpty():
+        links = links.union(_verified(rest, reps, docs, words, percent))
+    linked = slim.join(roots(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = linked.groupBy("root").agg(F.min("label").alias("component"))
     return summary.select("id", "n", "fp"), cut_lineage(linked.join(lowest, "root").select("fp", "label", "root", "component"))
 
@@ -271,10 +322,15 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", words: int = WORDS, per
     Rows without words all stay. Of rows that repeat an id and a set one stays.
     """
     sets, found = classes(docs, id_col, words, percent)
-    first = found.groupBy("root").agg(F.min_by(F.struct("fp", "label"), F.struct(F.col("label").isNull(), "label", "fp")).alias("w")).select("w.fp", "w.label")
-    repeats = sets.groupBy("fp", "id").agg(F.count("*").alias("rows"))
-    winners = first.join(repeats, (first.fp == repeats.fp) & first.label.eqNullSafe(repeats.id)).select(first.fp.alias("__fp"), F.col("label").alias("__label"), (F.col("rows") > 1).alias("__repeated"))
-    printed = extend(docs, partial(_printer, words, False), "fp binary").withColumn("__fp", F.col("__out.fp")).drop("__out")
-    chosen = printed.where("__fp is not null").join(winners, "__fp").where(F.col(id_col).eqNullSafe(F.col("__label")))
-    parts = printed.where("__fp is null").select(docs.columns), chosen.where("not __repeated").select(docs.columns), chosen.where("__repeated").dropDuplicates(["__fp"]).select(docs.columns)
-    return parts[0].union(parts[1]).union(parts[2])
+    first = found.groupBy("root").agg(F.min_by(F.struct("fp", "label"), F.struct(F.col("label").isNull(), "label", "fp")).alias("w"), F.count("*").alias("classes")).select("w.fp", "w.label", "classes")
+    rows = sets.where("fp is not null").groupBy("fp", "id").agg(F.count("*").alias("rows"))
+    ids = rows.groupBy("fp").agg(F.count("*").alias("ids"))
+    own = cut_lineage(rows.join(first, "fp", "left").join(ids, "fp").withColumn("wins", F.col("classes").isNotNull() & F.col("id").eqNullSafe(F.col("label"))))
+    doubtful = own.where("classes is null or classes > 1 or ids > 1 or rows > 1")
+    (asked,) = bitmaps(doubtful.select(F.xxhash64("id").alias("hash")), "hash", F.lit(True))
+    printed = extend(docs.withColumn("__hash", F.xxhash64(id_col)), partial(_printer, words, False, asked), "maybe boolean, fp binary")
+    sure = printed.where(F.col("__out.fp").isNull())
+    winners = own.where("wins").select(F.col("fp").alias("__fp"), F.col("label").alias("__label"), (F.col("rows") > 1).alias("__repeated"))
+    chosen = printed.where(F.col("__out.fp").isNotNull()).join(winners, F.col("__out.fp") == F.col("__fp")).where(F.col(id_col).eqNullSafe(F.col("__label")))
+    parts = sure, chosen.where("not __repeated"), chosen.where("__repeated").dropDuplicates(["__fp"])
+    return reduce(DataFrame.union, (p.select(docs.columns) for p in parts))
