@@ -63,7 +63,7 @@ def test_stages_do_what_they_say(spark, tmp_path):
 def test_run_equals_the_stages_and_is_registered(spark):
     rows = corpus_pipeline.run(spark, SF)
     assert rows.count() > 0 and set(rows.columns) >= {"doc_id", "sequence_id", "offset"}
-    assert entry.queries()["pipeline"] is corpus_pipeline.run
+    assert entry.queries()["pipeline"].__wrapped__ is corpus_pipeline.run
     assert [n for n in entry.queries() if n.startswith("op")] == [n for n in queries.QUERIES]
 
 
