@@ -7,10 +7,10 @@ about the alphabet's middle, and the correlation of neighbours. Fisher's method
 joins them into one p-value; natural words get very small ones.
 
 How often ordinary text of a length looks as random as a candidate is learned
-from the corpus itself: every document gives one string of its own running
-letters, as long as a candidate of some length class. Against that null each
-candidate has an empirical p-value, and a Benjamini-Hochberg threshold is set in
-each length class. Only counts per length class and level leave the executors.
+from the corpus itself: the running letters of every whole document are cut into
+consecutive strings of each length class. Against that null each candidate has an
+empirical p-value, and a Benjamini-Hochberg threshold is set in each length
+class. Only counts per length class and level leave the executors.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import partial
 
-import xxhash
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,14 +55,16 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out + [("hex", m.start(), m.end()) for m in _LONG_HEX.finditer(text)]
 
 
+_DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_ALNUM = _DIGITS + _UPPER + _LOWER
+#: Encodings from small to large, as their symbols in order; the last has every character of a candidate.
+ALPHABETS = (_DIGITS, _DIGITS + _LOWER[:6], _DIGITS + _UPPER[:6], "234567" + _UPPER, _ALNUM, "+/" + _ALNUM, "-_" + _ALNUM, "+-/_=" + _ALNUM)
+
+
 def alphabet_of(token: str) -> str:
     """The smallest encoding that has all characters of ``token``, as its symbols in order."""
-    digits, lower, upper = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     used = set(token)
-    for symbols in (digits, digits + lower[:6], digits + upper[:6], "234567" + upper, digits + upper + lower, "+/" + digits + upper + lower, "-_" + digits + upper + lower):
-        if used <= set(symbols):
-            return symbols
-    return "+-/_=" + digits + upper + lower
+    return next((symbols for symbols in ALPHABETS if used <= set(symbols)), ALPHABETS[-1])
 
 
 def _tail(z: float) -> float:
@@ -106,11 +108,78 @@ def level(token: str) -> int:
     return min(LEVELS, int(-math.log10(max(1e-300, battery(token))) * PER_DECADE))
 
 
+#: For each byte the encodings that have it, a bit each; its place in each; sizes; the bytes that running letters leave out.
+_SORTS = np.array([sum((chr(c) in x) << k for k, x in enumerate(ALPHABETS)) for c in range(256)], np.uint8)
+_PLACE = np.array([[max(0, x.find(chr(c))) for c in range(256)] for x in ALPHABETS], np.uint8)
+_SIZES = np.array([len(x) for x in ALPHABETS])
+_OTHER = bytes(c for c in range(256) if chr(c) not in "+-/_" + _ALNUM)
+#: Characters handled at once, which bounds memory.
+_AT_ONCE = 1 << 16
+_erfc = np.frompyfunc(math.erfc, 1, 1)
+
+
+def _tails(z: np.ndarray) -> np.ndarray:
+    return np.maximum(1e-300, _erfc(z / math.sqrt(2)).astype(float) / 2)
+
+
+def levels(tokens: np.ndarray) -> np.ndarray:
+    """``level`` of many strings of one length: a row of bytes each, of key characters."""
+    rows, n = tokens.shape
+    has = np.bitwise_and.reduce(_SORTS[tokens], axis=1).astype(int)
+    which = np.log2(has & -has).astype(int)
+    values, size = _PLACE[which[:, None], tokens], _SIZES[which]
+
+    most = int(_SIZES.max())
+    counts = np.bincount((values + np.arange(rows)[:, None] * most).ravel(), minlength=rows * most).reshape(rows, most)
+    chi = np.einsum("ij,ij->i", counts, counts) * size / n - n
+    uniform = _tails((chi - (size - 1)) / np.sqrt(2 * (size - 1) * (n - 1) / n))
+
+    above = values >= ((size + 1) // 2)[:, None]
+    high = above.sum(axis=1)
+    low = n - high
+    changes = (above[:, 1:] != above[:, :-1]).sum(axis=1)
+    spread = 2 * high * low * (2 * high * low - n) / (n * n * (n - 1))
+    some = spread > 0
+    z = np.where(some, np.abs(changes - 2 * high * low / n) / np.sqrt(np.where(some, spread, 1)), math.sqrt(n))
+    runs_p = np.where(some, np.minimum(1.0, 2 * _tails(z)), _tails(z))
+
+    off = values - values.mean(axis=1, keepdims=True)
+    power = np.einsum("ij,ij->i", off, off)
+    r = np.where(power > 0, np.einsum("ij,ij->i", off[:, :-1], off[:, 1:]) / np.where(power > 0, power, 1), 1.0)
+    serial = np.minimum(1.0, 2 * _tails(np.abs(r + 1 / n) * math.sqrt(n)))
+
+    half = -(np.log(uniform) + np.log(runs_p) + np.log(serial))
+    p = np.exp(-half) * (1 + half + half * half / 2)
+    return np.minimum(LEVELS, (-np.log10(np.maximum(1e-300, p)) * PER_DECADE).astype(int))
+
+
+def null_counts(running: list[bytes]) -> list[dict]:
+    """How many strings of each length class and level the running letters of many texts have, each cut into consecutive strings on its own."""
+    out = []
+    for kind, n in enumerate(LENGTHS):
+        text = np.frombuffer(b"".join(x[: len(x) // n * n] for x in running), np.uint8).reshape(-1, n)
+        step = _AT_ONCE // n
+        counts = sum((np.bincount(levels(text[at : at + step]), minlength=LEVELS + 1) for at in range(0, len(text), step)), np.zeros(LEVELS + 1, int))
+        out += [{"class": kind, "level": int(k), "n": int(counts[k])} for k in np.flatnonzero(counts)]
+    return out
+
+
+def _united(spans: Iterable[tuple[int, int]]) -> list[list[int]]:
+    """Sorted spans, overlapping and touching ones as one."""
+    out: list[list[int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return out
+
+
 def scan_text(text: str | None) -> dict:
-    """Base spans, candidates beyond them, and one string of ordinary text with its length class."""
+    """Base spans, candidates beyond them, and the running letters beyond both."""
     text = text or ""
     base = base_spans(text)
-    taken = sorted((a, b) for _, a, b in base)
+    taken = _united((a, b) for _, a, b in base)
     candidates, cut, at = [], [], 0
     for m in _CANDIDATE.finditer(text):
         a, b = m.span()
@@ -118,30 +187,33 @@ def scan_text(text: str | None) -> dict:
             token = m[0].rstrip("=")
             if len(token) >= LENGTHS[0]:
                 candidates.append({"start": a, "end": b, "class": length_class(len(token)), "level": level(token)})
-    for a, b in sorted([*taken, *((c["start"], c["end"]) for c in candidates)]):
+    for a, b in _united([*map(tuple, taken), *((c["start"], c["end"]) for c in candidates)]):
         cut.append(text[at:a])
-        at = max(at, b)
+        at = b
     cut.append(text[at:])
-    kind = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) % len(LENGTHS)
-    running = "".join(re.findall(r"[A-Za-z0-9+/_-]+", "".join(cut)[: 64 * LENGTHS[-1]]))[: LENGTHS[kind]]
-    known = len(running) == LENGTHS[kind]
-    return {"base": [{"kind": k, "start": a, "end": b} for k, a, b in base], "candidates": candidates, "null": {"class": kind, "level": level(running)} if known else None}
+    running = "".join(cut).encode("utf-8", "surrogatepass").translate(None, _OTHER)
+    return {"base": [{"kind": k, "start": a, "end": b} for k, a, b in base], "candidates": candidates, "running": running}
 
 
 _SPAN = "struct<kind:string,start:long,end:long>"
-_SCAN = f"base array<{_SPAN}>, candidates array<struct<start:long,end:long,class:int,level:int>>, null struct<class:int,level:int>"
+_SCAN = f"base array<{_SPAN}>, candidates array<struct<start:long,end:long,class:int,level:int>>, null array<struct<class:int,level:int,n:long>>"
 
 
 def _scanner():
     def make(batch):
         found = [scan_text(t) for t in batch.column("text").to_pylist()]
-        return {k: [f[k] for f in found] for k in ("base", "candidates", "null")}
+        null = [null_counts([f["running"] for f in found]), *[[]] * (len(found) - 1)]
+        return {k: [f[k] for f in found] for k in ("base", "candidates")} | {"null": null[: len(found)]}
 
     return make
 
 
 def scanned(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """Columns ``keep`` of ``docs`` and ``__out`` with ``base`` spans, ``candidates`` and the ``null`` string of every whole ``text`` (null: empty)."""
+    """Columns ``keep`` of ``docs`` and ``__out`` with ``base`` spans and ``candidates`` of every whole ``text`` (null: empty).
+
+    ``__out.null`` has the counts of ordinary strings per length class and level,
+    those of a batch's rows in the first of them; only their sums mean anything.
+    """
     return extend(docs, _scanner, _SCAN, keep)
 
 
@@ -174,7 +246,7 @@ def thresholds(found: DataFrame, share: float = FALSE_DISCOVERIES) -> Thresholds
     enough null strings to reach ``share`` flags nothing.
     """
     targets = found.select(F.explode("__out.candidates").alias("c")).groupBy("c.class", "c.level").count().collect()
-    null = found.where("__out.null is not null").groupBy("__out.null.class", "__out.null.level").count().collect()
+    null = found.select(F.explode("__out.null").alias("c")).groupBy("c.class", "c.level").agg(F.sum("c.n").alias("count")).collect()
     of = lambda rows, k: {r["level"]: r["count"] for r in rows if r["class"] == k}
     return Thresholds(tuple(_cut(of(targets, k), of(null, k), share) for k in range(len(LENGTHS))))
 

@@ -135,6 +135,32 @@ def test_written_spans(spark):
     assert got == {0: "assign:0:29,hex:9:29", 1: ""}
 
 
+def test_levels_of_many_strings_are_those_of_each():
+    rng = np.random.default_rng(3)
+    for n in secrets.LENGTHS:
+        tokens = ["".join(rng.choice(list(secrets.ALPHABETS[k % 8]), n)) for k in range(80)] + ["a" * n, ("etaoin" * n)[:n]]
+        assert secrets.levels(np.frombuffer("".join(tokens).encode(), np.uint8).reshape(-1, n)).tolist() == [secrets.level(t) for t in tokens]
+
+
+def test_null_strings_come_from_whole_texts(spark):
+    running = "é" * 5000 + "the quick brown fox " * 2000
+    docs = spark.createDataFrame([(0, running), (1, None), (2, "")], "doc_id long, text string")
+    counts = dict(secrets.scanned(docs, []).select(F.explode("__out.null").alias("c")).groupBy("c.class").agg(F.sum("c.n")).collect())
+    assert counts == {k: 2000 * 16 // n for k, n in enumerate(secrets.LENGTHS)}
+
+
+def test_rare_secrets_of_few_long_documents_are_flagged(spark):
+    rng = np.random.default_rng(5)
+    symbols = np.array(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"))
+    words = ["".join(rng.choice(list("etaoinshrdlu"), rng.integers(2, 9))) for _ in range(400)]
+    prose = lambda: " ".join(rng.choice(words, 4000))
+    paths = lambda: " ".join("/".join(rng.choice(words, 9)) for _ in range(100))
+    keys = ["".join(rng.choice(symbols, 44)) for _ in range(12)]
+    docs = spark.createDataFrame([(k, f"{'я ' * 4100}{prose()} {paths()} {key} {prose()}") for k, key in enumerate(keys)], "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in secrets.without_secrets(docs).collect()}
+    assert sum(key not in clean[k] for k, key in enumerate(keys)) >= 10
+
+
 # ---- pages
 
 def test_main_text_is_the_article():
