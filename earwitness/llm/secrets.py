@@ -176,17 +176,28 @@ def _united(spans: Iterable[tuple[int, int]]) -> list[list[int]]:
 
 
 def scan_text(text: str | None) -> dict:
-    """Base spans, candidates beyond them, and the running letters beyond both."""
+    """Base spans, candidates beyond them, and the running letters beyond both.
+
+    What base spans leave of a run of key characters are candidates of their own,
+    tested without the separators at the cut.
+    """
     text = text or ""
     base = base_spans(text)
     taken = _united((a, b) for _, a, b in base)
-    candidates, cut, at = [], [], 0
+    candidates, cut, first, at = [], [], 0, 0
     for m in _CANDIDATE.finditer(text):
         a, b = m.span()
-        if all(b <= x or a >= y for x, y in taken):
-            token = m[0].rstrip("=")
+        while first < len(taken) and taken[first][1] <= a:
+            first += 1
+        k, start = first, a
+        while start < b:
+            stop, after = (taken[k][0], taken[k][1]) if k < len(taken) and taken[k][0] < b else (b, b)
+            token = text[start:stop].rstrip("=")
+            token = token.lstrip("+-/_=") if start > a else token
+            token = token.rstrip("+-/_=") if stop < b else token
             if len(token) >= LENGTHS[0]:
-                candidates.append({"start": a, "end": b, "class": length_class(len(token)), "level": level(token)})
+                candidates.append({"start": start, "end": stop, "class": length_class(len(token)), "level": level(token)})
+            k, start = k + 1, after
     for a, b in _united([*map(tuple, taken), *((c["start"], c["end"]) for c in candidates)]):
         cut.append(text[at:a])
         at = b

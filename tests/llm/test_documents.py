@@ -161,6 +161,18 @@ def test_rare_secrets_of_few_long_documents_are_flagged(spark):
     assert sum(key not in clean[k] for k, key in enumerate(keys)) >= 10
 
 
+def test_keys_beside_base_spans_are_candidates_of_their_own():
+    key = "Zq7RtY2mKp9XvB4nWc8LsD3fGh6JdT5aEu1QoViN"
+    for text, at in ((f"1234567890123456789-{key}", 19), (f"é {'0123456789abcdef' * 2}_{key}", 34), (f"{key}/{'f0' * 10} x", 0), (f"a {key} b", 2)):
+        found = secrets.scan_text(text)
+        (one,) = found["candidates"]
+        assert one["start"] == at and key in text[one["start"] : one["end"]] and one["level"] == secrets.level(key)
+        assert all(one["end"] <= s["start"] or one["start"] >= s["end"] for s in found["base"])
+    both = secrets.scan_text(f"{key}-{'0123456789' * 2}-{key}")
+    assert [s["kind"] for s in both["base"]] == ["hex"] and len(both["candidates"]) == 2
+    assert secrets.scan_text("0123456789abcdef-short-piece")["candidates"] == []
+
+
 # ---- pages
 
 def test_main_text_is_the_article():
