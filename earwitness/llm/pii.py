@@ -21,7 +21,10 @@ from pyspark.sql import functions as F
 from earwitness.llm.common import extend, numbered
 from earwitness.session import cut_lineage
 
-#: Rounds after which an entity without a surrogate is an error: its format has no room left.
+#: Attempts in the format of the entity; from then on every second attempt widens it by two characters.
+NARROW = 8
+#: Rounds after which an entity without a surrogate is an error. Names, mailboxes, phones and ssns widen long before;
+#: addresses, cards and ibans keep their format, whose room (4e9 at least) no corpus that fits one cluster's disks fills.
 MOST_ATTEMPTS = 64
 
 # Forms of address and given names by gender, in the scripts handled.
@@ -146,6 +149,13 @@ def _like(text: str, rand: _Stream) -> str:
     return "".join(out)
 
 
+def _wider(text: str, n: int, rand: _Stream) -> str:
+    """``n`` more letters in the script of the last letter of ``text``, consonants and vowels in turn; Latin where that script is not known."""
+    last = next((c for c in reversed(text) if c.isalpha()), "a")
+    vowels, others = next((pair for pair in LETTERS[2:] if last in pair[0] + pair[1]), LETTERS[0])
+    return "".join((others, vowels)[k % 2][rand.below(len((others, vowels)[k % 2]))] for k in range(n))
+
+
 def _luhn(digits: str) -> int:
     return sum(d if k % 2 == 0 else d * 2 - 9 * (d > 4) for k, d in enumerate(map(int, reversed(digits)))) % 10
 
@@ -157,21 +167,22 @@ def script_of(word: str) -> str:
 def candidate(kind: str, canonical: str, attempt: int, key: bytes) -> str:
     """The surrogate that an entity tries at an attempt, in canonical form."""
     rand = _Stream(key, kind, canonical, attempt)
+    more = 2 * ((attempt - NARROW) // 2 + 1) if attempt >= NARROW else 0
     if kind == "email":
         local, _, domain = canonical.rpartition("@")
         labels = domain.split(".")
-        return f"{_like(local, rand)}@{'.'.join([*(_like(x, _Stream(key, 'domain', domain, k)) for k, x in enumerate(labels[:-1])), labels[-1]])}"
+        return f"{_like(local, rand)}{_wider(local, more, rand)}@{'.'.join([*(_like(x, _Stream(key, 'domain', domain, k)) for k, x in enumerate(labels[:-1])), labels[-1]])}"
     if kind == "ip":
         return ".".join(str(1 + rand.below(254)) for _ in range(4))
     if kind == "card":
         new = canonical[0] + _like(canonical[1:-1], rand)
         last = next(d for d in range(10) if _luhn(f"{new}{d}") == 0)
         return f"{new}{last if _luhn(canonical) == 0 else (last + 1 + rand.below(9)) % 10}"
-    if kind == "phone" and canonical.startswith("+"):
-        keep = 2 if canonical[1] in "17" else 3
-        return canonical[:keep] + _like(canonical[keep:], rand)
+    if kind == "phone":
+        keep = 0 if not canonical.startswith("+") else 2 if canonical[1] in "17" else 3
+        return canonical[:keep] + _like(canonical[keep:], rand) + _like("0" * more, rand)
     if kind == "ssn":
-        return f"{1 + rand.below(665):03d}{1 + rand.below(99):02d}{1 + rand.below(9999):04d}"
+        return f"{1 + rand.below(665):03d}{1 + rand.below(99):02d}{1 + rand.below(9999):04d}" + _like("0" * more, rand)
     if kind == "iban":
         return canonical[:2] + _like(canonical[2:].lower(), rand).upper()
     if kind.startswith("given_"):
@@ -181,16 +192,17 @@ def candidate(kind: str, canonical: str, attempt: int, key: bytes) -> str:
             return names[rand.below(len(names))].lower()
         base = _like(names[rand.below(len(names))].lower(), rand)
         vowels, others = LETTERS[{"latin": 0, "cyrillic": 2, "greek": 3}[script_of(canonical)]]
-        return base + (vowels[0] if gender == "f" else others[rand.below(len(others))])
+        return base + _wider(base, more, rand) + (vowels[0] if gender == "f" else others[rand.below(len(others))])
     ending = next((e for e in ENDINGS if canonical.endswith(e) and len(canonical) > len(e) + 1), "")
-    return _like(canonical[: len(canonical) - len(ending)], rand) + ending
+    stem = canonical[: len(canonical) - len(ending)]
+    return _like(stem, rand) + _wider(stem, more, rand) + ending
 
 
 def rendered(kind: str, surface: str, surrogate: str) -> str:
     """A surrogate in the format of a mention: its separators, its upper and lower case."""
     if kind in ("card", "ssn", "phone", "iban"):
         fill = iter(surrogate.lstrip("+"))
-        return "".join(next(fill, "") if c.isalnum() else c for c in surface)
+        return "".join(next(fill, "") if c.isalnum() else c for c in surface) + "".join(fill)  # a widened one is longer
     if kind == "ip":
         return surrogate
     if kind == "email":

@@ -361,6 +361,14 @@ def test_surrogates_are_distinct_even_in_a_crowded_format(spark):
     assert not {(r.kind, r.surrogate) for r in got} & set(rows)
 
 
+def test_surrogates_are_distinct_beyond_the_room_of_a_short_format(spark):
+    short = [f"{a}{b}" for a in "bcdfghjklmnpqrstvwxyz" for b in "aeiou"]
+    rows = [("family", name) for name in short] + [("email", f"{c}@x.com") for c in "bcdfghjklmnpqrstvwxyz"] + [("phone", f"{k:02d}") for k in range(100)]
+    got = pii.surrogates(spark.createDataFrame(rows, "kind string, canonical string"), b"key").collect()
+    assert len(got) == len(rows) == len({(r.kind, r.surrogate) for r in got}) and not {(r.kind, r.surrogate) for r in got} & set(rows)
+    assert pii.rendered("phone", "0-1", "4567") == "4-567"
+
+
 # ---- digests of the registered queries
 
 def test_digest_columns(spark):
