@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
 
@@ -61,7 +63,7 @@ LETTERS = (("aeiou", "bcdfghklmnprstvwz"), ("áéíóúàèìòùâêôäöü",
 ENDINGS = ("ская", "ский", "ова", "ева", "ина", "ов", "ев", "ин", "ska", "ski", "ová", "ου", "ος")
 
 _GENDER_OF = {n.lower(): g for (_, g), names in GIVEN.items() for n in names}
-_NAME_WORD = r"[^\W\d_a-zà-ÿа-яё][^\W\d_]+(?:[-'’][^\W\d_]+)*"
+_NAME_WORD = r"[^\W\d_a-zà-ÿа-яё][^\W\d_]+(?:[-'’](?![sS](?!\w))[^\W\d_]+)*"  # without a possessive 's
 _PATTERNS = (
     ("email", re.compile(r"(?<![\w.%+-])[\w.%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")),
     ("iban", re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")),
@@ -71,7 +73,9 @@ _PATTERNS = (
     ("phone", re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3}[ .-]?\d{3,4}(?!\w)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\w)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])")),
 )
 _TITLES = {t.lower(): g for titles, g in ((MALE_TITLES, "m"), (FEMALE_TITLES, "f"), (OTHER_TITLES, "n")) for t in titles}
-_TITLED = re.compile(rf"(?<!\w)({'|'.join(sorted(map(re.escape, (*MALE_TITLES, *FEMALE_TITLES, *OTHER_TITLES)), key=len, reverse=True))})\.?[  ]({_NAME_WORD})(?:[  ]({_NAME_WORD}))?(?:[  ]({_NAME_WORD}))?")
+_TITLE = "|".join(sorted(map(re.escape, (*MALE_TITLES, *FEMALE_TITLES, *OTHER_TITLES)), key=len, reverse=True))
+_TITLED = re.compile(rf"(?<!\w)({_TITLE})\.?[ \xa0]({_NAME_WORD}(?:[ \xa0](?!(?:{_TITLE})(?!\w)){_NAME_WORD})*)")
+_NAME = re.compile(rf"(?<!\w){_NAME_WORD}")
 _GIVEN = re.compile(rf"(?<!\w)({'|'.join(n for names in GIVEN.values() for n in names)})[  ]({_NAME_WORD})(?!\w)")
 _KNOWN = (*MALE_TITLES, *FEMALE_TITLES, *OTHER_TITLES, *(n for names in GIVEN.values() for n in names))
 #: What a text must have, for the JVM, before Python looks at it: a digit, an at sign, a title or a known name.
@@ -96,13 +100,33 @@ def _canonical(kind: str, surface: str) -> str:
     return surface.replace(" ", "").upper() if kind == "iban" else surface.lower()
 
 
+def _bare_names(text: str, names: dict[str, str]) -> Iterator[tuple[int, int, str]]:
+    """Start, end and kind of every capitalised occurrence of ``names`` in ``text``, parts of hyphenated words too."""
+    most = max(len(re.split(r"[-'’]", n)) for n in names)
+    for m in _NAME.finditer(text):
+        parts = [(m.start() + p.start(), m.start() + p.end()) for p in re.finditer(r"[^-'’]+", m[0])]
+        k = 0
+        while k < len(parts):
+            a = parts[k][0]
+            last = next((n for n in range(min(len(parts), k + most) - 1, k - 1, -1) if text[a : parts[n][1]].lower() in names), None)
+            if last is not None and not text[a].islower():
+                yield a, parts[last][1], names[text[a : parts[last][1]].lower()]
+                k = last
+            k += 1
+
+
 def mentions(text: str | None) -> list[Mention]:
-    """Entities of a text that do not overlap, by position; of overlapping ones the kind listed first stays."""
+    """Entities of a text that do not overlap, by position; of overlapping ones the kind listed first stays.
+
+    Names found after a title or a listed given name are looked for in the whole
+    text: every capitalised occurrence is a mention of the first kind found.
+    """
     out: list[Mention] = []
 
     def add(start: int, end: int, kind: str) -> None:
-        if all(end <= m.start or start >= m.end for m in out):
-            out.append(Mention(start, end, kind, _canonical(kind, text[start:end])))
+        at = bisect_left(out, start, key=lambda m: m.start)
+        if (at == 0 or out[at - 1].end <= start) and (at == len(out) or out[at].start >= end):
+            out.insert(at, Mention(start, end, kind, _canonical(kind, text[start:end])))
 
     if text:
         for kind, pattern in _PATTERNS:
@@ -110,14 +134,23 @@ def mentions(text: str | None) -> list[Mention]:
                 add(*m.span(), kind)
         for m in _TITLED.finditer(text):
             gender = _TITLES[m[1].lower()]
-            parts = [k for k in (2, 3, 4) if m[k]]
-            for k in parts:
-                known = _GENDER_OF.get(m[k].lower())
-                add(*m.span(k), "family" if k == parts[-1] and not (known and len(parts) == 1) else f"given_{known or gender}")
+            parts = [(m.start(2) + p.start(), m.start(2) + p.end()) for p in re.finditer(r"[^ \xa0]+", m[2])]
+            # A lower-case word ends the names; where letters have no case, the third word does.
+            parts = parts[: next((k for k, (a, _) in enumerate(parts) if not (text[a].isupper() or text[a].istitle() or (k < 3 and not text[a].islower()))), len(parts))]
+            for k, (a, b) in enumerate(parts):
+                known = _GENDER_OF.get(text[a:b].lower())
+                add(a, b, "family" if k == len(parts) - 1 and not (known and len(parts) == 1) else f"given_{known or gender}")
         for m in _GIVEN.finditer(text):
             add(*m.span(1), f"given_{_GENDER_OF[m[1].lower()]}")
             add(*m.span(2), "family")
-    return sorted(out, key=lambda m: m.start)
+        names: dict[str, str] = {}
+        for m in out:
+            if m.kind == "family" or m.kind.startswith("given_"):
+                names.setdefault(m.canonical, m.kind)
+        if names:
+            for a, b, kind in _bare_names(text, names):
+                add(a, b, kind)
+    return out
 
 
 class _Stream:

@@ -369,6 +369,17 @@ def test_surrogates_are_distinct_beyond_the_room_of_a_short_format(spark):
     assert pii.rendered("phone", "0-1", "4567") == "4-567"
 
 
+def test_bare_names_get_the_surrogate_of_their_first_mention(spark):
+    text = "Mr John Paul George Smith-Low met Dr Gupta's aide. Gupta said SMITH-LOW paid; gupta, Gupta-Ray and George's bill. Mr Fox Mrs Hen: Hen left Fox."
+    docs = spark.createDataFrame([(0, text), (1, "Gupta alone")], "doc_id long, text string")
+    new = {r.doc_id: r for r in pii.pseudonymised(docs, b"key").collect()}
+    assert not re.search(r"Smith|SMITH|Gupta|George|John|Paul|Fox|Hen", new[0].text) and new[1].text == "Gupta alone"
+    w = r"[^\W\d_]+"
+    found = re.fullmatch(rf"Mr {w} {w} ({w}) ({w}-{w}) met Dr ({w})'s aide\. \3 said ({w}-{w}) paid; gupta, \3-Ray and \1's bill\. Mr ({w}) Mrs ({w}): \6 left \5\.", new[0].text)
+    assert found and found[4] == found[2].upper() and new[0].n_entities == 13
+    assert [m.canonical for m in pii.mentions("Κύριος Παπαδόπουλος είναι εδώ και Παπαδόπουλος")] == ["παπαδόπουλος"] * 2
+
+
 # ---- digests of the registered queries
 
 def test_digest_columns(spark):
