@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,13 +24,20 @@ HREF = r"""(?i)<a\s[^>]*?href\s*=\s*["']?([^"'\s>]+)"""
 
 @dataclass(frozen=True)
 class RankParams:
-    """Damping and number of rounds of both PageRanks; a host is blocked above ``ratio`` times its trust."""
+    """Damping of both PageRanks; a host is blocked above ``ratio`` times its trust, beyond a share of ``margin``.
+
+    Verdicts come from ranks that were propagated until no host's changed by more
+    than the share ``tolerance`` in a round, which leaves an error below ``margin``.
+    ``rounds`` and ``digits`` are of ranks after a fixed number of rounds.
+    """
 
     damping: float = 0.85
     rounds: int = 10
     ratio: float = 1.0
     digits: int = 12
     cut_every: int = 4
+    tolerance: float = 1e-6
+    margin: float = 1e-5
 
 
 PARAMS = RankParams()
@@ -62,12 +70,18 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return full.select(F.col("host").alias("src"), host_of(F.col("href")).alias("dst")).where("src <> '' and dst <> '' and src <> dst").distinct()
 
 
-def personalised_rank(edges: DataFrame, seeds: DataFrame, params: RankParams = PARAMS) -> DataFrame:
+def personalised_rank(edges: DataFrame, seeds: DataFrame, params: RankParams = PARAMS, tolerance: float | None = None) -> DataFrame:
     """``host``, ``rank`` of PageRank over ``edges`` (src, dst) that restarts at ``seeds`` (host, seed; the seeds sum to 1).
 
     What reaches a host without edges is not dealt out again, which scales all
     ranks alike. Ranks travel in equi-joins and map-side sums; lineage is cut by
     reliable checkpoints.
+
+    With a ``tolerance`` there are as many rounds as it takes until the largest
+    relative change is within it, and nothing is rounded; a host first reached
+    counts as changed, so every host within reach of a seed has a rank. The largest
+    relative change never grows from round to round, since ranks and changes take
+    the same ways. Without, there are ``params.rounds`` rounds, and ranks are rounded.
     """
     out = edges.groupBy("src").agg(F.count("*").alias("degree"))
     weighted = cut_lineage(edges.join(out, "src").select("src", "dst", (F.lit(params.damping) / F.col("degree")).alias("w")))
@@ -75,8 +89,17 @@ def personalised_rank(edges: DataFrame, seeds: DataFrame, params: RankParams = P
     rank = restart
     if weighted.isEmpty():
         return rank
-    for k in range(params.rounds):
+    for k in count() if tolerance is not None else range(params.rounds):
         moved = weighted.join(rank.withColumnRenamed("host", "src"), "src").select(F.col("dst").alias("host"), (F.col("w") * F.col("rank")).alias("rank"))
+        if tolerance is not None and k % params.cut_every == params.cut_every - 1:
+            old = rank.select("host", F.lit(0.0).alias("rank"), F.col("rank").alias("old"))
+            both = restart.union(moved).withColumn("old", F.lit(0.0)).union(old)
+            after = cut_lineage(both.groupBy("host").agg(F.sum("rank").alias("rank"), F.sum("old").alias("old")))
+            rank = after.select("host", "rank")
+            change = after.where("rank > 0").agg(F.max(F.abs(F.col("rank") - F.col("old")) / F.col("rank"))).first()[0]
+            if change is None or change <= tolerance:
+                return rank
+            continue
         rank = restart.union(moved).groupBy("host").agg(F.sum("rank").alias("rank"))
         if k % params.cut_every == params.cut_every - 1:
             rank = cut_lineage(rank)
@@ -109,10 +132,10 @@ def judged(pages: DataFrame, rules: Sequence[tuple[str, str]], keep: Sequence[st
     shares = cut_lineage(counts.select("host", (F.col("allowed") / F.col("n")).alias("good"), (1 - F.col("allowed") / F.col("n")).alias("bad")))
     sums = shares.agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).first()
     edges = cut_lineage(host_edges(placed))
-    trust = personalised_rank(edges, shares.where("good > 0").select("host", (F.col("good") / F.lit(sums.good or 1.0)).alias("seed")), params)
-    distrust = personalised_rank(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), shares.where("bad > 0").select("host", (F.col("bad") / F.lit(sums.bad or 1.0)).alias("seed")), params)
+    trust = personalised_rank(edges, shares.where("good > 0").select("host", (F.col("good") / F.lit(sums.good or 1.0)).alias("seed")), params, params.tolerance)
+    distrust = personalised_rank(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), shares.where("bad > 0").select("host", (F.col("bad") / F.lit(sums.bad or 1.0)).alias("seed")), params, params.tolerance)
     known = trust.select("host", "rank", F.lit(0.0).alias("against")).union(distrust.select("host", F.lit(0.0).alias("rank"), F.col("rank").alias("against")))
-    bad = known.groupBy("host").agg(F.sum("rank").alias("trust"), F.sum("against").alias("distrust")).where(F.col("distrust") > F.col("trust") * params.ratio).select("host", F.lit(True).alias("bad"))
+    bad = known.groupBy("host").agg(F.sum("rank").alias("trust"), F.sum("against").alias("distrust")).where(F.col("distrust") > F.col("trust") * (params.ratio * (1 + params.margin))).select("host", F.lit(True).alias("bad"))
     return ruled.join(bad, "host", "left").select(
         *keep, "host", "path", F.col("found.rule").alias("rule"),
         F.coalesce("found.rule_verdict", F.when(F.col("bad"), "block").otherwise("allow")).alias("verdict"))

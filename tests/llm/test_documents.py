@@ -236,6 +236,15 @@ def test_ranks_equal_power_iteration(spark):
     assert got == pytest.approx(rank, abs=1e-9)
 
 
+def test_distrust_reaches_far_and_thin_hosts(spark):
+    link = '<a href="http://{}/">l</a>'
+    pages = [("http://h0.com/de/", "")] + [(f"http://h{k}.com/", link.format(f"h{k - 1}.com")) for k in range(1, 15)]
+    pages += [(f"http://side{k}-{j}.net/", link.format(f"h{k}.com")) for k in range(14) for j in range(9)]  # each step deals distrust to ten hosts
+    df = spark.createDataFrame([(k, *p) for k, p in enumerate([*pages, ("http://apart.net/", "")])], "page_id int, url string, html string")
+    got = {r.host: r.verdict for r in urls.judged(df, queries.URL_RULES).collect()}
+    assert got.pop("apart.net") == "allow" and set(got.values()) == {"block"}
+
+
 # ---- packing
 
 def test_tokens_offsets_and_capacities(spark):
