@@ -18,9 +18,10 @@ from earwitness.llm.common import extend
 
 # Element names of the HTML standard by their role here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea iframe noembed noframes noscript template xmp svg math object select".split())
+RAW = frozenset("script style title textarea iframe noembed noframes noscript template xmp svg object select".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr "
+    "math semantics mi mn mo ms mtext mrow mfrac msqrt mroot mstyle merror mpadded msub msup msubsup munder mover munderover mmultiscripts mtable mtr mtd".split())
 CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
 #: Elements that end an open one of these kinds, looked for up to the boundary elements.
@@ -28,8 +29,8 @@ ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td"
         "tbody": ("tr", "td", "th", "thead", "tbody"), "tfoot": ("tr", "td", "th", "thead", "tbody"), "option": ("option",)}
 BOUNDARY = frozenset("ul ol dl table article section div body html main".split())
 #: Elements that are never article text.
-DROPPED = frozenset("head nav header footer aside form button input dialog menu search audio video canvas fieldset".split()) | RAW
-#: Words of class, id or role that mark such parts, and the elements that such a word can't drop.
+DROPPED = frozenset("head nav header footer aside form button input dialog menu search audio video canvas fieldset annotation annotation-xml".split()) | RAW
+#: Words of class, id or role that mark such parts unless they hold the page's article, and the elements that such a word can't drop.
 NOISE = frozenset(
     "nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead footer sidebar aside complementary banner contentinfo ad ads advert adverts advertisement "
     "advertising sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup comment comments "
@@ -42,28 +43,30 @@ _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "noise", "own", "link", "score", "has_block")
+    __slots__ = ("tag", "parent", "items", "noise", "named", "own", "link", "score", "has_block")
 
-    def __init__(self, tag: str, parent: Node | None, noise: bool = False) -> None:
-        self.tag, self.parent, self.noise = tag, parent, noise
+    def __init__(self, tag: str, parent: Node | None, noise: bool = False, named: bool = False) -> None:
+        self.tag, self.parent, self.noise, self.named = tag, parent, noise, named
         self.items: list[Node | str] = []
         self.own = self.link = 0
         self.score = 0.0
         self.has_block = False
 
 
-def _noise(tag: str, attributes: str) -> bool:
+def _noise(tag: str, attributes: str) -> tuple[bool, bool]:
+    """Whether an element is never text, and whether its name says that it isn't article text."""
     if tag in DROPPED:
-        return True
+        return True, False
     if tag in NEVER_NOISE or not attributes:
-        return False
+        return False, False
+    named = False
     for m in _ATTR.finditer(attributes):
         name, value = m[1].lower(), (m[2] or "").strip("\"'")
         if name in ("class", "id", "role") and any(w.lower() in NOISE for w in _WORDS.findall(value)):
-            return True
+            named = True
         if name == "hidden" or (name == "style" and re.search(r"display\s*:\s*none", value, re.I)):
-            return True
-    return False
+            return True, False
+    return False, named
 
 
 def parse(page: str) -> Node:
@@ -109,7 +112,7 @@ def parse(page: str) -> Node:
                     if tag in CLOSES_P:
                         break
                 node = node.parent
-        new = Node(tag, here, _noise(tag, m[3]))
+        new = Node(tag, here, *_noise(tag, m[3]))
         here.items.append(new)
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
@@ -156,23 +159,55 @@ def _total(node: Node) -> tuple[int, int, int]:
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 title".split())
 #: Elements whose own text makes them a paragraph of the element above.
 _PARAGRAPH = frozenset("p pre li td th dd dt blockquote figcaption".split())
+#: Share of its points that an element with a name of NOISE keeps and passes on, where it is not dropped.
+DISCOUNT = 0.1
 #: Sibling of the best container: least share of its points.
 SIBLING = 0.3
 #: Link share from which a list of links is a menu.
 MENU_SHARE, MENU_LINKS = 0.8, 3
 
 
+def _value(node: Node) -> float:
+    """Points of a paragraph or of a block's own text."""
+    if node.tag in INLINE or not node.own or node.tag in _HEADINGS:
+        return 0.0
+    return (1 + node.score + node.own / 100) * (1 - node.link / node.own)
+
+
+def _drop_named(root: Node) -> None:
+    """Elements with a name of NOISE become noise, but for those that hold a main, the article with most points, or most points of the page."""
+    order = _measure(root)
+    if not any(x.named for x in order):
+        for x in order:
+            x.own, x.link, x.score, x.has_block = 0, 0, 0.0, False
+        return
+    points = {id(x): _value(x) for x in order}
+    for x in reversed(order):
+        if x.parent is not None:
+            points[id(x.parent)] += points[id(x)]
+    articles = [x for x in order if x.tag == "article" and points[id(x)] > 0]
+    held = {id(x): x for x in [*(x for x in order if x.tag == "main"), *([max(articles, key=lambda x: points[id(x)])] if articles else [])]}
+    for x in reversed(order):
+        if id(x) in held and x.parent is not None:
+            held[id(x.parent)] = x.parent
+    for x in order:
+        x.noise = x.named and id(x) not in held and 2 * points[id(x)] <= points[id(root)]
+        x.own, x.link, x.score, x.has_block = 0, 0, 0.0, False
+
+
 def best_container(root: Node) -> list[Node]:
     """The container with most points and its good siblings, in page order."""
+    _drop_named(root)
     order = _measure(root)
     points: dict[int, float] = {}
     for node in order:
         if node.tag in INLINE or not node.own or node.tag in _HEADINGS:
             continue
-        value = (1 + node.score + node.own / 100) * (1 - node.link / node.own)
+        value = _value(node)
         up = node.parent if node.tag in _PARAGRAPH else node
-        share = 1.0
+        share = DISCOUNT if node.named and up is not node else 1.0
         while up is not None:
+            share *= DISCOUNT if up.named else 1.0
             if up.tag not in INLINE:
                 points[id(up)] = points.get(id(up), 0.0) + value * share
                 share /= 2

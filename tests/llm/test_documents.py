@@ -175,6 +175,16 @@ def test_keys_beside_base_spans_are_candidates_of_their_own():
 
 # ---- pages
 
+def test_names_of_wrappers_do_not_drop_the_article():
+    body = "".join(f"<p>Sentence {k} of the story, long enough to count, goes on and on for a while.</p>" for k in range(8))
+    want = " ".join(f"Sentence {k} of the story, long enough to count, goes on and on for a while." for k in range(8))
+    for name in ("class='content has-sidebar'", "class=no-comments", "class='with-toolbar'", "id='search-article'"):
+        for inner in (f"<article>{body}</article>", body):
+            page = f"<body><div {name}>{inner}<div class=sidebar><p>Side text, not wanted.</p></div></div><div class=comments><p>A comment, short.</p></div></body>"
+            assert html.main_text(page) == want, (name, inner[:9])
+    assert html.main_text("<article><p>Where <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> holds, all is well.</p></article>") == "Where x=2 holds, all is well."
+
+
 def test_main_text_is_the_article():
     page = """<!doctype html><html><head><title>T</title><style>p{}</style></head><body class="has-sidebar"><header><a href=/>Home</a></header>
     <nav><ul><li><a href=/a>A</a><li><a href=/b>B</a></ul></nav><div class="cookie-notice"><p>We use cookies, many, many cookies, believe us, really.</p></div>
