@@ -23,11 +23,10 @@ from earwitness.llm.common import extend, hash_share
 @dataclass(frozen=True)
 class ProfileParams:
     """``sample_rows``: documents of each language, about, that a profile is learned from (the only sampling,
-    picked by the hash of the id). ``languages``: most frequent values that get one. N-grams of up to three
+    picked by the hash of the id). N-grams of up to three
     code points pack into one whole number."""
 
     sample_rows: int = 4_000
-    languages: int = 256
     length: int = 400
     sizes: tuple[int, ...] = (1, 2, 3)
 
@@ -78,20 +77,19 @@ def _counted(batches, sizes):
 def profiles(labelled: DataFrame, params: ProfileParams = PARAMS) -> dict[str, np.ndarray]:
     """Profiles learned from rows (``id``, ``lang``, ``text``) with a language.
 
-    At most ``languages`` x ``length`` n-grams come to the driver.
+    Every language gets one; ``length`` n-grams of each come to the driver.
     """
     known = labelled.where("lang is not null and id is not null")
-    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(params.languages).collect()
-    share = F.lit(0.0)
-    for r in sizes:
-        share = F.when(F.col("lang") == r["lang"], min(1.0, params.sample_rows / r["count"])).otherwise(share)
-    picked = known.where(hash_share(share, "id")).select("lang", "text")
+    sizes = known.groupBy("lang").count().collect()
+    shares = labelled.sparkSession.createDataFrame([(r["lang"], min(1.0, params.sample_rows / r["count"])) for r in sizes], "lang string, __share double")
+    picked = known.join(shares, "lang").where(hash_share(F.col("__share"), "id")).select("lang", "text")
     counts = picked.mapInArrow(partial(_counted, sizes=params.sizes), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    out: dict[str, list[int]] = {}
-    for r in counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= params.length).orderBy("lang", "rank").collect():
-        out.setdefault(r["lang"], []).append(r["gram"])
-    return {lang: np.array(grams, np.int64).view(np.uint64) for lang, grams in out.items()}
+    best = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= params.length).orderBy("lang", "rank").select("lang", "gram").toArrow()
+    grams = best.column("gram").to_numpy().astype(np.int64).view(np.uint64)
+    langs = best.column("lang").to_pylist()
+    starts = [k for k in range(len(langs)) if k == 0 or langs[k] != langs[k - 1]]
+    return {langs[a]: grams[a:b] for a, b in zip(starts, [*starts[1:], len(langs)], strict=False)}
 
 
 class Classifier:
@@ -99,10 +97,14 @@ class Classifier:
 
     def __init__(self, learned: dict[str, np.ndarray], params: ProfileParams = PARAMS) -> None:
         self.params, self.languages = params, sorted(learned)
-        self.grams = np.unique(np.concatenate([learned[x] for x in self.languages])) if learned else np.empty(0, np.uint64)
-        self.places = np.full((len(self.grams) + 1, len(self.languages)), -1, np.int64)
-        for k, lang in enumerate(self.languages):
-            self.places[np.searchsorted(self.grams, learned[lang]), k] = np.arange(len(learned[lang]))
+        each = [learned[x] for x in self.languages]
+        grams = np.concatenate(each) if each else np.empty(0, np.uint64)
+        order = np.argsort(grams, kind="stable")
+        self.grams, self.starts = np.unique(grams, return_index=True) if not len(order) else np.unique(grams[order], return_index=True)
+        self.ends = np.append(self.starts[1:], len(grams))
+        # For each n-gram, side by side, the languages whose profiles have it, and its places there.
+        self.lang = np.repeat(np.arange(len(each)), [len(g) for g in each])[order]
+        self.place = np.concatenate([np.arange(len(g)) for g in each])[order] if each else grams
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """Language and score: 1 for the profile itself, 0 if it has none of the document's n-grams."""
@@ -111,9 +113,11 @@ class Classifier:
             return UNKNOWN, 0.0
         top = ranked(grams, counts, self.params.length)
         at = np.searchsorted(self.grams, top)
-        at[(at == len(self.grams)) | (self.grams[np.minimum(at, len(self.grams) - 1)] != top)] = len(self.grams)
-        places = self.places[at]
-        out = np.where(places < 0, self.params.length, np.abs(places - np.arange(len(top))[:, None])).sum(0)
+        known = np.flatnonzero(self.grams[np.minimum(at, len(self.grams) - 1)] == top) if len(self.grams) else np.empty(0, int)
+        first, n = self.starts[at[known]], (self.ends - self.starts)[at[known]]
+        entry = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+        apart = np.abs(self.place[entry] - np.repeat(known, n)) - self.params.length
+        out = self.params.length * len(top) + np.bincount(self.lang[entry], apart, len(self.languages)).astype(np.int64)
         best = int(np.argmin(out))
         return self.languages[best], 1 - float(out[best]) / (self.params.length * len(top))
 

@@ -173,6 +173,16 @@ def test_keys_beside_base_spans_are_candidates_of_their_own():
     assert secrets.scan_text("0123456789abcdef-short-piece")["candidates"] == []
 
 
+def test_every_language_gets_a_profile(spark):
+    rng = np.random.default_rng(7)
+    words = {f"l{k:03d}": ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 5)) for _ in range(12)] for k in range(300)}
+    docs = spark.createDataFrame([(k, lang, " ".join(w * 3)) for k, (lang, w) in enumerate(words.items())], "id long, lang string, text string")
+    learned = language.profiles(docs)
+    assert set(learned) == set(words)
+    found = language.Classifier(learned)
+    assert all(found.predict(" ".join(w * 3))[0] == lang for lang, w in words.items())
+
+
 # ---- pages
 
 def test_names_of_wrappers_do_not_drop_the_article():
