@@ -58,6 +58,34 @@ class Memo(dict):
         return value
 
 
+#: Base of polynomial hashes, odd.
+HASH_BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
+class Powers:
+    """Powers of an odd number and of its inverse modulo 2^64, as many as were asked for.
+
+    With them the polynomial hash of any part of an array comes from running sums.
+    """
+
+    def __init__(self) -> None:
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def reach(self, n: int) -> None:
+        if len(self.up) < n:
+            size = max(n, 2 * len(self.up))
+            inverse = np.uint64(pow(int(HASH_BASE), -1, 1 << 64))
+            self.up, self.down = (np.concatenate([[np.uint64(1)], np.cumprod(np.full(size - 1, x, np.uint64))]) for x in (HASH_BASE, inverse))
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """Running sums of (value + 1) times the power of its place, from 0."""
+        self.reach(len(values) + 1)
+        return np.concatenate([[np.uint64(0)], np.cumsum((values.astype(np.uint64) + np.uint64(1)) * self.up[: len(values)])])
+
+    def hashes(self, sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return (sums[end] - sums[start]) * self.down[start]
+
+
 def utf8(column: pa.Array) -> list[bytes | None]:
     """A string column's values as UTF-8 bytes."""
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()

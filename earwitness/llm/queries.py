@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from earwitness.llm import caps, decontaminate, html, jaccard, language, packing, pii, quality, secrets, urls
+from earwitness.llm import caps, decontaminate, html, jaccard, language, packing, phrases, pii, quality, secrets, toxicity, urls, whitening
 from earwitness.llm.common import crc_fold, table
 from earwitness.session import cut_lineage
 
@@ -170,3 +170,40 @@ SURROGATE_KEY = b"registered query"
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with surrogates for personal data."""
     return pii.pseudonymised(table(spark, sf_dir, "documents"), SURROGATE_KEY)
+
+
+@query("op11_recurrent_toxicity")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document, learned from the labels outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    net = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    held_out = F.coalesce(crc_fold("doc_id", toxicity.PARAMS.folds) == toxicity.PARAMS.held_out, F.lit(False))
+    score = F.col("__out.score")
+    return toxicity.scored(docs, net, ["doc_id"]).select("doc_id", held_out.alias("held_out"), score.alias("score"), (score >= toxicity.PARAMS.accept).cast("int").alias("predicted"))
+
+
+@query("op12_cholesky_whitening")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every usable embedding, whitened, a row for each of the first 32 components."""
+    return whitening.whitened(table(spark, sf_dir, "embeddings"), "vec_id")
+
+
+@query("op13_son_phrases", """
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS d, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM documents WHERE text IS NOT NULL),
+p AS (SELECT lang, d, unnest(regexp_split_to_array(x, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM t),
+w AS (SELECT lang, [g for g in regexp_split_to_array(piece, '[ \\x09]') if g <> ''] AS ws FROM p),
+total AS (SELECT lang, sum(len(ws))::HUGEINT AS n FROM w GROUP BY lang),
+g AS (SELECT lang, k, unnest([array_to_string(ws[i:i + k - 1], ' ') for i in range(1, len(ws) - k + 2)]) AS phrase FROM w, range(1, 6) r(k) WHERE len(ws) >= k),
+f AS (SELECT lang, k, phrase, count(*)::HUGEINT AS a FROM g GROUP BY ALL HAVING count(*) >= 100),
+parts AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS ws FROM f),
+gone AS (SELECT DISTINCT s.lang, s.phrase FROM (SELECT lang, a, array_to_string(ws[1:k - 1], ' ') AS phrase FROM parts WHERE k > 2 UNION ALL SELECT lang, a, array_to_string(ws[2:k], ' ') FROM parts WHERE k > 2) s JOIN f USING (lang, phrase) WHERE s.a >= f.a),
+cuts AS (SELECT lang, phrase, a, c, array_to_string(ws[1:c], ' ') AS front, array_to_string(ws[c + 1:k], ' ') AS rest FROM parts, range(1, 5) q(c) WHERE c < k),
+scored AS (SELECT c.lang, c.phrase, c.a, c, x.a AS l, y.a AS r, n, (1000 * c.a * n) // (x.a * y.a) AS score
+           FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = c.front JOIN f y ON y.lang = c.lang AND y.phrase = c.rest JOIN total ON total.lang = c.lang),
+worst AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) AS o FROM scored),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM worst w WHERE o = 1 AND NOT EXISTS (SELECT 1 FROM gone WHERE gone.lang = w.lang AND gone.phrase = w.phrase))
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 2000
+""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best phrases of every language of the documents."""
+    return phrases.collocations(table(spark, sf_dir, "documents"))
