@@ -90,8 +90,12 @@ def _around(codes: np.ndarray, index: np.ndarray, reach: int) -> np.ndarray:
     return sums[np.minimum(at + reach + 1, len(codes))] - sums[np.maximum(at - reach, 0)] - own
 
 
+#: Vector rows whose context sums travel together.
+ROWS_TOGETHER = 512
+
+
 def _contexts(batches, p: QualityParams):
-    """One row a task: the sum of the index vectors seen around every row, as whole numbers."""
+    """Sums of the index vectors seen around every row, as whole numbers, ``ROWS_TOGETHER`` rows at a time."""
     memo, index = _memo(p), index_vectors(p)
     total = np.zeros_like(index)
     for batch in batches:
@@ -101,15 +105,28 @@ def _contexts(batches, p: QualityParams):
                 order = np.argsort(codes, kind="stable")
                 starts = np.flatnonzero(np.diff(codes[order], prepend=-1))
                 total[codes[order][starts]] += np.add.reduceat(_around(codes, index, 3 * p.window)[order], starts)
-    yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
+    for k in range(0, p.word_rows, ROWS_TOGETHER):
+        part = total[k : k + ROWS_TOGETHER]
+        if part.any():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["first", "sums"])
+
+
+def _added(parts: pa.Table) -> pa.Table:
+    """One row for all of a group: its sums added up."""
+    total = sum(np.frombuffer(x.as_buffer(), np.int64) for x in parts.column("sums"))
+    return pa.table({"first": parts.column("first").slice(0, 1), "sums": pa.array([total.tobytes()], pa.binary())})
 
 
 def word_vectors(sample: DataFrame, p: QualityParams) -> np.ndarray:
-    """Own index vector and the direction of the contexts, side by side in one space and of one length."""
+    """Own index vector and the direction of the contexts, side by side in one space and of one length.
+
+    Spark adds up what the tasks found, so that one matrix reaches the driver whatever their number.
+    """
     index = index_vectors(p)
     sums = np.zeros_like(index)
-    for r in sample.select("text").mapInArrow(partial(_contexts, p=p), "sums binary").collect():
-        sums += np.frombuffer(r.sums, np.int64).reshape(sums.shape)
+    shape = "first int, sums binary"
+    for r in sample.select("text").mapInArrow(partial(_contexts, p=p), shape).groupBy("first").applyInArrow(_added, shape).collect():
+        sums[r.first : r.first + ROWS_TOGETHER] = np.frombuffer(r.sums, np.int64).reshape(-1, p.dimensions)
     unit = lambda x: x / np.maximum(1e-9, np.linalg.norm(x, axis=1, keepdims=True))
     return (unit(index.astype(float)) + unit(sums.astype(float))).astype(np.float32)
 
