@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from earwitness.catalog.registry import query
 from earwitness.functions.numbers import round_exact_sql
-from earwitness.operators import pilot
+from earwitness.operators import pilot, recording
 from earwitness.operators.scan import scan, slice_of
 from earwitness.sources import tables as t
 
@@ -184,3 +184,64 @@ def pilot_rejects(spark, sf):
         transcript_usable=F.when(k <= 60, yes), note=F.when(kind == "purchase", "free text"))
     raw = F.to_json(F.struct(*[c.alias(n) for n, c in fields.items()]))
     return t.events(spark, sf).select("event_id", F.array_join(pilot.input_errors(raw), "|").alias("errors"))
+
+
+def _event(prefix: str, previous: str) -> str:
+    """Hash of an event, as SQL."""
+    body = f"""'{{"event":{{"cents":' || {prefix}cents || ',"k":' || {prefix}k || '}},"event_id":"e' || {prefix}seq || '","previous_event_sha256":'"""
+    return f"""sha256({body} || coalesce('"' || {previous} || '"', 'null') || '}}')"""
+
+
+RECORD_SQL = f"""
+ordered AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY seq) - 1 AS n FROM
+  (SELECT format('{{}}-{{}}', user_id, k // 10) AS job_id, user_id, event_id AS seq, cents, k FROM ev)),
+g0 AS (SELECT job_id, user_id % 7 = 0 AS broken, {_event('', 'NULL::VARCHAR')} AS h0 FROM ordered WHERE n = 0),
+g1 AS (SELECT g0.*, {_event('o.', 'h0')} AS h1 FROM g0 LEFT JOIN ordered o ON o.job_id = g0.job_id AND o.n = 1),
+g2 AS (SELECT g1.*, {_event('o.', 'h1')} AS h2 FROM g1 LEFT JOIN ordered o ON o.job_id = g1.job_id AND o.n = 2),
+asked AS (SELECT o.*, g2.broken, CASE n WHEN 2 THEN h1 WHEN 3 THEN h2 WHEN 4 THEN h2 ELSE h0 END AS previous FROM ordered o JOIN g2 USING (job_id) WHERE n > 0),
+recorded AS (SELECT job_id, seq, {_event('', 'previous')} AS event_sha256, CASE WHEN NOT broken AND n <= 3 THEN n END AS position,
+  CASE WHEN broken THEN '{recording.BROKEN}' WHEN n > 3 THEN '{recording.STALE}' END AS reason FROM asked)
+"""
+
+
+def recorded(spark, sf):
+    """A ledger of one event a job, and requests: the first three build on each other, the rest name a head that is gone.
+
+    The ledger of every seventh user was tampered with.
+    """
+    rows = t.events(spark, sf).select(
+        F.format_string("%d-%d", "user_id", F.floor(F.col("k") / 10).cast("long")).alias("job_id"), F.col("event_id").alias("seq"),
+        F.format_string("e%d", "event_id").alias("event_id"), F.struct("cents", "k").alias("event"), (F.col("user_id") % 7 == 0).alias("broken"))
+    placed = scan(rows, ["job_id"], ["seq"], slice_of("seq", 100_000), row_number="n")
+
+    def nth(n: int):
+        return placed.where(F.col("n") == n).select("job_id", "event_id", "event", "broken")
+
+    known = nth(1).withColumn("previous_event_sha256", F.lit(None).cast("string"))
+    known = known.withColumn("h0", recording.event_sha256(known))
+    for n in (1, 2):
+        after = nth(n + 1).drop("broken").join(known.select("job_id", F.col(f"h{n - 1}").alias("previous_event_sha256")), "job_id")
+        known = known.join(after.select("job_id", recording.event_sha256(after).alias(f"h{n}")), "job_id", "left")
+    ledger = known.select("job_id", F.lit(0).cast("long").alias("position"), "event_id", "event", "previous_event_sha256", F.when(F.col("broken"), F.lit("0" * 64)).otherwise(F.col("h0")).alias("event_sha256"))
+    heads = pilot.chain_report(ledger.withColumnRenamed("position", "seq"), F.lit(0), recording.event_sha256(ledger))
+    named = F.when(F.col("n") == 3, F.col("h1")).when(F.col("n").isin(4, 5), F.col("h2")).otherwise(F.col("h0"))
+    requests = placed.where("n > 1").join(known.select("job_id", "h0", "h1", "h2"), "job_id").select("job_id", "seq", "event_id", named.alias("previous_event_sha256"), "event")
+    return ledger, recording.record_events(requests, heads)
+
+
+@query("pilot_record", sql=f"WITH {t.EVENTS_SQL}, {RECORD_SQL} SELECT * FROM recorded")
+def pilot_record(spark, sf):
+    return recorded(spark, sf)[1].select("job_id", "seq", "event_sha256", "position", "reason")
+
+
+@query("pilot_record_chains", sql=f"""
+WITH {t.EVENTS_SQL}, {RECORD_SQL},
+both_ AS (SELECT job_id, position, event_sha256 FROM recorded WHERE reason IS NULL UNION ALL SELECT job_id, 0, h0 FROM g0 WHERE NOT broken)
+SELECT job_id, true AS ok, count(*) AS event_count, NULL::BIGINT AS invalid_index, arg_max(event_sha256, position) AS latest_event_sha256 FROM both_ GROUP BY job_id
+UNION ALL SELECT job_id, false, 1, 0, NULL FROM g0 WHERE broken
+""")
+def pilot_record_chains(spark, sf):
+    """The chains after recording: sound wherever they were."""
+    ledger, made = recorded(spark, sf)
+    rows = ledger.unionByName(made.where("reason is null").select(*ledger.columns))
+    return pilot.chain_report(rows.withColumnRenamed("position", "seq"), slice_of("seq", 1000), recording.event_sha256(rows))

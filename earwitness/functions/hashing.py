@@ -6,8 +6,9 @@ import hashlib
 import json
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.types import StringType
 
 
@@ -21,6 +22,44 @@ def canonical_json(fields: dict[str, Column]) -> Column:
     return F.to_json(record, {"ignoreNullFields": "false"})
 
 
+def json_string(text: Column, ascii_only: bool = False) -> Column:
+    """A JSON string literal: short escapes where there are any, ``\\u`` and four small hex digits for the rest."""
+    special = r'["\\]|[^ -~]' if ascii_only else r'["\\]|[\x00-\x1f]'
+    short = F.create_map(*(F.lit(x) for kv in (('"', '\\"'), ("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\b", "\\b"), ("\f", "\\f")) for x in kv))
+    escape = lambda c: F.coalesce(F.try_element_at(short, c), F.when(c.rlike(special), F.regexp_replace(F.lower(F.hex(F.encode(c, "UTF-16BE"))), "(.{4})", r"\\u$1")), c)
+    escaped = F.array_join(F.transform(F.split(text, ""), escape), "")
+    return F.concat(F.lit('"'), F.when(text.rlike(special), escaped).otherwise(text), F.lit('"'))
+
+
+def nested_json(value: Column, kind: T.DataType, ascii_only: bool = False) -> Column:
+    """Canonical JSON of a value of any nesting: keys in order, nulls kept, no spaces.
+
+    Fractions have no text that all writers share, so they are given as strings.
+    """
+    if isinstance(kind, T.StructType):
+        names = sorted(kind.fieldNames())
+        members = [F.concat(json_string(F.lit(n), ascii_only), F.lit(":"), nested_json(value[n], kind[n].dataType, ascii_only)) for n in names]
+        made = F.concat(F.lit("{"), F.concat_ws(",", *members), F.lit("}"))
+    elif isinstance(kind, T.ArrayType):
+        made = F.concat(F.lit("["), F.array_join(F.transform(value, lambda x: nested_json(x, kind.elementType, ascii_only)), ","), F.lit("]"))
+    elif isinstance(kind, T.MapType) and isinstance(kind.keyType, T.StringType):
+        member = lambda e: F.concat(json_string(e["key"], ascii_only), F.lit(":"), nested_json(e["value"], kind.valueType, ascii_only))
+        names = F.array_sort(F.map_keys(value))
+        made = F.concat(F.lit("{"), F.array_join(F.transform(names, lambda n: member(F.struct(n.alias("key"), value[n].alias("value")))), ","), F.lit("}"))
+    elif isinstance(kind, T.StringType):
+        made = json_string(value, ascii_only)
+    elif isinstance(kind, (T.BooleanType, T.IntegralType, T.NullType)):
+        made = value.cast("string")
+    else:
+        raise TypeError(f"{kind.simpleString()} has no canonical JSON; give it as a string")
+    return F.coalesce(made, F.lit("null"))
+
+
+def record_sha256(df: DataFrame, record: str, ascii_only: bool = False) -> Column:
+    """Hash of the canonical JSON of the struct column ``record`` of ``df``."""
+    return sha256_text(nested_json(F.col(record), df.schema[record].dataType, ascii_only))
+
+
 def short_id(prefix: str, digest: Column, length: int) -> Column:
     return F.concat(F.lit(prefix), F.substring(digest, 1, length))
 

@@ -8,15 +8,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from earwitness.operators import (
     agreement, alignment, archive as ar, chunking, corrections as co, costs, draft as dr, evaluation as ev, jobs, media,
-    pilot, pricing, provider_json, reconcile as rc, rescue, review as rv, speakers as sp, transcripts as tr)
+    pilot, pricing, provider_json, reconcile as rc, recording, rescue, review as rv, speakers as sp, transcripts as tr)
+from earwitness.operators.scan import slice_of
 from earwitness.params import AgreementThresholds, PriceBook, RescuePolicy, ScorecardThresholds
 from earwitness.session import cut_lineage
-from earwitness.sinks import documents
+from earwitness.sinks import commits, documents
 
 
 def compare(docs: DataFrame, provider_order: Sequence[str], thresholds: AgreementThresholds = AgreementThresholds()) -> dict[str, DataFrame]:
@@ -103,6 +105,36 @@ def scorecards(cases: DataFrame, thresholds: ScorecardThresholds = ScorecardThre
     return {"results": results, "scorecards": cards, "gate": ev.release_gate(cards), "report": ev.report(results)}
 
 
+def record_pilot(spark: SparkSession, root: str, requests: DataFrame, *, attempts: int = 5) -> DataFrame:
+    """Append pilot events to the ledger under ``root``; gives every request with its position or its reason.
+
+    ``requests`` as for ``recording.record_events``. The ledger's chains are verified,
+    winners are staged and published as one version. If another writer was faster,
+    all is decided anew against the heads it left, and what named an old head is
+    refused; so two writers of one job leave one sound chain.
+    """
+    shape = requests.select("job_id", "seq", "event_id", "previous_event_sha256", "event").schema
+    shape = StructType([*shape, StructField("event_sha256", StringType()), StructField("position", LongType())])
+    for _ in range(attempts):
+        seen = commits.state(spark, root)
+        done = recording.record_events(requests, ledger_chains(seen.read(spark, "events", shape)))
+        made = cut_lineage(done)
+        new = made.where("reason is null")
+        if new.isEmpty():
+            return made
+        try:
+            commits.publish(spark, root, seen, {"events": commits.stage(new.select(*shape.fieldNames()), root, "events")})
+        except commits.StaleVersion:
+            continue
+        return made
+    raise commits.StaleVersion(f"{root} changed in each of {attempts} attempts")
+
+
+def ledger_chains(events: DataFrame, per_slice: int = 100_000) -> DataFrame:
+    """Chain report of a ledger that ``record_pilot`` keeps."""
+    return pilot.chain_report(events.drop("seq").withColumnRenamed("position", "seq"), slice_of("seq", per_slice), recording.event_sha256(events))
+
+
 def pilot_summary(recorded: DataFrame, chains: DataFrame, generated_on: Column, *, rollup: bool = True) -> dict[str, DataFrame]:
     now, good = pilot.eligible_records(recorded, chains)
     return {"counts": pilot.scan_counts(now), "summary": pilot.cohort_summary(good, generated_on, rollup=rollup)}

@@ -285,7 +285,7 @@ def test_price_goldens(spark):
     q = quote(spark, "compare_and_flag", "card", 3600, gst_registered=True)[0].first()
     assert (str(q["gst_amount"]), str(q["customer_total"])) == ("0.89", "10.79")
     for n in (1, 77, 599, 1441):
-        for plan in pricing.PLANS:
+        for plan in PriceBook().plans:
             assert quote(spark, plan, "card", n * 60, n)[0].first()["after_tax_margin"] >= Decimal("0.15")
 
 
