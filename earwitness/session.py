@@ -14,7 +14,8 @@ def build_session(app: str = "earwitness", master: str | None = None, **conf: st
     """A session with the settings every operator here relies on.
 
     Sizes (cores, memory, shuffle partitions) stay with the cluster; only
-    semantics are pinned: UTC timestamps, AQE with skew handling, Arrow batches.
+    semantics are pinned: UTC timestamps, AQE with skew handling, Arrow batches, and
+    streaming state outside the heap.
     """
     builder = (
         SparkSession.builder.appName(app)
@@ -22,6 +23,8 @@ def build_session(app: str = "earwitness", master: str | None = None, **conf: st
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+        .config("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
     )
     if master:
         builder = builder.master(master)

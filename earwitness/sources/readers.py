@@ -5,7 +5,7 @@ from __future__ import annotations
 import posixpath
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -52,11 +52,22 @@ def raw_responses(spark: SparkSession, glob: str) -> DataFrame:
     return rows.withColumn("readable", F.try_parse_json("raw").isNotNull())
 
 
-def numbered_lines(spark: SparkSession, glob: str) -> DataFrame:
-    """Lines of text files with their true numbers: file, line_no, line."""
-    rows = spark.read.text(glob, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    return rows.select("file", F.posexplode(F.split("value", "\r?\n")).alias("at", "line")).select(
-        "file", (F.col("at") + 1).cast("long").alias("line_no"), "line")
+def numbered_lines(spark: SparkSession, glob: str, wanted: Column | None = None) -> DataFrame:
+    """Lines of text files with their true numbers: file, line_no, line; those where ``wanted`` holds, if it is given.
+
+    Files are read in byte ranges, so one of any length is the work of many tasks.
+    Lines are counted per range, the counts of earlier ranges of a file are added
+    up, and a line's number is that sum and its place in its range. Lines end with
+    a line feed; a carriage return before it belongs to neither line.
+    """
+    place = F.monotonically_increasing_id().alias("__place")
+    read = spark.read.option("lineSep", "\n").text(glob).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("__range"), place, F.regexp_replace("value", "\r$", "").alias("line"))
+    ranges = read.groupBy("file", "__range").agg(F.min("__place").alias("__first"), F.count(F.lit(1)).alias("__lines"))
+    earlier = Window.partitionBy("file").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranges.select("file", "__range", "__first", F.coalesce(F.sum("__lines").over(earlier), F.lit(0)).alias("__before"))
+    lines = read if wanted is None else read.where(wanted)
+    return lines.join(offsets, ["file", "__range"]).select("file", (F.col("__place") - F.col("__first") + F.col("__before") + 1).alias("line_no"), "line")
 
 
 def ledger(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
@@ -66,8 +77,7 @@ def ledger(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
 
 def ledger_rejects(spark: SparkSession, glob: str) -> DataFrame:
     """Ledger lines that are neither blank nor a JSON object, with file and number."""
-    lines = numbered_lines(spark, glob).where(F.trim("line") != "")
-    return lines.where(F.json_object_keys("line").isNull())
+    return numbered_lines(spark, glob, (F.trim("line") != "") & F.json_object_keys("line").isNull())
 
 
 def eval_cases(spark: SparkSession, path: str) -> DataFrame:

@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from earwitness.operators.latest import latest
-
 
 def ledger_stream(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """New ledger events, however late; none is dropped.
@@ -19,25 +17,22 @@ def ledger_stream(spark: SparkSession, path: str, schema: StructType) -> DataFra
     return spark.readStream.schema(schema).json(path)
 
 
-def maintain_latest(events: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """Fold each batch into versioned snapshots of the latest event per job.
+def maintain_latest(events: DataFrame, checkpoint: str) -> StreamingQuery:
+    """Keep the latest event of every job in the query's own state, under ``checkpoint``.
 
-    Batch n reads snapshot n-1 and writes snapshot n, so a replayed batch
-    overwrites its own output and the result stays exactly-once.
+    The state is the table: Spark writes what a batch changed, not what it left
+    alone, and drops what versions older than ``spark.sql.streaming.minBatchesToRetain``
+    need, so storage follows the number of jobs and not of batches. A batch that is
+    run again changes nothing twice. ``build_session`` keeps state in RocksDB, whose
+    size the heap does not bound.
     """
-    def fold(batch: DataFrame, batch_id: int) -> None:
-        now = batch
-        if batch_id > 0:
-            now = batch.sparkSession.read.schema(batch.schema).parquet(f"{target}/snapshot_no={batch_id - 1}").unionByName(batch)
-        latest(now, ["job_id"], ["seq"]).select(*batch.columns).write.mode("overwrite").parquet(f"{target}/snapshot_no={batch_id}")
-
-    return (
-        events.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start())
-
-
-def current(spark: SparkSession, target: str) -> DataFrame:
-    """The newest snapshot."""
-    rows = spark.read.parquet(target)
-    newest = rows.select(F.max("snapshot_no").alias("snapshot_no"))
-    return rows.join(newest, "snapshot_no").drop("snapshot_no")
+    rest = [c for c in events.columns if c != "job_id"]
+    newest = events.groupBy("job_id").agg(F.max_by(F.struct(*rest), "seq").alias("newest"))
+    return newest.writeStream.outputMode("update").format("noop").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def current(spark: SparkSession, checkpoint: str, batch: int | None = None) -> DataFrame:
+    """The latest event of every job after the last batch, or after ``batch`` where that is still kept."""
+    reader = spark.read.format("statestore")
+    rows = (reader if batch is None else reader.option("batchId", batch)).load(checkpoint)
+    return rows.select("key.job_id", "value.valueWithExtremumOrdering.*")

@@ -71,12 +71,12 @@ def test_only_the_folder_itself_is_inside(spark, tmp_path):
 
 def test_late_ledger_events_are_kept(spark, tmp_path):
     schema = "event_id string, job_id string, seq long, recorded_at timestamp, v int"
-    src, out, ckpt = (str(tmp_path / n) for n in ("in", "out", "ckpt"))
+    src, ckpt = (str(tmp_path / n) for n in ("in", "ckpt"))
     for rows in ([("e1", "j", 1, "2026-03-01", 1)], [("e2", "k", 1, "2020-01-01", 5), ("e1", "j", 1, "2026-03-01", 1)]):
         spark.createDataFrame(rows, "event_id string, job_id string, seq long, t string, v int").select(
             "event_id", "job_id", "seq", F.col("t").cast("timestamp").alias("recorded_at"), "v").coalesce(1).write.mode("append").json(src)
-        ledger.maintain_latest(ledger.ledger_stream(spark, src, ledger.StructType.fromDDL(schema)), out, ckpt).awaitTermination(120)
-    assert {(r.job_id, r.v) for r in ledger.current(spark, out).collect()} == {("j", 1), ("k", 5)}
+        ledger.maintain_latest(ledger.ledger_stream(spark, src, ledger.StructType.fromDDL(schema)), ckpt).awaitTermination(120)
+    assert {(r.job_id, r.v) for r in ledger.current(spark, ckpt).collect()} == {("j", 1), ("k", 5)}
 
 
 def test_workers_find_the_package_from_another_folder(tmp_path):

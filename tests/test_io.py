@@ -148,16 +148,16 @@ def test_silence_log_edges(spark):
 
 def test_ledger_stream_keeps_the_latest(spark, tmp_path):
     schema = "event_id string, job_id string, seq long, recorded_at timestamp, v int"
-    src, out, ckpt = (str(tmp_path / n) for n in ("in", "out", "ckpt"))
+    src, ckpt = (str(tmp_path / n) for n in ("in", "ckpt"))
 
     def deliver(rows):
         spark.createDataFrame(rows, "event_id string, job_id string, seq long, t string, v int").select(
             "event_id", "job_id", "seq", F.col("t").cast("timestamp").alias("recorded_at"), "v").coalesce(1).write.mode("append").json(src)
-        ls.maintain_latest(ls.ledger_stream(spark, src, ls.StructType.fromDDL(schema)), out, ckpt).awaitTermination(120)
+        ls.maintain_latest(ls.ledger_stream(spark, src, ls.StructType.fromDDL(schema)), ckpt).awaitTermination(120)
 
     deliver([("e1", "j", 1, "2026-01-01", 1), ("e2", "k", 1, "2026-01-01", 5)])
     deliver([("e3", "j", 2, "2026-01-02", 2), ("e2", "k", 1, "2026-01-01", 5)])
-    assert {(r["job_id"], r["v"]) for r in ls.current(spark, out).collect()} == {("j", 2), ("k", 5)}
+    assert {(r["job_id"], r["v"]) for r in ls.current(spark, ckpt).collect()} == {("j", 2), ("k", 5)}
 
 
 def test_spend_stream_matches_the_batch_guard(spark, tmp_path):

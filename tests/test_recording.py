@@ -181,3 +181,53 @@ def test_a_failed_write_leaves_the_old_version(spark, tmp_path):
     assert commits.state(spark, root) == two and two.read(spark, "t", spark.range(1).schema).count() == 5
     assert commits.discard(spark, root, two) >= 3 and two.read(spark, "t", spark.range(1).schema).count() == 5
     assert commits.state(spark, root) == two
+
+
+# ---- ledger lines and upkeep
+
+def test_line_numbers_across_byte_ranges(spark, tmp_path):
+    from earwitness.sources import readers
+
+    rng = np.random.default_rng(5)
+    bad = {}
+    for name in "ab":
+        lines = [["{}", '{"a": 1}', "", "  ", "[1]", "{", "x" * 200][k] for k in rng.integers(0, 7, 90)]
+        (tmp_path / f"{name}.jsonl").write_bytes("".join(x + ("\r\n" if k % 7 == 0 else "\n") for k, x in enumerate(lines)).encode())
+        bad |= {(name, k): x for k, x in enumerate(lines, 1) if x in ("[1]", "{", "x" * 200)}
+    keys = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = {k: spark.conf.get(k) for k in keys}
+    try:
+        for size in ("100", "777", before[keys[0]]):
+            spark.conf.set(keys[0], size)
+            spark.conf.set(keys[1], "0")
+            got = readers.ledger_rejects(spark, f"{tmp_path}/*.jsonl").collect()
+            assert {(r.file.split("/")[-1][0], r.line_no): r.line for r in got} == bad and len(got) == len(bad)
+            numbers = readers.numbered_lines(spark, f"{tmp_path}/a.jsonl").agg(F.max("line_no"), F.count_distinct("line_no")).first()
+            assert tuple(numbers) == (90, 90)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_upkeep_rewrites_what_changed_and_storage_stays(spark, tmp_path):
+    from earwitness.streaming import ledger
+
+    source, kept = str(tmp_path / "in"), str(tmp_path / "kept")
+    schema = ledger.StructType.fromDDL("job_id string, seq long, v string, more struct<x: int>")
+    spark.conf.set("spark.sql.streaming.minBatchesToRetain", "2")
+
+    def deliver(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(source)
+        ledger.maintain_latest(ledger.ledger_stream(spark, source, schema), kept).awaitTermination(120)
+
+    deliver([(f"j{k}", 1, "first", (k,)) for k in range(3000)])
+    sizes = []
+    for n in range(2, 9):
+        deliver([("j7", n, f"v{n}", None), ("j8", 0, "late", None), ("j7", n, f"v{n}", None)])
+        sizes.append(sum(p.stat().st_size for p in (tmp_path / "kept" / "state").rglob("*.changelog") if p.name == f"{n}.changelog"))
+    spark.conf.unset("spark.sql.streaming.minBatchesToRetain")
+    now = {r.job_id: (r.seq, r.v) for r in ledger.current(spark, kept).collect()}
+    assert len(now) == 3000 and now["j7"] == (8, "v8") and now["j8"] == (1, "first")
+    first = sum(p.stat().st_size for p in (tmp_path / "kept" / "state").rglob("1.changelog"))
+    assert max(sizes) < 5_000 and (not first or max(sizes) < first / 20)
+    assert {r.job_id: r.v for r in ledger.current(spark, kept, 6).where("job_id = 'j7'").collect()} == {"j7": "v7"}
