@@ -74,6 +74,58 @@ def archive_final(spark, sf):
     return archive.final_segments(w, labels).select("job_id", "window_id", "final_text", "speaker")
 
 
+def _of_window(sep: str) -> str:
+    clock = "format('{{:02d}}:{{:02d}}:{{:02d}}{sep}{{:03d}}', {ms} // 3600000, {ms} // 60000 % 60, {ms} // 1000 % 60, {ms} % 1000)"
+    return f"{clock.format(sep=sep, ms='start_ms')} || ' --> ' || {clock.format(sep=sep, ms='end_ms')}"
+
+
+_ESCAPED = "replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+_QUOTED = "replace(replace(" + _ESCAPED + """, '"', '&quot;'), '\'\'', '&#x27;')"""
+_IN_JSON = """'"' || replace(replace({0}, '\\', '\\\\'), '"', '\\"') || '"'"""
+_SECONDS = "CAST(CAST({0} / 1000 AS DOUBLE) AS VARCHAR)"
+
+
+@query("archive_files", sql=f"""
+WITH {t.WINDOWS_SQL}, u AS (SELECT job_id FROM windows GROUP BY ALL HAVING count(*) FILTER (word_count < 2) = 0),
+s AS (SELECT w.job_id, w.idx, n.speaker, min(n.ord) AS f FROM windows w JOIN native_words n ON n.job_id = w.job_id AND n.start_ms // 24000 = w.idx
+  WHERE n.speaker IS NOT NULL GROUP BY ALL),
+l AS (SELECT job_id, idx, string_agg(speaker, ' / ' ORDER BY f) AS speaker FROM s GROUP BY ALL),
+d AS (SELECT w.*, l.speaker, row_number() OVER (PARTITION BY w.job_id ORDER BY w.idx) AS no, row_number() OVER (PARTITION BY w.job_id ORDER BY w.idx) - 1 AS z
+  FROM windows w JOIN u USING (job_id) LEFT JOIN l USING (job_id, idx)),
+b AS (SELECT job_id, (no - 1) // 2000 AS part, max(no) AS upto,
+  string_agg(CASE WHEN no > 1 THEN repeat(chr(10), 2) ELSE '' END || text, '' ORDER BY no) AS txt,
+  string_agg(CASE WHEN no > 1 THEN repeat(chr(10), 2) ELSE '' END || no || chr(10) || {_of_window(',')} || chr(10) || {_ESCAPED.format("coalesce(speaker || ': ', '') || text")}, '' ORDER BY no) AS srt,
+  string_agg(CASE WHEN no > 1 THEN chr(10) ELSE '' END || '<tr><td>' || {_of_window('.').split(' ||')[0]} || '</td><td>' || {_QUOTED.format("coalesce(speaker, '')")} || '</td><td>' || {_QUOTED.format('text')} || '</td></tr>', '' ORDER BY no) AS html,
+  string_agg(CASE WHEN no > 1 THEN ',' || chr(10) ELSE '' END || '{{"window_id":"' || window_id || '","start_sec":' || {_SECONDS.format('start_ms')} || ',"end_sec":' || {_SECONDS.format('end_ms')}
+    || ',"speaker":' || coalesce({_IN_JSON.format('speaker')}, 'null') || ',"text":' || {_IN_JSON.format('text')} || '}}', '' ORDER BY no) AS json
+  FROM d GROUP BY ALL),
+e AS (SELECT job_id, max(part) AS last FROM b GROUP BY ALL),
+f AS (SELECT b.job_id, part, last, unnest(['txt', 'srt', 'html', 'json']) AS ext, unnest([
+  txt || CASE WHEN part = last THEN chr(10) ELSE '' END, srt || CASE WHEN part = last THEN chr(10) ELSE '' END,
+  CASE WHEN part = 0 THEN '<table><thead><tr><th>Start</th><th>Speaker</th><th>Text</th></tr></thead><tbody>' || chr(10) ELSE '' END || html || CASE WHEN part = last THEN chr(10) || '</tbody></table>' ELSE '' END,
+  CASE WHEN part = 0 THEN '{{"segments":[' || chr(10) ELSE '' END || json || CASE WHEN part = last THEN chr(10) || ']}}' || chr(10) ELSE '' END]) AS body FROM b JOIN e USING (job_id)),
+r AS (SELECT job_id, job_id // 3 AS meeting_id, row_number() OVER (PARTITION BY job_id // 3 ORDER BY job_id) AS revision FROM e)
+SELECT CAST(meeting_id AS VARCHAR) AS meeting_id, revision, ext, part, 'M' || CASE WHEN revision > 1 THEN format(' rev{{:02d}}', revision) ELSE '' END || ' FINAL'
+  || CASE WHEN last > 0 THEN format(' part{{:05d}}', part + 1) ELSE '' END || '.' || ext AS name, sha256(body) AS sha256, CAST(strlen(body) AS BIGINT) AS size_bytes
+FROM f JOIN r USING (job_id)
+""")
+def archive_files(spark, sf):
+    """Files of new archives, with hashes: three recordings a meeting, a revision each. A window of one word is unresolved."""
+    w = t.windows(spark, sf)
+    finals = w.select("job_id", F.col("idx").alias("ord"), "window_id", (F.col("start_ms") / 1000).alias("start_sec"), (F.col("end_ms") / 1000).alias("end_sec"),
+                      F.when(F.col("word_count") >= 2, F.col("text")).alias("final_text"))
+    labels = t.native_words(spark, sf).where(F.col("speaker").isNotNull()).groupBy(
+        "job_id", F.format_string("window-%05d", F.floor(F.col("start_ms") / t.WINDOW_MS).cast("long") + 1).alias("window_id"),
+        F.col("speaker").alias("display_label")).agg(F.min("ord").alias("turn_no"))
+    segments = archive.final_segments(finals, labels)
+    jobs = segments.select("job_id").distinct().select(
+        "job_id", F.floor(F.col("job_id") / 3).cast("string").alias("meeting_id"), F.col("job_id").alias("seq"), F.lit("M").alias("stem"))
+    none = spark.createDataFrame([], "meeting_id string, revision long")
+    revisions = archive.next_revisions(jobs, none, slice_of("seq", 100_000))
+    made = archive.revision_files(revisions, archive.final_documents(segments).where("ext <> 'vtt'"))
+    return made.drop("body")
+
+
 def files(spark, sf):
     d = t.read(spark, sf, "documents")
     return d.select(

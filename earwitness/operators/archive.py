@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from earwitness.functions.text import is_blank, meeting_folder, meeting_prefix, safe_component
-from earwitness.operators.scan import scan
+from earwitness.functions.text import is_blank, meeting_folder, meeting_prefix, safe_component, timecode, to_ms
+from earwitness.operators.latest import latest
+from earwitness.operators.scan import scan, slice_of
 from earwitness.operators.skew import lookup
+from earwitness.sinks import documents
 
 # Where a meeting start may come from.
 DATETIME_SOURCES = ("user", "source_metadata", "filename", "inferred", "unknown")
@@ -114,3 +116,58 @@ def retained_errors(copies: DataFrame, objects: DataFrame) -> DataFrame:
         F.when(F.col("__sha").isNull(), F.lit("retained object is missing")),
         F.when(F.col("__size") != F.col("size_bytes"), F.lit("size verification failed")),
         F.when(F.col("__sha") != F.col("sha256"), F.lit("SHA-256 verification failed"))))).drop("__sha", "__size").where(F.size("errors") > 0)
+
+
+def final_documents(segments: DataFrame) -> DataFrame:
+    """The final documents of archived recordings, as parts: job_id, ext, part, body.
+
+    ``segments`` as ``final_segments`` gives them: job_id, ord, window_id, start_sec,
+    end_sec, final_text and speaker. The JSON is the canonical one; text, captions and
+    HTML are made from the same rows.
+    """
+    rows = scan(segments, ["job_id"], ["ord"], slice_of("ord", 1024), row_number="no")
+    record = F.to_json(F.struct("window_id", "start_sec", "end_sec", "speaker", F.col("final_text").alias("text")), {"ignoreNullFields": "false"})
+    listed = documents.document_parts(rows.withColumn("body", record), ["job_id"], "no", ",\n")
+    plain = documents.document_parts(rows.withColumn("body", F.col("final_text")), ["job_id"], "no", "\n\n")
+    spoken = segments.select("job_id", "ord", "start_sec", "end_sec", "speaker", F.col("final_text").alias("text"))
+    cells = [timecode(to_ms(F.col("start_sec")), "."), documents.html_cell(F.col("speaker")), documents.html_cell(F.col("final_text"))]
+    made = {
+        "json": documents.closed(listed, ["job_id"], '{"segments":[\n', "\n]}\n"), "txt": documents.closed(plain, ["job_id"], "", "\n"),
+        "html": documents.html_table(rows, ["job_id"], "no", ("Start", "Speaker", "Text"), cells), "srt": documents.srt(spoken), "vtt": documents.vtt(spoken)}
+    parts = [df.select("job_id", F.lit(ext).alias("ext"), "part", "body") for ext, df in made.items()]
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def revision_files(revisions: DataFrame, parts: DataFrame) -> DataFrame:
+    """One row for each file of a revision: meeting_id, revision, ext, part, name, sha256, size_bytes and body.
+
+    ``revisions``: job_id, meeting_id, revision, final_stem. A document of one part is
+    one file; the parts of a longer one are numbered, and follow each other.
+    """
+    several = parts.groupBy("job_id", "ext").agg((F.max("part") > 0).alias("__several"))
+    placed = parts.join(several, ["job_id", "ext"]).join(revisions.select("job_id", "meeting_id", "revision", "final_stem"), "job_id")
+    name = F.concat(F.col("final_stem"), F.lit(" FINAL"), F.when(F.col("__several"), F.format_string(" part%05d", F.col("part") + 1)).otherwise(F.lit("")), F.lit("."), F.col("ext"))
+    return placed.select("meeting_id", "revision", "ext", "part", name.alias("name"), F.sha2("body", 256).alias("sha256"), F.octet_length("body").cast("long").alias("size_bytes"), "body")
+
+
+def renamed_folders(renames: DataFrame, folders: DataFrame, bucket: Column) -> DataFrame:
+    """New folders of renamed meetings: meeting_id, folder; those that keep theirs are left out.
+
+    ``renames``: meeting_id, seq, desired_name. ``folders``: meeting_id, folder, version,
+    of which the newest counts. A folder that another meeting gives up in the same
+    batch is free. The newest of several renames of one meeting counts.
+    """
+    now = latest(folders, ["meeting_id"], ["version"]).select("meeting_id", F.col("folder").alias("__now"))
+    asked = latest(renames, ["meeting_id"], ["seq"]).join(now, "meeting_id").where(F.col("desired_name") != F.col("__now"))
+    staying = now.join(asked.select("meeting_id"), "meeting_id", "left_anti").select(F.col("__now").alias("folder"))
+    placed = collision_safe(asked.select("meeting_id", "seq", "desired_name", "__now"), staying, "seq", bucket)
+    return placed.where(F.col("folder") != F.col("__now")).select("meeting_id", "folder")
+
+
+def archived_files(files: DataFrame, folders: DataFrame) -> DataFrame:
+    """Files under the folders that their meetings have now; names change, hashes don't."""
+    now = latest(folders, ["meeting_id"], ["version"]).select("meeting_id", "folder")
+    return lookup(files, now, "meeting_id").withColumn("path", F.concat_ws("/", "folder", F.lit("final"), "name"))

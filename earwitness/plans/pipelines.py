@@ -15,6 +15,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from earwitness.operators import (
     agreement, alignment, archive as ar, chunking, corrections as co, costs, draft as dr, evaluation as ev, jobs, media,
     pilot, pricing, provider_json, reconcile as rc, recording, rescue, review as rv, speakers as sp, transcripts as tr)
+from earwitness.operators.latest import latest
 from earwitness.operators.scan import slice_of
 from earwitness.params import AgreementThresholds, PriceBook, RescuePolicy, ScorecardThresholds
 from earwitness.session import cut_lineage
@@ -183,6 +184,77 @@ def archive(meetings: DataFrame, revisions: DataFrame, taken: DataFrame, bucket:
             "rejects": checked.where(F.size("errors") > 0)}
 
 
+ARCHIVE_TABLES = {
+    "revisions": "meeting_id string, revision long, job_id string, final_stem string",
+    "folders": "meeting_id string, folder string, version long",
+    "files": "meeting_id string, revision long, ext string, part long, name string, sha256 string, size_bytes long, body string"}
+
+
+def archived(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """What the newest version of an archive holds: revisions, files and folders, with the paths that are valid now."""
+    seen = commits.state(spark, root)
+    tables = {name: seen.read(spark, name, StructType.fromDDL(ddl)) for name, ddl in ARCHIVE_TABLES.items()}
+    return tables | {"paths": ar.archived_files(tables["files"].drop("body"), tables["folders"])}
+
+
+def archive_meetings(spark: SparkSession, root: str, meetings: DataFrame, windows: DataFrame, labels: DataFrame, bucket: Column, *, attempts: int = 5) -> dict[str, DataFrame]:
+    """Archive reviewed recordings under ``root``: one more revision of each meeting, visible as a whole or not at all.
+
+    ``meetings``: job_id, meeting_id, seq, meeting_start (text), meeting_datetime_source,
+    project, content, short_name. ``windows`` and ``labels`` as for ``final_segments``, windows
+    with ord, start_sec and end_sec. Recordings with an unresolved window or faulty
+    metadata are rejects. Files of one call are staged and published as one version,
+    with their hashes; a failed task or a faster writer leaves what was there.
+    """
+    checked = meetings.withColumn("errors", ar.metadata_errors())
+    open_jobs = ar.unresolved_jobs(windows).select("job_id", F.lit(True).alias("__open"))
+    checked = checked.join(open_jobs, "job_id", "left").join(windows.select("job_id", F.lit(True).alias("__any")).distinct(), "job_id", "left")
+    checked = cut_lineage(checked.withColumn("errors", F.array_compact(F.concat("errors", F.array(
+        F.when(F.col("__open"), F.lit("every window must be resolved")), F.when(F.col("__any").isNull(), F.lit("there are no windows")))))).drop("__open", "__any"))
+    good = checked.where(F.size("errors") == 0).drop("errors").withColumn("meeting_start", ar.meeting_start(F.col("meeting_start")))
+    named = ar.names(good)
+    segments = ar.final_segments(windows.join(good.select("job_id"), "job_id", "left_semi"), labels)
+    parts = ar.final_documents(segments)
+    for _ in range(attempts):
+        seen = commits.state(spark, root)
+        had, folders = (seen.read(spark, name, StructType.fromDDL(ARCHIVE_TABLES[name])) for name in ("revisions", "folders"))
+        numbered = cut_lineage(ar.next_revisions(named, had.select("meeting_id", "revision"), bucket))
+        newcomers = numbered.where("revision = 1").join(folders.select("meeting_id"), "meeting_id", "left_anti")
+        taken = latest(folders, ["meeting_id"], ["version"]).select("folder")
+        placed = ar.collision_safe(newcomers, taken, "seq", bucket).select("meeting_id", "folder", F.lit(seen.version + 1).cast("long").alias("version"))
+        tables = {"revisions": numbered, "folders": placed, "files": ar.revision_files(numbered, parts)}
+        staged = {name: commits.stage(df.select(*StructType.fromDDL(ARCHIVE_TABLES[name]).fieldNames()), root, name) for name, df in tables.items()}
+        try:
+            commits.publish(spark, root, seen, staged)
+        except commits.StaleVersion:
+            continue
+        return {"revisions": numbered, "rejects": checked.where(F.size("errors") > 0)}
+    raise commits.StaleVersion(f"{root} changed in each of {attempts} attempts")
+
+
+def rename_meetings(spark: SparkSession, root: str, meetings: DataFrame, bucket: Column, *, attempts: int = 5) -> dict[str, DataFrame]:
+    """New readable names for archived meetings; ids, files and hashes stay.
+
+    ``meetings`` as for ``archive_meetings``, without job_id. Unknown meetings and faulty
+    metadata are rejects.
+    """
+    for _ in range(attempts):
+        seen = commits.state(spark, root)
+        folders = seen.read(spark, "folders", StructType.fromDDL(ARCHIVE_TABLES["folders"]))
+        known = folders.select("meeting_id", F.lit(True).alias("__known")).distinct()
+        checked = meetings.withColumn("errors", ar.metadata_errors()).join(known, "meeting_id", "left")
+        checked = cut_lineage(checked.withColumn("errors", F.array_compact(F.concat("errors", F.array(F.when(F.col("__known").isNull(), F.lit("there is no such archive")))))).drop("__known"))
+        good = ar.names(checked.where(F.size("errors") == 0).withColumn("meeting_start", ar.meeting_start(F.col("meeting_start"))))
+        moved = ar.renamed_folders(good.select("meeting_id", "seq", "desired_name"), folders, bucket)
+        staged = commits.stage(moved.select("meeting_id", "folder", F.lit(seen.version + 1).cast("long").alias("version")), root, "folders")
+        try:
+            commits.publish(spark, root, seen, {"folders": staged})
+        except commits.StaleVersion:
+            continue
+        return {"folders": spark.read.parquet(staged), "rejects": checked.where(F.size("errors") > 0)}
+    raise commits.StaleVersion(f"{root} changed in each of {attempts} attempts")
+
+
 def media_qc(files: DataFrame, objects: DataFrame) -> dict[str, DataFrame]:
     """Binary files to identity, retention and signal statistics."""
     from earwitness.functions.text import safe_suffix

@@ -100,3 +100,10 @@ def html_table(rows: DataFrame, keys: Sequence[str], no: str, headers: Sequence[
         *keys, "part",
         F.concat(F.when(F.col("part") == 0, F.lit(head)).otherwise(F.lit("")), F.col("body"),
                  F.when(F.col("part") == F.col("__last"), F.lit("\n</tbody></table>")).otherwise(F.lit(""))).alias("body"), "lines")
+
+
+def closed(parts: DataFrame, keys: Sequence[str], head: str, tail: str) -> DataFrame:
+    """Parts with ``head`` before the first of a document and ``tail`` after the last."""
+    last = parts.groupBy(*keys).agg(F.max("part").alias("__last"))
+    body = F.concat(F.when(F.col("part") == 0, F.lit(head)).otherwise(F.lit("")), F.col("body"), F.when(F.col("part") == F.col("__last"), F.lit(tail)).otherwise(F.lit("")))
+    return parts.join(last, list(keys)).select(*keys, "part", body.alias("body"), "lines")

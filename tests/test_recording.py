@@ -231,3 +231,51 @@ def test_upkeep_rewrites_what_changed_and_storage_stays(spark, tmp_path):
     first = sum(p.stat().st_size for p in (tmp_path / "kept" / "state").rglob("1.changelog"))
     assert max(sizes) < 5_000 and (not first or max(sizes) < first / 20)
     assert {r.job_id: r.v for r in ledger.current(spark, kept, 6).where("job_id = 'j7'").collect()} == {"j7": "v7"}
+
+
+# ---- archive
+
+def test_archive_to_the_end(spark, tmp_path, monkeypatch):
+    from earwitness.operators.scan import slice_of
+    from earwitness.sinks import documents
+
+    root, bucket = str(tmp_path / "archive"), slice_of("seq", 10)
+    monkeypatch.setattr(documents, "LINES_PER_PART", 2)
+    monkeypatch.setattr(documents.document_parts, "__defaults__", (2,))
+    meeting = "job_id string, meeting_id string, seq long, meeting_start string, meeting_datetime_source string, project string, content string, short_name string"
+    window = "job_id string, ord long, window_id string, start_sec double, end_sec double, final_text string"
+    label = "job_id string, window_id string, turn_no long, display_label string"
+
+    def meetings(*rows):
+        return spark.createDataFrame([(j, m, n, at, "user" if at else "unknown", "Proj", what, "short") for j, m, n, at, what in rows], meeting)
+
+    windows = spark.createDataFrame([(j, k, f"w{k}", k * 24.0, k * 24.0 + 24, f"said <{k}> by {j}") for j in ("a", "b", "c") for k in range(3)] + [("open", 0, "w0", 0.0, 24.0, None)], window)
+    labels = spark.createDataFrame([("a", "w1", 1, "Ann"), ("a", "w1", 2, " "), ("a", "w1", 3, "Bo"), ("a", "w1", 4, "Ann")], label)
+    first = pipelines.archive_meetings(spark, root, meetings(("a", "m", 1, "2026-01-02T10:30", "x"), ("b", "n", 2, "2026-01-02T10:30", "x"), ("open", "o", 3, None, "y"), ("none", "p", 4, None, "z")), windows, labels, bucket)
+    assert {r.job_id: r.errors for r in first["rejects"].collect()} == {"open": ["every window must be resolved"], "none": ["there are no windows"]}
+    now = pipelines.archived(spark, root)
+    files = now["files"].collect()
+    assert {(r.meeting_id, r.revision) for r in files} == {("m", 1), ("n", 1)} and all(hashlib.sha256(r.body.encode()).hexdigest() == r.sha256 and len(r.body.encode()) == r.size_bytes for r in files)
+    whole = lambda m, ext: "".join(r.body for r in sorted(files, key=lambda r: r.part) if (r.meeting_id, r.ext) == (m, ext))
+    assert whole("m", "txt") == "\n\n".join(f"said <{k}> by a" for k in range(3)) + "\n"
+    made = json.loads(whole("m", "json"))["segments"]
+    assert [s["speaker"] for s in made] == [None, "Ann / Bo", None] and made[2]["text"] == "said <2> by a"
+    assert whole("m", "srt").startswith("1\n00:00:00,000 --> 00:00:24,000\nsaid &lt;0&gt; by a\n\n2\n") and "Ann / Bo: said" in whole("m", "vtt")
+    paths = {r.path for r in now["paths"].where("ext = 'txt'").collect()}
+    assert len(paths) == 4 and any("x (2)/final/" in p and p.endswith("FINAL part00001.txt") for p in paths)
+
+    second = pipelines.archive_meetings(spark, root, meetings(("c", "m", 5, "2026-01-02T10:30", "x")), windows, labels, bucket)
+    assert second["rejects"].count() == 0
+    renamed = pipelines.rename_meetings(spark, root, meetings((None, "m", 6, "2026-01-02T10:30", "new name"), (None, "who", 7, None, "x")).drop("job_id"), bucket)
+    assert [r.errors for r in renamed["rejects"].collect()] == [["there is no such archive"]]
+    later = pipelines.archived(spark, root)
+    after = {(r.meeting_id, r.revision, r.ext, r.part): r for r in later["paths"].collect()}
+    assert {k for k in after if k[0] == "m"} == {("m", v, r.ext, r.part) for v in (1, 2) for r in files if r.meeting_id == "m"}
+    assert all(after[r.meeting_id, r.revision, r.ext, r.part].sha256 == r.sha256 for r in files)
+    assert all("new name/final/" in r.path for k, r in after.items() if k[0] == "m") and {r.name for k, r in after.items() if k[:3] == ("m", 2, "txt")} == {n.replace(" FINAL", " rev02 FINAL") for n in (r.name for k, r in after.items() if k[:3] == ("m", 1, "txt"))}
+
+    before = commits.state(spark, root)
+    monkeypatch.setattr(pipelines.ar, "final_documents", lambda s: s.select("job_id", F.lit("txt").alias("ext"), F.lit(0).cast("long").alias("part"), F.raise_error(F.lit("lost")).cast("string").alias("body")))
+    with pytest.raises(Exception, match="lost"):
+        pipelines.archive_meetings(spark, root, meetings(("b", "m", 8, "2026-01-02T10:30", "x")), windows, labels, bucket)
+    assert commits.state(spark, root) == before
