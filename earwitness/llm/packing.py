@@ -42,7 +42,8 @@ DEFAULT = Capacities()
 
 
 #: A full stop or comma before a space that another sign precedes: the tokenizer keeps them together.
-_CROWDED = re.compile(r"[^A-Za-z0-9À-ÖØ-öø-ÿ\s][.,] ")
+#: The control characters U+001C to U+001F are signs to it, though Python takes them for white space.
+_CROWDED = re.compile(r"[^A-Za-z0-9À-ÖØ-öø-ÿ\t\n\x0b\x0c\r \x85\xa0][.,] ")
 _PLAIN = re.compile(r"[a-zß-öø-ÿ]+")
 
 
