@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from functools import partial
 
 from pyspark.sql import DataFrame
@@ -29,13 +30,19 @@ ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td"
         "tbody": ("tr", "td", "th", "thead", "tbody"), "tfoot": ("tr", "td", "th", "thead", "tbody"), "option": ("option",)}
 BOUNDARY = frozenset("ul ol dl table article section div body html main".split())
 #: Elements that are never article text.
-DROPPED = frozenset("head nav header footer aside form button input dialog menu search audio video canvas fieldset annotation annotation-xml".split()) | RAW
+DROPPED = frozenset("head nav header footer aside button input dialog menu search audio video canvas annotation annotation-xml".split()) | RAW
+#: Elements that are not article text unless they hold the page's article.
+FORMS = frozenset("form fieldset".split())
 #: Words of class, id or role that mark such parts unless they hold the page's article, and the elements that such a word can't drop.
 NOISE = frozenset(
     "nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead footer sidebar aside complementary banner contentinfo ad ads advert adverts advertisement "
     "advertising sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup comment comments "
     "commentlist disqus reply replies respond share sharing social related recommended pagination pager widget toolbar search login".split())
 NEVER_NOISE = frozenset("html body main article".split())
+#: Of these, words of reader comments: such a part goes wherever there is other text, however long it is.
+COMMENTS = frozenset("comment comments commentlist disqus reply replies respond".split())
+#: Words that make a name say how a part looks or works, and not what it is.
+STATES = frozenset("has no not with without is open closed enabled disabled hide show".split())
 
 _TAG = re.compile(r"""(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>""")
 _ATTR = re.compile(r"""([^\s=/"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"']+))?""")
@@ -43,36 +50,49 @@ _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "noise", "named", "own", "link", "score", "has_block")
+    __slots__ = ("tag", "parent", "items", "noise", "named", "comments", "own", "link", "score", "has_block")
 
-    def __init__(self, tag: str, parent: Node | None, noise: bool = False, named: bool = False) -> None:
-        self.tag, self.parent, self.noise, self.named = tag, parent, noise, named
+    def __init__(self, tag: str, parent: Node | None, noise: bool = False, named: bool = False, comments: bool = False) -> None:
+        self.tag, self.parent, self.noise, self.named, self.comments = tag, parent, noise, named, comments
         self.items: list[Node | str] = []
         self.own = self.link = 0
         self.score = 0.0
         self.has_block = False
 
 
-def _noise(tag: str, attributes: str) -> tuple[bool, bool]:
-    """Whether an element is never text, and whether its name says that it isn't article text."""
+def _noise(tag: str, attributes: str) -> tuple[bool, bool, bool]:
+    """Whether an element is never text, whether its name says that it isn't article text, and that it holds comments."""
     if tag in DROPPED:
-        return True, False
+        return True, False, False
+    named, comments = tag in FORMS, False
     if tag in NEVER_NOISE or not attributes:
-        return False, False
-    named = False
+        return False, named, False
     for m in _ATTR.finditer(attributes):
         name, value = m[1].lower(), (m[2] or "").strip("\"'")
-        if name in ("class", "id", "role") and any(w.lower() in NOISE for w in _WORDS.findall(value)):
-            named = True
+        if name in ("class", "id", "role"):
+            for one in value.split():
+                words = {w.lower() for w in _WORDS.findall(one)}
+                if words & NOISE and not words & STATES:
+                    named = True
+                    comments = comments or bool(words & COMMENTS)
         if name == "hidden" or (name == "style" and re.search(r"display\s*:\s*none", value, re.I)):
-            return True, False
-    return False, named
+            return True, False, False
+    return False, named, comments
 
 
 def parse(page: str) -> Node:
     """The element tree of a page; whatever is not well formed ends where browsers would end it, about."""
     root = here = Node("#root", None)
-    at, n = 0, len(page)
+    at, n, open_tags = 0, len(page), Counter()
+
+    def up_to(node: Node) -> Node:
+        """Closes all elements from the innermost to ``node``."""
+        inner = here
+        while inner is not node.parent:
+            open_tags[inner.tag] -= 1
+            inner = inner.parent
+        return inner
+
     while at < n:
         lt = page.find("<", at)
         if lt < 0:
@@ -95,23 +115,25 @@ def parse(page: str) -> Node:
             continue
         at, tag = m.end(), m[2].lower()
         if m[1]:
-            node = here
-            while node is not root and node.tag != tag:
-                node = node.parent
-            if node is not root:
-                here = node.parent
+            if open_tags[tag]:
+                node = here
+                while node.tag != tag:
+                    node = node.parent
+                here = up_to(node)
             elif tag in ("p", "br"):
                 here.items.append(" ")
             continue
         ends = ("p",) if tag in CLOSES_P else ENDS.get(tag, ())
-        if ends:
-            node = here
+        if any(open_tags[x] for x in ends):
+            node, found = here, None
             while node is not root and node.tag not in BOUNDARY - set(ends):
                 if node.tag in ends:
-                    here = node.parent
+                    found = node
                     if tag in CLOSES_P:
                         break
                 node = node.parent
+            if found is not None:
+                here = up_to(found)
         new = Node(tag, here, *_noise(tag, m[3]))
         here.items.append(new)
         if tag in RAW:
@@ -119,6 +141,7 @@ def parse(page: str) -> Node:
             at = close.end() if close else n
         elif tag not in VOID and not (m[3].endswith("/") and tag not in INLINE and tag not in CLOSES_P):
             here = new
+            open_tags[tag] += 1
     return root
 
 
@@ -145,15 +168,27 @@ def _measure(root: Node) -> list[Node]:
     return order
 
 
-def _total(node: Node) -> tuple[int, int, int]:
-    """Text, link text and links of a whole subtree, without its noise."""
-    text = link = links = 0
-    stack = [node]
+def _totals(root: Node) -> dict[int, tuple[int, int, int]]:
+    """Text, link text and links of each node's whole subtree, without its noise."""
+    out: dict[int, tuple[int, int, int]] = {}
+    for x in reversed(_kept(root)):
+        text, link, links = x.own, x.link, int(x.tag == "a")
+        for y in x.items:
+            if not isinstance(y, str) and not y.noise:
+                more = out[id(y)]
+                text, link, links = text + more[0], link + more[1], links + more[2]
+        out[id(x)] = text, link, links
+    return out
+
+
+def _kept(root: Node) -> list[Node]:
+    """All nodes but noise, parents first."""
+    order, stack = [], [root]
     while stack:
         x = stack.pop()
-        text, link, links = text + x.own, link + x.link, links + (x.tag == "a")
-        stack += [y for y in x.items if not isinstance(y, str) and not y.noise]
-    return text, link, links
+        order.append(x)
+        stack += [y for y in reversed(x.items) if not isinstance(y, str) and not y.noise]
+    return order
 
 
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 title".split())
@@ -175,23 +210,37 @@ def _value(node: Node) -> float:
 
 
 def _drop_named(root: Node) -> None:
-    """Elements with a name of NOISE become noise, but for those that hold a main, the article with most points, or most points of the page."""
+    """What is not article text by its name or its place becomes noise.
+
+    An element with a name of NOISE stays where it holds a main, the article with most
+    points, or most points of the page. Comments stay only where they are all there
+    is. An article within an article is a comment on it, by the HTML standard, where
+    the outer one has text of its own.
+    """
     order = _measure(root)
-    if not any(x.named for x in order):
-        for x in order:
-            x.own, x.link, x.score, x.has_block = 0, 0, 0.0, False
-        return
     points = {id(x): _value(x) for x in order}
+    in_comments, around = {id(root): root.comments}, {id(root): None}
+    own = dict(points)  # without articles within
+    for x in order[1:]:
+        in_comments[id(x)] = x.comments or in_comments[id(x.parent)]
+        around[id(x)] = x.parent if x.parent.tag == "article" else around[id(x.parent)]
     for x in reversed(order):
         if x.parent is not None:
             points[id(x.parent)] += points[id(x)]
+            if x.tag != "article":
+                own[id(x.parent)] += own[id(x)]
+    whole = points[id(root)]
     articles = [x for x in order if x.tag == "article" and points[id(x)] > 0]
+    articles = [x for x in articles if not in_comments[id(x)]] or articles
     held = {id(x): x for x in [*(x for x in order if x.tag == "main"), *([max(articles, key=lambda x: points[id(x)])] if articles else [])]}
     for x in reversed(order):
         if id(x) in held and x.parent is not None:
             held[id(x.parent)] = x.parent
     for x in order:
-        x.noise = x.named and id(x) not in held and 2 * points[id(x)] <= points[id(root)]
+        outer = around[id(x)]
+        nested = x.tag == "article" and outer is not None and own[id(outer)] > 0
+        most = whole - points[id(x)] <= 0 if x.comments else 2 * points[id(x)] > whole
+        x.noise = x is not root and (nested or (x.named and id(x) not in held and not most))
         x.own, x.link, x.score, x.has_block = 0, 0, 0.0, False
 
 
@@ -199,21 +248,24 @@ def best_container(root: Node) -> list[Node]:
     """The container with most points and its good siblings, in page order."""
     _drop_named(root)
     order = _measure(root)
+    arriving: dict[int, float] = {}
     points: dict[int, float] = {}
-    for node in order:
-        if node.tag in INLINE or not node.own or node.tag in _HEADINGS:
-            continue
-        value = _value(node)
-        up = node.parent if node.tag in _PARAGRAPH else node
-        share = DISCOUNT if node.named and up is not node else 1.0
-        while up is not None:
-            share *= DISCOUNT if up.named else 1.0
-            if up.tag not in INLINE:
-                points[id(up)] = points.get(id(up), 0.0) + value * share
-                share /= 2
-            up = up.parent
+    for node in reversed(order):
+        if node.tag not in INLINE and node.own and node.tag not in _HEADINGS:
+            up = node.parent if node.tag in _PARAGRAPH else node
+            share = DISCOUNT if node.named and up is not node else 1.0
+            if up is not None:
+                arriving[id(up)] = arriving.get(id(up), 0.0) + _value(node) * share
+        if id(node) in arriving:
+            passed = arriving[id(node)] * (DISCOUNT if node.named else 1.0)
+            if node.tag not in INLINE:
+                points[id(node)] = passed
+                passed /= 2
+            if node.parent is not None:
+                arriving[id(node.parent)] = arriving.get(id(node.parent), 0.0) + passed
     if not points:
         return [root]
+    totals = _totals(root)
     scored = [x for x in order if id(x) in points]
     best = max(scored, key=lambda x: points[id(x)])
     up = best
@@ -230,27 +282,40 @@ def best_container(root: Node) -> list[Node]:
     for x in best.parent.items:
         if isinstance(x, str) or x.noise:
             continue
-        text, link, _ = _total(x) if x is not best else (1, 0, 0)
+        text, link, _ = totals[id(x)] if x is not best else (1, 0, 0)
         own = (1 + text / 100) * (1 - link / text) if text else 0.0
         if x is best or (x.tag in _HEADINGS and best.tag != "article") or (max(points.get(id(x), 0.0), own if x.tag in _PARAGRAPH else 0.0) >= least and best.tag not in ("article", "main")) or (x.tag == "article" and best.tag == "article"):
             out.append(x)
     return out
 
 
+def _is_menu(x: Node, total: tuple[int, int, int], article: bool) -> bool:
+    """A list of links, unless it belongs to the article: text of the article comes before it, beside it."""
+    text, link, links = total
+    if links < MENU_LINKS or link < MENU_SHARE * text:
+        return False
+    return not article
+
+
 def _text(roots: list[Node]) -> str:
     parts: list[str] = []
     stack: list[Node | str] = list(reversed(roots))
+    totals: dict[int, tuple[int, int, int]] = {}
+    for r in roots:
+        totals |= _totals(r)
+    chosen = {id(r) for r in roots}
+    told: set[int] = set()  # elements within which a paragraph has been read
     while stack:
         x = stack.pop()
         if isinstance(x, str):
             parts.append(x)
             continue
-        if x.noise and x not in roots:
+        if x.noise and id(x) not in chosen:
+            continue
+        if x.tag in ("ul", "ol", "dl", "table") and _is_menu(x, totals[id(x)], x.parent is not None and id(x.parent) in told):
             continue
-        if x.tag in ("ul", "ol", "dl", "table"):
-            text, link, links = _total(x)
-            if links >= MENU_LINKS and link >= MENU_SHARE * text:
-                continue
+        if x.tag == "p" and x.parent is not None and totals[id(x)][1] < MENU_SHARE * totals[id(x)][0]:
+            told.add(id(x.parent))
         if x.tag in INLINE:
             stack.extend(reversed(x.items))
         else:
