@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from earwitness.catalog.registry import query
+from earwitness.functions.numbers import round_exact_sql
 from earwitness.operators import agreement, alignment, draft
 from earwitness.operators.rescue import first_red
 from earwitness.sources import tables as t
@@ -39,21 +40,68 @@ def region_pairs_missing(spark, sf):
         F.col("p.missing").alias("missing"))
 
 
-@query("region_status")
+# Matching blocks by recursion: runs of equal signs along a diagonal are cut to what lies left and right of the best one.
+# fm, ft: forms of each candidate; pr: pairs; ask: distinct pairs to compare; rec: blocks found; matched: ratios.
+_PAIRS_SQL = t.REGION_CANDIDATES_SQL + """,
+fm AS MATERIALIZED (SELECT job_id, ord, provider, provider_ord, missing, text, replace(lower(text), 'ß', 'ss') AS low FROM region_candidates),
+ft AS MATERIALIZED (SELECT *, regexp_replace(low, '[^\\p{L}\\p{N}\\p{M}]', '', 'g') AS c, regexp_extract_all(low, '[\\p{L}\\p{N}\\p{M}]+') AS tk FROM fm),
+pr AS MATERIALIZED (SELECT l.job_id, l.ord, l.provider AS lp, r.provider AS rp, l.provider_ord AS lo, r.provider_ord AS ro, l.missing OR r.missing AS missing,
+  string_split(l.c, '') AS x, string_split(r.c, '') AS y, l.c AS a, r.c AS b, l.tk AS xt, r.tk AS yt
+  FROM ft l JOIN ft r ON l.job_id = r.job_id AND l.ord = r.ord AND l.provider_ord < r.provider_ord),
+ask AS MATERIALIZED (SELECT row_number() OVER () AS pid, x, y FROM (SELECT x, y FROM pr WHERE NOT missing AND a <> b AND a <> '' AND b <> '' UNION SELECT xt, yt FROM pr WHERE NOT missing AND xt <> yt AND len(xt) > 0 AND len(yt) > 0)),
+xs AS (SELECT pid, unnest(x) AS v, unnest(range(len(x))) AS i FROM ask), ys AS (SELECT pid, unnest(y) AS v, unnest(range(len(y))) AS j FROM ask),
+eq AS (SELECT pid, i, j, i - row_number() OVER (PARTITION BY pid, i - j ORDER BY i) AS g FROM xs JOIN ys USING (pid, v)),
+runs AS (SELECT pid, list([-n, i0, j0]) AS runs FROM (SELECT pid, min(i) AS i0, min(j) AS j0, count(*) AS n FROM eq GROUP BY pid, i - j, g) GROUP BY pid),
+rec(pid, hit, runs) AS (
+  SELECT pid, 0::BIGINT, runs FROM runs
+  UNION ALL
+  SELECT pid, unnest([-best[1], 0]), unnest([
+      [[greatest(r[1], r[2] - best[2], r[3] - best[3]), r[2], r[3]] for r in runs if r[2] < best[2] AND r[3] < best[3]],
+      [[r[1] + greatest(0, best[2] - best[1] - r[2], best[3] - best[1] - r[3]), r[2] + greatest(0, best[2] - best[1] - r[2], best[3] - best[1] - r[3]), r[3] + greatest(0, best[2] - best[1] - r[2], best[3] - best[1] - r[3])]
+        for r in runs if greatest(0, best[2] - best[1] - r[2], best[3] - best[1] - r[3]) < -r[1]]])
+  FROM (SELECT pid, runs, list_aggregate(runs, 'min') AS best FROM rec WHERE len(runs) > 0)),
+matched AS MATERIALIZED (SELECT x, y, 2.0::DOUBLE * coalesce(m, 0) / (len(x) + len(y)) AS q FROM ask LEFT JOIN (SELECT pid, sum(hit) AS m FROM rec GROUP BY pid) USING (pid)),
+sc AS MATERIALIZED (SELECT p.*, CASE WHEN a = b THEN 1.0 WHEN a = '' OR b = '' THEN 0.0 ELSE mc.q END::DOUBLE AS ch, CASE WHEN xt = yt THEN 1.0 WHEN len(xt) = 0 OR len(yt) = 0 THEN 0.0 ELSE mt.q END::DOUBLE AS tok,
+  CASE WHEN greatest(length(a), length(b)) = 0 THEN 1.0 ELSE least(length(a), length(b))::DOUBLE / greatest(length(a), length(b)) END::DOUBLE AS lr
+  FROM pr p LEFT JOIN matched mc ON p.x = mc.x AND p.y = mc.y LEFT JOIN matched mt ON p.xt = mt.x AND p.yt = mt.y),
+"""
+_SCORED_SQL = _PAIRS_SQL + f"""
+scored AS MATERIALIZED (SELECT job_id, ord, lp || '|' || rp AS providers, lo, ro, missing, CASE WHEN NOT missing THEN {round_exact_sql('ch', 6)} END AS character_similarity,
+  CASE WHEN NOT missing THEN {round_exact_sql('tok', 6)} END AS token_similarity, CASE WHEN NOT missing THEN {round_exact_sql('lr', 6)} END AS length_ratio,
+  CASE WHEN NOT missing THEN {round_exact_sql('0.60::DOUBLE * ch + 0.30::DOUBLE * tok + 0.10::DOUBLE * lr', 6)} END AS derived_similarity FROM sc),
+gathered AS (SELECT job_id, ord, list(derived_similarity ORDER BY lo, ro) FILTER (NOT missing) AS d, min(length_ratio) AS short FROM scored GROUP BY ALL),
+heard AS (SELECT job_id, ord, string_agg(provider, ', ' ORDER BY provider_ord) FILTER (missing) AS lost, string_agg(provider, ', ' ORDER BY provider_ord) FILTER (NOT missing AND trim(coalesce(text, '')) = '') AS blank FROM region_candidates GROUP BY ALL),
+placed AS (SELECT *, list_min(d) AS low, {round_exact_sql('CASE len(d) WHEN 3 THEN (d[1] + d[2] + d[3]) / 3 ELSE d[1] END', 6)} AS mean FROM gathered JOIN heard USING (job_id, ord)),
+status AS (SELECT *, CASE WHEN lost IS NOT NULL THEN 'lost' WHEN blank IS NOT NULL THEN 'blank' WHEN short < 0.45 THEN 'short' WHEN low < 0.32 OR mean < 0.42 THEN 'apart'
+  WHEN low >= 0.78 AND mean >= 0.84 THEN 'close' ELSE 'between' END AS why FROM placed),
+classified AS (SELECT job_id, ord, format('region-{{:05d}}', ord + 1) AS region_id, CASE why WHEN 'close' THEN 'GREEN' WHEN 'between' THEN 'AMBER' ELSE 'RED' END AS agreement_status,
+  CASE WHEN why = 'lost' THEN 0.0 ELSE mean END::DOUBLE AS derived_agreement_score,
+  CASE why WHEN 'lost' THEN 'Missing provider candidate: ' || lost || '.' WHEN 'blank' THEN 'Empty provider candidate: ' || blank || '.'
+    WHEN 'short' THEN printf('Substantial text-length difference; minimum pair length ratio %.3f.', short)
+    ELSE CASE why WHEN 'apart' THEN 'Major derived disagreement' WHEN 'close' THEN 'Substantial derived agreement' ELSE 'Meaningful derived differences' END || printf('; minimum pair %.3f, mean %.3f.', low, mean) END AS reason FROM status)
+"""
+
+
+@query("region_status", sql=f"WITH RECURSIVE {_SCORED_SQL} SELECT job_id, region_id, agreement_status, derived_agreement_score, reason FROM classified")
 def region_status(spark, sf):
     return classified(spark, sf).select(
         "job_id", "region_id", "agreement_status", "derived_agreement_score",
         F.col("agreement_reasons")[0].alias("reason"))
 
 
-@query("pair_scores")
+@query("pair_scores", sql=f"""
+WITH RECURSIVE {_SCORED_SQL} SELECT job_id, format('region-{{:05d}}', ord + 1) AS region_id, providers, missing, character_similarity, token_similarity, length_ratio, derived_similarity FROM scored
+""")
 def pair_scores(spark, sf):
     return classified(spark, sf).select("job_id", "region_id", F.explode_outer("pairwise").alias("p")).select(
         "job_id", "region_id", F.array_join("p.providers", "|").alias("providers"), "p.missing",
         "p.character_similarity", "p.token_similarity", "p.length_ratio", "p.derived_similarity")
 
 
-@query("status_counts")
+@query("status_counts", sql=f"""
+WITH RECURSIVE {_SCORED_SQL} SELECT job_id, count(*) FILTER (agreement_status = 'GREEN') AS green, count(*) FILTER (agreement_status = 'AMBER') AS amber,
+  count(*) FILTER (agreement_status = 'RED') AS red, count(*) AS regions FROM classified GROUP BY job_id
+""")
 def status_counts(spark, sf):
     return agreement.status_counts(classified(spark, sf))
 
