@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from earwitness.llm.common import HASH_BASE, Powers, crc_fold, extend, hash_share
+from earwitness.llm.common import HASH_BASE, SLICE_ROWS, Powers, crc_fold, extend, hash_share
 from earwitness.session import cut_lineage
 
 
@@ -48,7 +48,9 @@ PARAMS = ToxicityParams()
 BEGINNINGS, ENDINGS = range(2, 9), (3, 4)
 FEATURES = len(BEGINNINGS) + len(ENDINGS) + 1
 #: Words a task keeps its projections of, and windows it runs through the network at once.
-MEMO_WORDS, WINDOWS_AT_ONCE = 100_000, 1_024
+MEMO_WORDS, WINDOWS_AT_ONCE = 50_000, 512
+#: Words whose projections are made at once.
+WORDS_AT_ONCE = 4_096
 #: Rows of one matrix product.
 SMALL_ROWS = 256
 
@@ -266,7 +268,9 @@ class Reader:
         if new:
             old = len(self.at)
             self.at.update(zip(new, range(old, old + len(new)), strict=True))
-            self.gates[:, old : old + len(new)] = _gates(self.net.w, self.net.inputs([plain(x) for x in new], self.powers))
+            for k in range(0, len(new), WORDS_AT_ONCE):
+                part = new[k : k + WORDS_AT_ONCE]
+                self.gates[:, old + k : old + k + len(part)] = _gates(self.net.w, self.net.inputs([plain(x) for x in part], self.powers))
         return np.fromiter(map(self.at.__getitem__, chunks), np.int64, len(chunks))
 
     def windows(self, chunks: list[str]) -> np.ndarray:
@@ -317,7 +321,7 @@ class Reader:
 
 def _features(batches, p: ToxicityParams):
     """``y, feature`` for each distinct feature of a document; what it is told apart by stays in the task."""
-    for batch in batches:
+    for batch in (whole.slice(k, SLICE_ROWS // 4) for whole in batches for k in range(0, whole.num_rows, SLICE_ROWS // 4)):
         ys, fs = [], []
         for y, text in zip(batch.column("y").to_pylist(), batch.column("text").to_pylist(), strict=True):
             found = set()
