@@ -42,12 +42,17 @@ def region_pairs_missing(spark, sf):
 
 # Matching blocks by recursion: runs of equal signs along a diagonal are cut to what lies left and right of the best one.
 # fm, ft: forms of each candidate; pr: pairs; ask: distinct pairs to compare; rec: blocks found; matched: ratios.
+def _classified_sql(pairs: str = "l.provider_ord < r.provider_ord") -> str:
+    """``classified`` and the scores it comes from; ``scored_all`` has all pairs asked for, in both orders if so."""
+    return _PAIRS_SQL.replace("{pairs}", pairs) + _STATUS_SQL
+
+
 _PAIRS_SQL = t.REGION_CANDIDATES_SQL + """,
 fm AS MATERIALIZED (SELECT job_id, ord, provider, provider_ord, missing, text, replace(lower(text), 'ß', 'ss') AS low FROM region_candidates),
 ft AS MATERIALIZED (SELECT *, regexp_replace(low, '[^\\p{L}\\p{N}\\p{M}]', '', 'g') AS c, regexp_extract_all(low, '[\\p{L}\\p{N}\\p{M}]+') AS tk FROM fm),
 pr AS MATERIALIZED (SELECT l.job_id, l.ord, l.provider AS lp, r.provider AS rp, l.provider_ord AS lo, r.provider_ord AS ro, l.missing OR r.missing AS missing,
   string_split(l.c, '') AS x, string_split(r.c, '') AS y, l.c AS a, r.c AS b, l.tk AS xt, r.tk AS yt
-  FROM ft l JOIN ft r ON l.job_id = r.job_id AND l.ord = r.ord AND l.provider_ord < r.provider_ord),
+  FROM ft l JOIN ft r ON l.job_id = r.job_id AND l.ord = r.ord AND {pairs}),
 ask AS MATERIALIZED (SELECT row_number() OVER () AS pid, x, y FROM (SELECT x, y FROM pr WHERE NOT missing AND a <> b AND a <> '' AND b <> '' UNION SELECT xt, yt FROM pr WHERE NOT missing AND xt <> yt AND len(xt) > 0 AND len(yt) > 0)),
 xs AS (SELECT pid, unnest(x) AS v, unnest(range(len(x))) AS i FROM ask), ys AS (SELECT pid, unnest(y) AS v, unnest(range(len(y))) AS j FROM ask),
 eq AS (SELECT pid, i, j, i - row_number() OVER (PARTITION BY pid, i - j ORDER BY i) AS g FROM xs JOIN ys USING (pid, v)),
@@ -65,10 +70,11 @@ sc AS MATERIALIZED (SELECT p.*, CASE WHEN a = b THEN 1.0 WHEN a = '' OR b = '' T
   CASE WHEN greatest(length(a), length(b)) = 0 THEN 1.0 ELSE least(length(a), length(b))::DOUBLE / greatest(length(a), length(b)) END::DOUBLE AS lr
   FROM pr p LEFT JOIN matched mc ON p.x = mc.x AND p.y = mc.y LEFT JOIN matched mt ON p.xt = mt.x AND p.yt = mt.y),
 """
-_SCORED_SQL = _PAIRS_SQL + f"""
-scored AS MATERIALIZED (SELECT job_id, ord, lp || '|' || rp AS providers, lo, ro, missing, CASE WHEN NOT missing THEN {round_exact_sql('ch', 6)} END AS character_similarity,
+_STATUS_SQL = f"""
+scored_all AS MATERIALIZED (SELECT job_id, ord, lp, lp || '|' || rp AS providers, lo, ro, missing, CASE WHEN NOT missing THEN {round_exact_sql('ch', 6)} END AS character_similarity,
   CASE WHEN NOT missing THEN {round_exact_sql('tok', 6)} END AS token_similarity, CASE WHEN NOT missing THEN {round_exact_sql('lr', 6)} END AS length_ratio,
   CASE WHEN NOT missing THEN {round_exact_sql('0.60::DOUBLE * ch + 0.30::DOUBLE * tok + 0.10::DOUBLE * lr', 6)} END AS derived_similarity FROM sc),
+scored AS (SELECT * FROM scored_all WHERE lo < ro),
 gathered AS (SELECT job_id, ord, list(derived_similarity ORDER BY lo, ro) FILTER (NOT missing) AS d, min(length_ratio) AS short FROM scored GROUP BY ALL),
 heard AS (SELECT job_id, ord, string_agg(provider, ', ' ORDER BY provider_ord) FILTER (missing) AS lost, string_agg(provider, ', ' ORDER BY provider_ord) FILTER (NOT missing AND trim(coalesce(text, '')) = '') AS blank FROM region_candidates GROUP BY ALL),
 placed AS (SELECT *, list_min(d) AS low, {round_exact_sql('CASE len(d) WHEN 3 THEN (d[1] + d[2] + d[3]) / 3 ELSE d[1] END', 6)} AS mean FROM gathered JOIN heard USING (job_id, ord)),
@@ -82,7 +88,7 @@ classified AS (SELECT job_id, ord, format('region-{{:05d}}', ord + 1) AS region_
 """
 
 
-@query("region_status", sql=f"WITH RECURSIVE {_SCORED_SQL} SELECT job_id, region_id, agreement_status, derived_agreement_score, reason FROM classified")
+@query("region_status", sql=f"WITH RECURSIVE {_classified_sql()} SELECT job_id, region_id, agreement_status, derived_agreement_score, reason FROM classified")
 def region_status(spark, sf):
     return classified(spark, sf).select(
         "job_id", "region_id", "agreement_status", "derived_agreement_score",
@@ -90,7 +96,7 @@ def region_status(spark, sf):
 
 
 @query("pair_scores", sql=f"""
-WITH RECURSIVE {_SCORED_SQL} SELECT job_id, format('region-{{:05d}}', ord + 1) AS region_id, providers, missing, character_similarity, token_similarity, length_ratio, derived_similarity FROM scored
+WITH RECURSIVE {_classified_sql()} SELECT job_id, format('region-{{:05d}}', ord + 1) AS region_id, providers, missing, character_similarity, token_similarity, length_ratio, derived_similarity FROM scored
 """)
 def pair_scores(spark, sf):
     return classified(spark, sf).select("job_id", "region_id", F.explode_outer("pairwise").alias("p")).select(
@@ -99,7 +105,7 @@ def pair_scores(spark, sf):
 
 
 @query("status_counts", sql=f"""
-WITH RECURSIVE {_SCORED_SQL} SELECT job_id, count(*) FILTER (agreement_status = 'GREEN') AS green, count(*) FILTER (agreement_status = 'AMBER') AS amber,
+WITH RECURSIVE {_classified_sql()} SELECT job_id, count(*) FILTER (agreement_status = 'GREEN') AS green, count(*) FILTER (agreement_status = 'AMBER') AS amber,
   count(*) FILTER (agreement_status = 'RED') AS red, count(*) AS regions FROM classified GROUP BY job_id
 """)
 def status_counts(spark, sf):
@@ -126,18 +132,34 @@ def length_ratio_red(spark, sf):
         (F.array_min(lengths) < 0.45).alias("red"))
 
 
-@query("representative")
+_DRAFT_SQL = _classified_sql("l.provider_ord <> r.provider_ord") + f"""
+, sides AS (SELECT job_id, ord, lp, lo, list(derived_similarity ORDER BY ro) AS d FROM scored_all GROUP BY ALL),
+medoid AS (SELECT s.job_id, s.ord, arg_min(lp, (-{round_exact_sql('(d[1] + d[2]) / 2', 6)}, lo)) AS selected FROM sides s JOIN classified c USING (job_id, ord) WHERE agreement_status = 'GREEN' GROUP BY ALL),
+draft AS (SELECT c.job_id, c.region_id AS window_id, agreement_status AS derived_status, m.selected AS selected_provider, rc.text AS final_text,
+  agreement_status = 'GREEN' AS auto_accepted, agreement_status <> 'GREEN' AS review_required
+  FROM classified c LEFT JOIN medoid m USING (job_id, ord) LEFT JOIN region_candidates rc ON rc.job_id = c.job_id AND rc.ord = c.ord AND rc.provider = m.selected)
+"""
+
+
+@query("representative", sql=f"WITH RECURSIVE {_DRAFT_SQL} SELECT * FROM draft")
 def representative(spark, sf):
     return draft.final_draft(classified(spark, sf), t.PROVIDERS).select(
         "job_id", "window_id", "derived_status", "selected_provider", "final_text", "auto_accepted", "review_required")
 
 
-@query("draft_statistics")
+@query("draft_statistics", sql=f"""
+WITH RECURSIVE {_classified_sql()} SELECT job_id, count(*) AS total_windows, count(*) FILTER (agreement_status = 'GREEN') AS auto_accepted, count(*) FILTER (agreement_status <> 'GREEN') AS review_required,
+  count(*) FILTER (agreement_status = 'GREEN') AS green, count(*) FILTER (agreement_status = 'AMBER') AS amber, count(*) FILTER (agreement_status = 'RED') AS red FROM classified GROUP BY job_id
+""")
 def draft_statistics(spark, sf):
     return draft.draft_statistics(draft.final_draft(classified(spark, sf), t.PROVIDERS))
 
 
-@query("first_red")
+@query("first_red", sql=f"""
+WITH RECURSIVE {_classified_sql()}, red AS (SELECT job_id, min(ord) AS ord FROM classified WHERE agreement_status = 'RED' GROUP BY job_id)
+SELECT r.job_id, format('region-{{:05d}}', r.ord + 1) AS region_id, CAST(start_ms / 1000 AS DOUBLE) AS start_sec, CAST(end_ms / 1000 AS DOUBLE) AS end_sec,
+  CASE WHEN NOT end_ms > start_ms THEN 'invalid bounds' END AS error FROM red r JOIN region_candidates c ON c.job_id = r.job_id AND c.ord = r.ord AND c.provider = 'alpha'
+""")
 def first_red_query(spark, sf):
     return first_red(classified(spark, sf))
 

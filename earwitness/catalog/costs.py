@@ -152,21 +152,22 @@ def execution_plan(spark, sf):
 
 
 _JSON = """replace(replace(replace(replace({0}, '\\', '\\\\'), '"', '\\"'), chr(10), '\\n'), chr(9), '\\t')"""
-_SER = "'{\"alpha\": \"' || " + _JSON.format("a") + " || '\", \"bravo\": \"' || " + _JSON.format("b") + " || '\"}'"
+_SER = "'{\"alpha\": \"' || " + _JSON.format("a") + " || '\", \"bravo\": \"' || " + _JSON.format("b") + " || '\", \"charlie\": \"' || " + _JSON.format("c") + " || '\"}'"
 
 
 @query("token_budget", sql=f"""
-WITH {t.REGION_CANDIDATES_SQL}, w AS (SELECT job_id, ord, max(text) FILTER (provider = 'alpha') AS a, max(text) FILTER (provider = 'bravo') AS b FROM region_candidates GROUP BY ALL),
+WITH {t.REGION_CANDIDATES_SQL}, w AS (SELECT job_id, ord, max(text) FILTER (provider = 'alpha') AS a, max(text) FILTER (provider = 'bravo') AS b,
+  coalesce(max(text) FILTER (provider = 'charlie'), '') AS c FROM region_candidates GROUP BY ALL),
 z AS (SELECT *, {_SER} AS s FROM w), n AS (SELECT *, length(regexp_replace(s, '[^\\x00-\\x7F]', '', 'g')) AS asc_, length(s) AS len_ FROM z),
 k AS (SELECT job_id, greatest(greatest(1, (len_ + 3) // 4), (asc_ + 2) // 3 + (len_ - asc_) * 2) + 500 AS i,
-  greatest(900, least(6000, greatest(1, (length(a) + 3) // 4, (length(b) + 3) // 4) + 1200)) AS o FROM n)
+  greatest(900, least(6000, greatest(1, (length(a) + 3) // 4, (length(b) + 3) // 4, (length(c) + 3) // 4) + 1200)) AS o FROM n)
 SELECT job_id, count(*) AS window_count, CAST(sum(i) AS BIGINT) AS estimated_input_tokens, CAST(sum(o) AS BIGINT) AS maximum_output_tokens,
   round(sum(i) / 1e6 * 2.0 + sum(o) / 1e6 * 8.0, 6) AS estimated_cost_usd FROM k GROUP BY ALL
 """)
 def token_budget(spark, sf):
     w = t.region_candidates(spark, sf).groupBy("job_id", "ord").agg(*[
-        F.max(F.when(F.col("provider") == p, F.col("text"))).alias(p) for p in ("alpha", "bravo")])
-    out = cs.token_budget(cs.window_tokens(w, ["alpha", "bravo"]), 2.0, 8.0, 1.0)
+        F.max(F.when(F.col("provider") == p, F.col("text"))).alias(p) for p in t.PROVIDERS])
+    out = cs.token_budget(cs.window_tokens(w, list(t.PROVIDERS)), 2.0, 8.0, 1.0)
     return out.select("job_id", "window_count", "estimated_input_tokens", "maximum_output_tokens", F.round("estimated_cost_usd", 6).alias("estimated_cost_usd"))
 
 

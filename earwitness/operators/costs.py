@@ -202,15 +202,16 @@ def _json_string(text: Column) -> Column:
 def window_tokens(windows: DataFrame, providers: list[str]) -> DataFrame:
     """Token budget of each window from its provider texts (columns named after providers).
 
-    ASCII is budgeted at three characters a token, anything else at two tokens a character.
+    A provider without a text has an empty one, which still has its name in the request. ASCII is budgeted at three characters a token, anything else at two tokens a character.
     """
-    parts = [F.concat(F.lit(f'"{p}": '), _json_string(F.col(p))) for p in providers]
+    text = {p: F.coalesce(F.col(p), F.lit("")) for p in providers}
+    parts = [F.concat(F.lit(f'"{p}": '), _json_string(text[p])) for p in providers]
     serialized = F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}"))
     out = windows.withColumn("__s", serialized)
     ascii_count = F.char_length(F.regexp_replace("__s", r"[^\x00-\x7F]", ""))
     other = F.char_length("__s") - ascii_count
     needed = F.greatest(text_tokens(F.col("__s")), F.floor((ascii_count + 2) / 3).cast("long") + other * 2) + 500
-    longest = F.greatest(*[text_tokens(F.col(p)) for p in providers]) if len(providers) > 1 else text_tokens(F.col(providers[0]))
+    longest = F.array_max(F.array(*[text_tokens(text[p]) for p in providers]))
     return out.select(
         *windows.columns, needed.cast("long").alias("estimated_input_tokens"),
         F.greatest(F.lit(900), F.least(F.lit(6000), longest + 1200)).cast("long").alias("max_output_tokens")).drop("__s")
