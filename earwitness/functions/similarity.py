@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import cached_property
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,74 +16,107 @@ from earwitness.functions.numbers import round_exact
 from earwitness.functions.text import eval_form, let, words
 
 
-def _longest_common(a: str, b: str, limit: int) -> tuple[int, int, int]:
-    """Longest common substring, earliest in ``a``, then earliest in ``b``.
+#: Base of the rolling hash, odd, and symbols up to which slices are compared as they are.
+_BASE, _FEW = np.uint64(0x9E3779B97F4A7C15), 1500
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
-    Whether a common substring of length L exists is monotone in L, so the
-    length is found by galloping and bisection over sets of slices.
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse modulo 2^64, at least ``n``."""
+    if len(_POWERS[0]) < n:
+        size = max(n, 2 * len(_POWERS[0]))
+        inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
+        _POWERS[:] = [np.concatenate([[np.uint64(1)], np.cumprod(np.full(size - 1, x, np.uint64))]) for x in (_BASE, inverse)]
+    return _POWERS
+
+
+class _Sequence:
+    """A string, and where it is long the running sums from which the hash of any slice follows."""
+
+    def __init__(self, text: str) -> None:
+        self.text = text
+
+    @cached_property
+    def sums(self) -> np.ndarray:
+        symbols = np.frombuffer(self.text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        return np.concatenate([[np.uint64(0)], np.cumsum((symbols + np.uint64(1)) * _powers(len(symbols) + 1)[0][: len(symbols)])])
+
+    def hashes(self, low: int, high: int, length: int) -> np.ndarray:
+        at = slice(low, high + 1 - length)
+        return (self.sums[low + length : high + 1] - self.sums[at]) * _powers(high + 1)[1][at]
+
+
+def _shared(a: _Sequence, b: _Sequence, ranges: tuple[int, int, int, int], length: int) -> tuple[int, int] | None:
+    """First place in ``a``, then in ``b``, of a common slice of ``length``; None where there is none."""
+    alo, ahi, blo, bhi = ranges
+    if ahi - alo + bhi - blo > _FEW:
+        left, right = a.hashes(alo, ahi, length), b.hashes(blo, bhi, length)
+        found = np.isin(left, right)
+        if not found.any():
+            return None
+        i = alo + int(found.argmax())
+        j = blo + int((right == left[i - alo]).argmax())
+        if a.text[i : i + length] == b.text[j : j + length]:
+            return i, j
+    left, right = a.text[alo:ahi], b.text[blo:bhi]
+    seen = {right[j : j + length] for j in range(len(right) - length + 1)}
+    for i in range(len(left) - length + 1):
+        if left[i : i + length] in seen:
+            return alo + i, blo + right.find(left[i : i + length])
+    return None
+
+
+def _longest_common(a: _Sequence, b: _Sequence, ranges: tuple[int, int, int, int], limit: int) -> tuple[int, int, int]:
+    """Longest common slice, earliest in ``a``, then earliest in ``b``.
+
+    Whether there is one of a length is monotone in the length, so it is found by
+    galloping and bisection. A probe takes memory in proportion to the ranges.
     """
-    def probe(length: int) -> int:
-        seen = {b[j:j + length] for j in range(len(b) - length + 1)}
-        for i in range(len(a) - length + 1):
-            if a[i:i + length] in seen:
-                return i
-        return -1
-
-    limit = min(limit, len(a), len(b))
-    best, at, step = 0, -1, 1
-    while step <= limit:
-        found = probe(step)
-        if found < 0:
-            break
-        best, at = step, found
-        step *= 2
+    alo, ahi, blo, bhi = ranges
+    limit = min(limit, ahi - alo, bhi - blo)
+    best, at, step = 0, (alo, blo), 1
+    while step <= limit and (found := _shared(a, b, ranges, step)):
+        best, at, step = step, found, step * 2
     low, high = best, min(step, limit + 1)
     while high - low > 1:
         middle = (low + high) // 2
-        found = probe(middle)
-        if found < 0:
-            high = middle
-        else:
+        if found := _shared(a, b, ranges, middle):
             low, at = middle, found
-    if not low:
-        return 0, 0, 0
-    return low, at, b.find(a[at:at + low])
+        else:
+            high = middle
+    return low, *at
 
 
 def matched_length(a: str, b: str) -> int:
     """Total length of the recursively found longest matching blocks."""
     if a == b:
         return len(a)
-    total, stack = 0, [(a, b, len(a))]
+    left, right = _Sequence(a), _Sequence(b)
+    total, stack = 0, [((0, len(a), 0, len(b)), len(a))]
     while stack:
-        left, right, limit = stack.pop()
-        if not left or not right:
+        (alo, ahi, blo, bhi), limit = stack.pop()
+        if alo == ahi or blo == bhi:
             continue
-        size, i, j = _longest_common(left, right, limit)
-        if not size:
-            continue
-        total += size
-        stack.append((left[:i], right[:j], size))
-        stack.append((left[i + size:], right[j + size:], size))
+        size, i, j = _longest_common(left, right, (alo, ahi, blo, bhi), limit)
+        if size:
+            total += size
+            stack += [((alo, i, blo, j), size), ((i + size, ahi, j + size, bhi), size)]
     return total
 
 
 def ratio(a: str, b: str) -> float:
     """2*M/T over matching blocks; order of arguments matters, as ties break on ``a``."""
-    if not a and not b:
-        return 1.0
     if not a or not b:
-        return 0.0
+        return float(a == b)
     return 2.0 * matched_length(a, b) / (len(a) + len(b))
 
 
-def _as_symbols(left: list[str], right: list[str]) -> tuple[str, str]:
-    """Token lists as strings with one private symbol per distinct token."""
-    code: dict[str, str] = {}
-    for token in (*left, *right):
-        if token not in code:
-            code[token] = chr(0xF0000 + len(code)) if len(code) < 0xFFFE else chr(0x20000 + len(code))
-    return "".join(code[t] for t in left), "".join(code[t] for t in right)
+def token_ratio(a: list[str], b: list[str]) -> float:
+    """The same for token lists: equal tokens are one character. There are characters for a million distinct ones."""
+    if a == b:
+        return 1.0
+    code = {token: chr(k if k < 0xD800 else k + 0x800) for k, token in enumerate(dict.fromkeys([*a, *b]))}
+    return ratio("".join(map(code.__getitem__, a)), "".join(map(code.__getitem__, b)))
 
 
 @F.pandas_udf(DoubleType())
@@ -108,7 +143,7 @@ def seq_ratio_tokens(left: pd.Series, right: pd.Series) -> pd.Series:
             continue
         key = (tuple(a), tuple(b))
         if key not in seen:
-            seen[key] = ratio(*_as_symbols(list(a), list(b)))
+            seen[key] = token_ratio(list(a), list(b))
         out.append(seen[key])
     return pd.Series(out, dtype="float64")
 
@@ -125,9 +160,12 @@ def _forms(text: str) -> tuple[str, list[str]]:
 
 def text_pair(left: str, right: str) -> tuple[float, float, float, float]:
     """Character, token and length similarity and their weighted blend, each to six places."""
-    (a, left_tokens), (b, right_tokens) = _forms(left), _forms(right)
-    char = ratio(a, b)
-    token = ratio(*_as_symbols(left_tokens, right_tokens))
+    return _form_pair(_forms(left), _forms(right))
+
+
+def _form_pair(left: tuple[str, list[str]], right: tuple[str, list[str]]) -> tuple[float, float, float, float]:
+    (a, left_tokens), (b, right_tokens) = left, right
+    char, token = ratio(a, b), token_ratio(left_tokens, right_tokens)
     longest = max(len(a), len(b))
     length = min(len(a), len(b)) / longest if longest else 1.0
     # Weights of the three measures.
@@ -158,11 +196,17 @@ def all_pair_scores(texts: pd.Series, reverse: pd.Series) -> pd.Series:
     def score(items, backwards) -> list[dict] | None:
         if items is None:
             return None
+        forms = [None if x is None else _forms(x) for x in items]
+        known: dict[tuple[str, str, str, str], tuple] = {}
         out = []
         for i in range(len(items)):
             for j in range(i + 1, len(items)):
-                a, b = (items[j], items[i]) if backwards else (items[i], items[j])
-                values = (None,) * 4 if a is None or b is None else text_pair(a, b)
+                a, b = (forms[j], forms[i]) if backwards else (forms[i], forms[j])
+                if a is None or b is None:
+                    values = (None,) * 4
+                else:  # two candidates often have one form, and so the same scores against a third
+                    key = a[0], " ".join(a[1]), b[0], " ".join(b[1])
+                    values = known[key] if key in known else known.setdefault(key, _form_pair(a, b))
                 out.append(dict(zip(SCORE_FIELDS, values)))
         return out
 

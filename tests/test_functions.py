@@ -13,6 +13,19 @@ def one(spark, col, **values):
     return df.select(col.alias("x")).first()["x"]
 
 
+def test_long_sequences_by_hash_equal_the_standard_library_matcher(monkeypatch):
+    rng = random.Random(7)
+    for few in (0, 40):
+        monkeypatch.setattr(sim, "_FEW", few)
+        for _ in range(300):
+            a, b = ("".join(rng.choices("abé𝄞"[: rng.choice((2, 3, 4))], k=rng.randrange(0, 120))) for _ in range(2))
+            assert sim.ratio(a, b) == difflib.SequenceMatcher(None, a, b, autojunk=False).ratio()
+            x, y = a.split("a"), b.split("a")
+            assert sim.token_ratio(x, y) == difflib.SequenceMatcher(None, x, y, autojunk=False).ratio()
+    many = [str(k) for k in range(70_000)]
+    assert sim.token_ratio(many, [*many[:60_000], "other", *many[60_001:]]) == 2 * 69_999 / 140_000
+
+
 def test_matched_length_equals_the_standard_library_matcher():
     rng = random.Random(7)
     for trial in range(1500):
@@ -32,7 +45,7 @@ def test_token_ratio_equals_the_standard_library_matcher():
         a = [rng.choice(["x", "yy", "z", "w"]) for _ in range(rng.randint(1, 25))]
         b = [rng.choice(["x", "yy", "z", "q"]) for _ in range(rng.randint(1, 25))]
         want = difflib.SequenceMatcher(None, a, b, autojunk=False).ratio()
-        assert sim.ratio(*sim._as_symbols(a, b)) == want
+        assert sim.token_ratio(a, b) == want
 
 
 def test_pair_scores_mixed_scripts(spark):
