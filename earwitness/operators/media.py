@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
+import re
 import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from earwitness.functions.numbers import round_exact
 from earwitness.operators.scan import scan, slice_of
 from earwitness.operators.skew import lookup
+from earwitness.session import cut_lineage, spread
 
 # Signal thresholds.
 NEAR_SILENCE_DBFS = -50.0
@@ -182,3 +187,120 @@ def pcm_statistics(files: DataFrame) -> DataFrame:
             yield pd.DataFrame([_measure(p, c) for p, c in zip(batch["path"], batch["content"])], columns=names).astype(object)
 
     return files.select("path", "content").mapInPandas(run, PCM_SCHEMA)
+
+
+#: Bytes of a file that a task holds at once, and that one row of ranges stands for.
+BLOCK_BYTES, RANGE_BYTES = 4 << 20, 128 << 20
+
+
+def listed(files: DataFrame) -> DataFrame:
+    """Paths and lengths of ``binaryFile`` rows; Spark lists files without reading what isn't asked for."""
+    return files.select("path", "length")
+
+
+def _opened(path: str):
+    """A file of the shared store for reading at any place. Schemes are those that Arrow knows."""
+    from pyarrow import fs
+
+    if re.match("file:/|/", path):
+        return fs.LocalFileSystem().open_input_file(re.sub("^file:(//)?(?=/)", "", path))
+    store, inner = fs.FileSystem.from_uri(path)
+    return store.open_input_file(inner)
+
+
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for path in batch.column("path").to_pylist():
+            digest, size = hashlib.sha256(), 0
+            with _opened(path) as file:
+                while block := file.read(BLOCK_BYTES):
+                    digest.update(block)
+                    size += len(block)
+            yield pa.RecordBatch.from_pydict({"path": [path], "size_bytes": [size], "sha256": [digest.hexdigest()]})
+
+
+def streamed_identity(files: DataFrame) -> DataFrame:
+    """Path, size and SHA-256 of files of any length (``listed``): a task streams one file at a time, a block in memory."""
+    return spread(listed(files), "path").select("path").mapInArrow(_hashed, "path string, size_bytes long, sha256 string")
+
+
+def _streamed_layout(file, size: int) -> tuple[int, int, int, int, int] | None:
+    """As ``_wav_layout``, from chunk headers alone."""
+    def read(at: int, n: int) -> bytes:
+        file.seek(at)
+        return file.read(n)
+
+    head = read(0, 12)
+    if len(head) < 12 or head[:4] != b"RIFF" or head[8:12] != b"WAVE":
+        return None
+    at, fmt = 12, None
+    while at + 8 <= size:
+        name, length = struct.unpack("<4sI", read(at, 8))
+        if name == b"fmt " and length >= 16:
+            _, channels, rate, _, _, bits = struct.unpack("<HHIIHH", read(at + 8, 16))
+            fmt = channels, rate, bits
+        elif name == b"data" and fmt:
+            return (*fmt, at + 8, min(length, size - at - 8))
+        at += 8 + length + (length & 1)
+    return None
+
+
+_LAYOUT = "path string, channels int, sample_rate_hz int, bits int, data_at long, data_bytes long"
+_RANGE_STATS = "path string, peak long, silent long, clipped long, total long"
+
+
+def _layouts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = [c.split()[0] for c in _LAYOUT.split(", ")]
+    kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+    for batch in batches:
+        rows = []
+        for path, size in zip(batch.column("path").to_pylist(), batch.column("length").to_pylist(), strict=True):
+            with _opened(path) as file:
+                rows.append((path, *(_streamed_layout(file, size) or (None,) * 5)))
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=names)
+
+
+def _range_stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    quiet, loud = max(1, round(32767 * 10 ** (NEAR_SILENCE_DBFS / 20.0))), round(32767 * CLIPPING_FRACTION)
+    for batch in batches:
+        for path, start, end in zip(*(batch.column(c).to_pylist() for c in ("path", "start", "end")), strict=True):
+            peak = silent = clipped = total = 0
+            with _opened(path) as file:
+                file.seek(start)
+                for at in range(start, end, BLOCK_BYTES):
+                    level = np.minimum(np.abs(np.frombuffer(file.read(min(BLOCK_BYTES, end - at)), "<i2").astype(np.int32)), 32767)
+                    peak, total = max(peak, int(level.max(initial=0))), total + level.size
+                    silent, clipped = silent + int((level <= quiet).sum()), clipped + int((level >= loud).sum())
+            yield pa.RecordBatch.from_pydict({"path": [path], "peak": [peak], "silent": [silent], "clipped": [clipped], "total": [total]})
+
+
+def streamed_pcm_statistics(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """The columns of ``pcm_statistics`` for files of any length (``listed``).
+
+    Headers are read by seeking; samples are measured range by range, each the work of
+    any task, and the few numbers of the ranges add up. No file is a row, and memory
+    is bounded by a block.
+    """
+    layouts = cut_lineage(spread(listed(files), "path").mapInArrow(_layouts, _LAYOUT))
+    width = F.floor(F.col("bits") / 8).cast("int")
+    frames = F.floor(F.col("data_bytes") / F.greatest(F.lit(1), width * F.col("channels"))).cast("long")
+    known = layouts.select("path", F.col("channels").isNotNull().alias("__wav"), width.alias("sample_width_bytes"), "sample_rate_hz", "channels", frames.alias("frame_count"), "data_at")
+    end = F.col("data_at") + F.col("frame_count") * 2 * F.col("channels")
+    step = max(2, range_bytes // 2 * 2)
+    whole = known.where("sample_width_bytes = 2 and frame_count > 0").select("path", end.alias("__end"), F.explode(F.sequence(F.col("data_at"), end - 1, F.lit(step).cast("long"))).alias("start"))
+    ranges = spread(whole.select("path", "start", F.least("__end", F.col("start") + step).alias("end")), "path", "start")
+    sums = ranges.mapInArrow(_range_stats, _RANGE_STATS).groupBy("path").agg(F.max("peak").alias("peak"), *[F.sum(c).alias(c) for c in ("silent", "clipped", "total")])
+    pcm = F.col("__wav") & (F.col("sample_width_bytes") == 2)
+
+    def share(part: str) -> Column:
+        return F.when(pcm, round_exact(F.coalesce(part, F.lit(0)).cast("double") / F.greatest(F.lit(1), F.coalesce("total", F.lit(0))).cast("double"), 8))
+
+    out = known.join(sums, "path", "left").withColumns({"near_silence_ratio": share("silent"), "clipping_ratio": share("clipped")})
+    raw = lambda part: F.coalesce(part, F.lit(0)) / F.greatest(F.lit(1), F.coalesce("total", F.lit(0)))
+    warnings = F.when(~F.col("__wav"), F.array(F.lit("not_a_wav_file"))).when(~pcm, F.array(F.lit("pcm_signal_analysis_requires_16_bit_wav"))).otherwise(F.array_compact(F.array(
+        F.when(raw("clipped") >= 0.01, F.lit("possible_clipping")), F.when(raw("silent") >= 0.95, F.lit("mostly_near_silence")))))
+    status = F.when(~F.col("__wav"), F.lit("not_wav")).when(~pcm, F.lit("not_analyzed")).when(F.size("warnings") > 0, F.lit("pass_with_warnings")).otherwise(F.lit("pass"))
+    peak = F.when(F.col("peak") > 0, round_exact(20.0 * F.log10(F.col("peak").cast("double") / 32767.0), 4))
+    return out.withColumn("warnings", warnings).select(
+        "path", status.alias("status"), "sample_width_bytes", "sample_rate_hz", "channels", "frame_count", F.when(pcm, F.coalesce("total", F.lit(0))).alias("sample_count"),
+        peak.alias("peak_dbfs"), "near_silence_ratio", "clipping_ratio", "warnings")

@@ -256,12 +256,12 @@ def rename_meetings(spark: SparkSession, root: str, meetings: DataFrame, bucket:
 
 
 def media_qc(files: DataFrame, objects: DataFrame) -> dict[str, DataFrame]:
-    """Binary files to identity, retention and signal statistics."""
+    """Files listed as ``binaryFile`` rows to identity, retention and signal statistics; files of any length are streamed."""
     from earwitness.functions.text import safe_suffix
 
-    known = media.file_identity(files).withColumnsRenamed({"path": "file_id"}).withColumn("ext", safe_suffix(F.col("file_id")))
+    known = media.streamed_identity(files).withColumnsRenamed({"path": "file_id"}).withColumn("ext", safe_suffix(F.col("file_id")))
     new, report = ar.retain_objects(known, objects)
-    return {"objects": new, "report": report, "signals": media.pcm_statistics(files)}
+    return {"objects": new, "report": report, "signals": media.streamed_pcm_statistics(files)}
 
 
 def job_inbox(manifests: DataFrame, limit: int = 24) -> dict[str, DataFrame]:

@@ -279,3 +279,36 @@ def test_archive_to_the_end(spark, tmp_path, monkeypatch):
     with pytest.raises(Exception, match="lost"):
         pipelines.archive_meetings(spark, root, meetings(("b", "m", 8, "2026-01-02T10:30", "x")), windows, labels, bucket)
     assert commits.state(spark, root) == before
+
+
+# ---- media of any length
+
+def test_streamed_media_equal_the_whole_files(spark, tmp_path, monkeypatch):
+    import struct
+    import wave
+
+    from earwitness.operators import media
+    from earwitness.sources import readers
+
+    rng = np.random.default_rng(6)
+
+    def write(name, samples, channels=1, width=2):
+        with wave.open(str(tmp_path / name), "wb") as w:
+            w.setnchannels(channels), w.setsampwidth(width), w.setframerate(16000)
+            w.writeframes(samples)
+
+    write("loud.wav", struct.pack("<4h", 32767, -32768, 100, 200))
+    write("empty.wav", b"")
+    write("eight.wav", b"\1\2\3", width=1)
+    write("two words.wav", rng.integers(-32768, 32768, 6001 * 2).astype("<i2").tobytes(), channels=2)
+    write("quiet.wav", rng.integers(-20, 21, 5000).astype("<i2").tobytes())
+    (tmp_path / "cut.wav").write_bytes((tmp_path / "quiet.wav").read_bytes()[:777])
+    (tmp_path / "not.wav").write_bytes(b"RIFX" + bytes(50))
+    (tmp_path / "nothing.wav").write_bytes(b"")
+    files = readers.binary_files(spark, str(tmp_path))
+    want = {r.path: r for r in media.pcm_statistics(files).collect()}
+    hashes = {r.path: (r.size_bytes, r.sha256) for r in media.file_identity(files).collect()}
+    for size in (2, 1001, 1 << 20):
+        got = {r.path: r for r in media.streamed_pcm_statistics(files, max(size, 500)).collect()}
+        assert got == want
+    assert {r.path: (r.size_bytes, r.sha256) for r in media.streamed_identity(files).collect()} == hashes
