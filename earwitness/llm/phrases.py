@@ -32,7 +32,11 @@ class PhraseParams:
 
 PARAMS = PhraseParams()
 #: Bytes of text held by a task before its n-grams are counted and handed on; a longer text is a block of its own.
-BLOCK_BYTES = 1 << 22
+BLOCK_BYTES = 1 << 21
+#: Bytes whose running sums are held at once.
+STRETCH = 1 << 18
+#: Bits of a phrase's key that are counted by shard. Fewer travel lighter; phrases that share them are candidates together.
+KEY_BITS = 40
 _NEXT, _ONE = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(1)
 
 
@@ -80,8 +84,14 @@ def block(texts: list[bytes], langs: list[str], shards: list[int], powers: Power
     inside = np.concatenate([[False], kinds == 0, [False]])
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     start, end = edges[::2], edges[1::2]
-    hashes = _mixed(powers.hashes(powers.sums(data), start, end))
-    piece = np.cumsum(kinds == 2)[start] if len(start) else start
+    hashes = np.zeros(len(start), np.uint64)
+    at = 0
+    while at < len(start):  # sums of a bounded stretch at once; a longer word is one of its own
+        to = max(at + 1, int(np.searchsorted(end, start[at] + STRETCH, "right")))
+        low = start[at]
+        hashes[at:to] = _mixed(powers.hashes(powers.sums(data[low : end[to - 1]]), start[at:to] - low, end[at:to] - low))
+        at = to
+    piece = np.searchsorted(np.flatnonzero(kinds == 2), start)
     begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
     row = np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(start, begins)))
     return Block(raw, langs, np.array(shards, np.int64), start.astype(np.int64), end.astype(np.int64), hashes, piece, row)
@@ -108,10 +118,14 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def _seeds(langs: list[str]) -> np.ndarray:
+    """What sets the phrases of one language apart from those of another."""
+    return np.array([xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass"), 1) for x in langs], np.uint64)
+
+
 def gram_keys(of: Block, longest: int) -> list[np.ndarray]:
     """For 1, 2 ... words: keys of the phrases that begin at each word, and 0 where the piece is too short."""
-    seeds = np.array([xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass"), 1) for x in of.langs], np.uint64)
-    out = [_mixed(of.hashes ^ seeds[of.row]) | _ONE]
+    out = [_mixed(of.hashes ^ _seeds(of.langs)[of.row]) | _ONE]
     for k in range(1, longest):
         grown = np.zeros_like(out[0])
         reach = max(0, len(grown) - k)
@@ -121,6 +135,11 @@ def gram_keys(of: Block, longest: int) -> list[np.ndarray]:
     return out
 
 
+def _groups(of: Block, salt: np.ndarray) -> np.ndarray:
+    """A number for the language and shard of each text."""
+    return _seeds(of.langs).view(np.int64) ^ salt[of.shards]
+
+
 def _shard_salt(shards: int) -> list[int]:
     """What sets the keys of one shard apart from those of another in a bitmap."""
     return [int(x) for x in np.random.default_rng(11).integers(-(1 << 62), 1 << 62, shards)]
@@ -132,14 +151,15 @@ def _numbers(values: list) -> np.ndarray:
     return np.array([known[v] for v in values], np.int64)
 
 
-def _word_totals(batches):
+def _word_totals(batches, salts: list[int]):
+    salt = np.array(salts, np.int64)
     for of in _blocks(batches):
         n = np.bincount(of.row, minlength=len(of.langs))
-        yield pa.RecordBatch.from_arrays([pa.array(of.langs, pa.string()), pa.array(of.shards.astype(np.int32)), pa.array(n.astype(np.int64))], names=["lang", "shard", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(of.langs, pa.string()), pa.array(of.shards.astype(np.int32)), pa.array(_groups(of, salt)), pa.array(n.astype(np.int64))], names=["lang", "shard", "group", "n"])
 
 
 def _local(batches, k: int, salts: list[int], shorter: Broadcast | None):
-    """``lang, shard, key, n`` of the phrases of ``k`` words whose two phrases of one word less may be frequent in the shard."""
+    """``group, key, n`` of the phrases of ``k`` words whose two phrases of one word less may be frequent in the shard."""
     salt = np.array(salts, np.int64)
     for of in _blocks(batches):
         grams = gram_keys(of, k)
@@ -149,12 +169,11 @@ def _local(batches, k: int, salts: list[int], shorter: Broadcast | None):
                 before = grams[k - 2][at + step].view(np.int64) ^ salt[of.shards[of.row[at]]]
                 at = at[maybe_in(shorter.value, before)]
         if len(at):
-            keys, row = grams[k - 1][at].view(np.int64), of.row[at]
-            group = _numbers(of.langs)[row] * len(salts) + of.shards[row]
+            keys, group = (grams[k - 1][at] & np.uint64((1 << KEY_BITS) - 1)).view(np.int64), _groups(of, salt)[of.row[at]]
             order = np.lexsort((keys, group))
-            keys, group, row = keys[order], group[order], row[order]
+            keys, group = keys[order], group[order]
             first = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (group[1:] != group[:-1])]))
-            yield pa.RecordBatch.from_arrays([pa.array(of.langs, pa.string()).take(pa.array(row[first])), pa.array(of.shards[row[first]].astype(np.int32)), pa.array(keys[first]), pa.array(np.diff(first, append=len(keys)))], names=["lang", "shard", "key", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(group[first]), pa.array(keys[first]), pa.array(np.diff(first, append=len(keys)))], names=["group", "key", "n"])
 
 
 def _exact(batches, longest: int, candidates: Broadcast):
@@ -198,14 +217,13 @@ def frequent(docs: DataFrame, p: PhraseParams = PARAMS) -> tuple[DataFrame, Data
     clash of hashes nor a crowded bitmap changes a count.
     """
     placed, salts = _placed(docs, p), _shard_salt(p.shards)
-    sizes = cut_lineage(placed.mapInArrow(_word_totals, "lang string, shard int, n long").groupBy("lang", "shard").agg(F.sum("n").alias("w")))
+    sizes = cut_lineage(placed.mapInArrow(partial(_word_totals, salts=salts), "lang string, shard int, group long, n long").groupBy("lang", "shard", "group").agg(F.sum("n").alias("w")))
     totals = sizes.groupBy("lang").agg(F.sum("w").alias("n"))
-    least = sizes.join(totals.where("n > 0"), "lang").select("lang", "shard", F.expr(f"({p.support}L * w + n - 1) div n").alias("least"))
-    least = cut_lineage(least)
+    least = cut_lineage(sizes.join(totals.where("n > 0"), "lang").select("group", "shard", F.expr(f"({p.support}L * w + n - 1) div n").alias("least")))
     local, shorter = [], None
     for k in range(1, p.longest + 1):
-        counted = placed.mapInArrow(partial(_local, k=k, salts=salts, shorter=shorter), "lang string, shard int, key long, n long").groupBy("lang", "shard", "key").agg(F.sum("n").alias("n"))
-        found = cut_lineage(counted.join(least, ["lang", "shard"]).where("n >= least").select("key", "shard"))
+        counted = placed.mapInArrow(partial(_local, k=k, salts=salts, shorter=shorter), "group long, key long, n long").groupBy("group", "key").agg(F.sum("n").alias("n"))
+        found = cut_lineage(counted.join(least, "group").where("n >= least").select("key", "shard"))
         if shorter is not None:
             _freed([shorter])
         local.append(found.select("key"))
