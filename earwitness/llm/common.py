@@ -139,6 +139,8 @@ def bitmaps(values: DataFrame, column: str, *conditions: Column, bits: int = BIT
         words = np.zeros(bits >> 6, np.uint64)
         words[found.column("word").to_numpy()] = found.column(f"bit{k}").to_numpy().view(np.uint64)
         out.append(values.sparkSession.sparkContext.broadcast(words))
+    del found
+    pa.default_memory_pool().release_unused()  # the driver keeps the bitmaps only
     return out
 
 
