@@ -13,8 +13,9 @@ are verified on the exact sets.
 
 Documents with equal sets are one class, and everything after the first scan
 works on classes. Buckets with equal members count once. Small buckets give their
-pairs; a large one is compared in blocks of sketches, first along a spanning
-forest, then wherever classes that may be linked are still apart. No pair that
+pairs. Of its large buckets a class first stands in the few that it picks by a hash
+of the key, as near copies do alike, and is compared there in blocks of sketches
+along a spanning forest; then in all those whose members are still apart. No pair that
 could join two components goes unverified, and no group is expanded into all
 its pairs. Fixed-size bitmaps keep rows that can't matter out of shuffles.
 """
@@ -37,8 +38,12 @@ from earwitness.session import cut_lineage
 
 #: Words of a shingle, and the least similarity in percent.
 WORDS, PERCENT = 5, 80
+#: Bits of a bitmap: 4 MB. Several are made on the way, and the driver holds what Spark sends of them.
+MAP_BITS = 1 << 25
 #: Ratio of a size band.
 BAND_RATIO = 1.5
+#: Large buckets that a class stands in before its component is known.
+PICKED = 3
 #: Members up to which a bucket's pairs are listed; a larger one is compared in blocks of BLOCK members.
 SMALL, BLOCK = 32, 1024
 
@@ -162,20 +167,30 @@ def _printer(words: int, with_set: bool, wanted: Broadcast):
     return make
 
 
-def _chunk_rows(batches, percent: int, within: Broadcast | None, without: Broadcast | None):
-    """A row (key, node) for each key of each sketch that may be in the one bitmap and is not in the other."""
+def _picked(key: np.ndarray, picks: int) -> np.ndarray:
+    """For each of ``picks`` orders of all keys, the first of these; each once."""
+    with np.errstate(over="ignore"):
+        return key[np.unique([np.argmin(_mix(key ^ (_ODD[0][k % 3] * np.uint64(k + 1)))) for k in range(picks)])] if len(key) > picks else key
+
+
+def _chunk_rows(batches, percent: int, within: Broadcast | None = None, without: Broadcast | None = None, picks: int | None = None, keep: tuple[str, ...] = ("node",)):
+    """A row (key, ``keep``) for each key of each sketch that may be in the one bitmap and is not in the other; of ``picks`` of them, if given."""
     for batch in batches:
-        keys, nodes = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-        for node, sketches in zip(batch.column("node").to_pylist(), batch.column("sketches").to_pylist(), strict=True):
+        keys, counts = [np.empty(0, np.uint64)], []
+        for sketches in batch.column("sketches").to_pylist():
+            count = 0
             for s in sketches:
                 key = chunk_keys(s["bits"], s["band"], percent)
                 if within is not None:
                     key = key[maybe_in(within.value, key)]
                 if without is not None:
                     key = key[~maybe_in(without.value, key)]
+                key = key if picks is None else _picked(key, picks)
                 keys.append(key)
-                nodes.append(np.full(len(key), node, np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nodes))], names=["key", "node"])
+                count += len(key)
+            counts.append(count)
+        rows = pa.array(np.repeat(np.arange(batch.num_rows), counts))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), *(batch.column(c).take(rows) for c in keep)], names=["key", *keep])
 
 
 def _near(table: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -240,7 +255,7 @@ def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, words: int, pe
         pairs.distinct().join(reps.select(F.col("node").alias("a"), F.col("fp").alias("a_fp"), F.col("label").alias("a_id")), "a")
         .join(reps.select(F.col("node").alias("b"), F.col("fp").alias("b_fp"), F.col("label").alias("b_id")), "b"))
     ids = pairs.select(F.xxhash64("a_id").alias("hash")).union(pairs.select(F.xxhash64("b_id"))).distinct()
-    (asked,) = bitmaps(ids, "hash", F.lit(True))
+    (asked,) = bitmaps(ids, "hash", F.lit(True), bits=MAP_BITS)
     made = extend(docs.withColumn("__hash", F.xxhash64("id")), partial(_printer, words, True, asked), "maybe boolean, fp binary, items array<long>", [])
     sets = made.where("__out.items is not null").select("__out.fp", "__out.items").dropDuplicates(["fp"])
     left = sets.select(F.col("fp").alias("a_fp"), F.col("items").alias("x"))
@@ -272,35 +287,46 @@ def classes(docs: DataFrame, id_col: str, words: int = WORDS, percent: int = PER
     reps = numbered(summary.where("fp is not null").groupBy("fp").agg(F.min("id").alias("label"), F.first("n").alias("n"), F.first("sketches").alias("sketches")), "node")
     slim = reps.select("node", "fp", "label")
 
-    def chunks(within: Broadcast | None, without: Broadcast | None) -> DataFrame:
-        return reps.select("node", "sketches").mapInArrow(partial(_chunk_rows, percent=percent, within=within, without=without), "key long, node long")
+    def chunks(of: DataFrame = reps, keep: tuple[str, ...] = ("node",), **which) -> DataFrame:
+        return of.select(*keep, "sketches").mapInArrow(partial(_chunk_rows, percent=percent, keep=keep, **which), ", ".join(["key long", *(f"{c} long" for c in keep)]))
 
-    sizes = chunks(None, None).groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    repeated, large = bitmaps(sizes, "key", F.lit(True), F.col("size") > SMALL)
+    def in_buckets(members: DataFrame, buckets: DataFrame) -> DataFrame:
+        """Members of ``buckets(key, size, x, y)`` with their sketches; of buckets with equal members one stays."""
+        single = buckets.groupBy("size", "x", "y", F.shiftright("key", 56).alias("band")).agg(F.min("key").alias("key"))
+        return members.join(single.select("key", "size", "band"), "key").join(bits, ["node", "band"])
+
+    told_apart = F.count("*").alias("size"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")
+    bits = reps.select("node", "n", F.explode("sketches").alias("s")).select("node", "n", F.col("s.band").alias("band"), F.col("s.bits").alias("bits"))
+    sizes = chunks().groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    repeated, large = bitmaps(sizes, "key", F.lit(True), F.col("size") > SMALL, bits=MAP_BITS)
 
     # What may be in a large bucket is compared in blocks, all else has few members.
-    lists = chunks(repeated, large).groupBy("key").agg(F.array_sort(F.collect_list("node")).alias("m")).where(F.size("m") > 1)
+    lists = chunks(within=repeated, without=large).groupBy("key").agg(F.array_sort(F.collect_list("node")).alias("m")).where(F.size("m") > 1)
     listed = F.flatten(F.transform("m", lambda p, k: F.transform(F.slice("m", k + 2, F.greatest(F.size("m") - k - 1, F.lit(0))), lambda q: F.struct(p.alias("a"), q.alias("b")))))
     small = cut_lineage(lists.select(F.explode(listed).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("weight")).where("weight > 1"))
+    repeated.destroy()
     nearest = small.groupBy("b").agg(F.min_by("a", F.struct(-F.col("weight"), F.col("a"))).alias("a")).select("a", "b")
 
-    members = cut_lineage(chunks(large, None))
-    buckets = members.groupBy("key").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).where("size > 1")
-    buckets = buckets.groupBy("size", "x", "y", F.shiftright("key", 56).alias("band")).agg(F.min("key").alias("key"))
-    bits = reps.select("node", "n", F.explode("sketches").alias("s")).select("node", "n", F.col("s.band").alias("band"), F.col("s.bits").alias("bits"))
-    hot = members.join(buckets.select("key", "size", "band"), "key").join(bits, ["node", "band"])
+    # Near copies pick the same large buckets mostly, so these few rows connect nearly all of a group.
+    picked = cut_lineage(chunks(within=large, picks=PICKED))
+    hot = in_buckets(picked, picked.groupBy("key").agg(*told_apart).where("size > 1"))
     forest = _in_blocks(hot, F.col("size")).groupBy("key", "i", "j").applyInArrow(lambda t: _forest(t, percent), "a long, b long")
     first = cut_lineage(nearest.union(forest).distinct())
     links = cut_lineage(_verified(first, reps, docs, words, percent))
 
-    # Only pairs between components that are still apart can add anything.
+    # Only pairs between components that are still apart can add anything: of the large buckets those with members of several.
     root = cut_lineage(roots(links))
     ends = [root.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")) for c in ("a", "b")]
     apart = small.join(ends[0], "a", "left").join(ends[1], "b", "left").where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
-    placed = hot.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    across = _in_blocks(placed.join(mixed, "key"), F.col("size")).groupBy("key", "i", "j").applyInArrow(lambda t: _across(t, percent), "a long, b long")
+    placed = cut_lineage(reps.join(root, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "sketches"))
+    ranges = chunks(placed, ("node", "root"), within=large).groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), *told_apart)
+    mixed = cut_lineage(ranges.where("lo <> hi").drop("lo", "hi"))
+    large.destroy()
+    (some,) = bitmaps(mixed, "key", F.lit(True), bits=MAP_BITS)
+    again = in_buckets(chunks(placed, ("node", "root"), within=some), mixed)
+    across = _in_blocks(again, F.col("size")).groupBy("key", "i", "j").applyInArrow(lambda t: _across(t, percent), "a long, b long")
     rest = cut_lineage(apart.union(across).distinct().join(first, ["a", "b"], "left_anti"))
+    some.destroy()
     if not rest.isEmpty():
         links = links.union(_verified(rest, reps, docs, words, percent))
     linked = slim.join(roots(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -327,7 +353,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", words: int = WORDS, per
     ids = rows.groupBy("fp").agg(F.count("*").alias("ids"))
     own = cut_lineage(rows.join(first, "fp", "left").join(ids, "fp").withColumn("wins", F.col("classes").isNotNull() & F.col("id").eqNullSafe(F.col("label"))))
     doubtful = own.where("classes is null or classes > 1 or ids > 1 or rows > 1")
-    (asked,) = bitmaps(doubtful.select(F.xxhash64("id").alias("hash")), "hash", F.lit(True))
+    (asked,) = bitmaps(doubtful.select(F.xxhash64("id").alias("hash")), "hash", F.lit(True), bits=MAP_BITS)
     printed = extend(docs.withColumn("__hash", F.xxhash64(id_col)), partial(_printer, words, False, asked), "maybe boolean, fp binary")
     sure = printed.where(F.col("__out.fp").isNull())
     winners = own.where("wins").select(F.col("fp").alias("__fp"), F.col("label").alias("__label"), (F.col("rows") > 1).alias("__repeated"))
