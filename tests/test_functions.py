@@ -158,3 +158,17 @@ def test_round_exact_is_pythons_round(spark):
     for r in rows:
         for n in (0, 2, 3, 6):
             assert r[f"r{n}"] == round(r["x"], n), (r["x"], n)
+
+
+def test_blocks_of_an_ordinary_transcript_are_found_from_a_list_of_runs(monkeypatch):
+    rng = random.Random(20)
+    said = [rng.choice(["thin", "of", "edwh", "to", "reading", "a"]) + rng.choice(["", "er", "tion", "ly"]) for _ in range(250)]
+    a, b = " ".join(said), " ".join(w for w in said if len(w) > 2)
+    want = difflib.SequenceMatcher(None, a, b, autojunk=False).ratio()
+    probes = []
+    plain = sim._longest_common
+    monkeypatch.setattr(sim, "_longest_common", lambda *args: probes.append(args) or plain(*args))
+    assert sim.ratio(a, b) == want
+    assert len(probes) < 20  # one by one there are more than a hundred
+    same = "ab" * 2000  # too many runs to list: no more memory than before, and the same length
+    assert sim.matched_length(same + "c", "c" + same) == len(same)
