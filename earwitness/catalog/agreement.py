@@ -125,11 +125,8 @@ SELECT job_id, ord, round_even(min(ratio), 6) AS min_length_ratio, min(round_eve
 FROM pairs GROUP BY 1, 2
 """)
 def length_ratio_red(spark, sf):
-    pairs = agreement.with_pairwise(regions(spark, sf), t.PROVIDERS)
-    lengths = F.transform(F.filter("pairwise", lambda p: ~p["missing"]), lambda p: p["length_ratio"])
-    return pairs.select(
-        "job_id", F.col("region_no").alias("ord"), F.array_min(lengths).alias("min_length_ratio"),
-        (F.array_min(lengths) < 0.45).alias("red"))
+    sized = agreement.with_length_ratio(regions(spark, sf), t.PROVIDERS)
+    return sized.select("job_id", F.col("region_no").alias("ord"), "min_length_ratio", (F.col("min_length_ratio") < 0.45).alias("red"))
 
 
 _DRAFT_SQL = _classified_sql("l.provider_ord <> r.provider_ord") + f"""

@@ -8,7 +8,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from earwitness.functions.similarity import SCORE_FIELDS, all_pair_scores, mean6
+from earwitness.functions.numbers import round_exact
+from earwitness.functions.similarity import SCORE_FIELDS, all_pair_scores, compact_lengths, mean6
 from earwitness.functions.text import is_blank
 from earwitness.params import AgreementThresholds
 
@@ -49,6 +50,18 @@ def with_pairwise(regions: DataFrame, provider_order: Sequence[str]) -> DataFram
     return scored.withColumn("pairwise", pairwise).drop("__scores")
 
 
+def with_length_ratio(regions: DataFrame, provider_order: Sequence[str]) -> DataFrame:
+    """Add ``min_length_ratio``: the least length ratio over pairs of present candidates, as ``pairwise`` has it.
+
+    NULL where fewer than two are present. Only lengths are taken; nothing is compared.
+    """
+    sized = regions.withColumn("__lengths", F.array_compact(compact_lengths(texts_in_order(F.col("candidates"), check_order(provider_order)))))
+    # The shortest and the longest text have the least ratio.
+    short, long = F.array_min("__lengths").cast("double"), F.array_max("__lengths").cast("double")
+    least = F.when(long == 0, F.lit(1.0)).otherwise(round_exact(F.try_divide(short, long), 6))
+    return sized.withColumn("min_length_ratio", F.when(F.size("__lengths") > 1, least)).drop("__lengths")
+
+
 def classify(
     regions: DataFrame, provider_order: Sequence[str], thresholds: AgreementThresholds = AgreementThresholds(),
 ) -> DataFrame:

@@ -172,3 +172,15 @@ def test_blocks_of_an_ordinary_transcript_are_found_from_a_list_of_runs(monkeypa
     assert len(probes) < 20  # one by one there are more than a hundred
     same = "ab" * 2000  # too many runs to list: no more memory than before, and the same length
     assert sim.matched_length(same + "c", "c" + same) == len(same)
+
+
+def test_forms_lengths_are_those_of_the_pair_scores(spark):
+    from earwitness.operators import agreement
+
+    rows = [("a", "Ünd, so?", "und so", "ab"), ("b", "x", None, None), ("c", "", "...", "!"), ("d", None, "abc", "ẞ")]
+    df = spark.createDataFrame(rows, "id string, a string, b string, c string").select("id", F.map_from_arrays(
+        F.array(F.lit("a"), F.lit("b"), F.lit("c")), F.array(*[F.struct(F.col(p).isNull().alias("missing"), F.col(p).alias("text")) for p in "abc"])).alias("candidates"))
+    lengths = F.transform(F.filter("pairwise", lambda p: ~p["missing"]), lambda p: p["length_ratio"])
+    want = agreement.with_pairwise(df, "abc").select("id", F.array_min(lengths)).collect()
+    got = agreement.with_length_ratio(df, "abc").select("id", "min_length_ratio").collect()
+    assert {r[0]: r[1] for r in got} == {r[0]: r[1] for r in want}
