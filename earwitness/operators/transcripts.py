@@ -15,7 +15,7 @@ from earwitness.functions.similarity import ratio
 from earwitness.functions.text import is_blank, lexical_form, speaker_line, strip, word_count
 from earwitness.operators.fold import Fold, sorted_fold
 from earwitness.operators.scan import scan, slice_of
-from earwitness.session import spread
+from earwitness.session import cut_lineage, spread
 from earwitness.sinks.documents import document_parts
 
 CHUNK = ["job_id", "chunk_key"]
@@ -147,7 +147,9 @@ def reconcile(records: DataFrame, threshold: float = 0.85) -> DataFrame:
     the ladder: no text / some blank -> red; single -> amber; all equal over two
     providers -> green, within one -> amber; every pair close -> amber; else red.
     """
-    folded = records.withColumn("form", lexical_form(F.col("text")))
+    # Read twice below; folding costs far more per byte than reading, so it runs once and on all cores.
+    used = [*CHUNK, "text", "ordinal", "provider", "chunk_sha256", "sort_start", "chunk_filename"]
+    folded = cut_lineage(spread(records.select(*used), *CHUNK).withColumn("form", lexical_form(F.col("text"))).drop("text"))
     usable = F.col("form") != ""
     provider = F.nullif(strip(F.lower(F.coalesce("provider", F.lit("")))), F.lit(""))
     summary = folded.groupBy(*CHUNK).agg(

@@ -100,6 +100,18 @@ def test_reconcile_ladder(spark):
     assert got["c5"]["minimum_pairwise_lexical_similarity"] == want and got["c3"]["minimum_pairwise_lexical_similarity"] is None
 
 
+def test_chunk_texts_are_folded_once(spark, monkeypatch):
+    cut = []
+    plain = transcripts.cut_lineage
+    monkeypatch.setattr(transcripts, "cut_lineage", lambda df: cut.append(plain(df)) or cut[-1])
+    rows = [("j", f"k{i}", o, t, "p%d" % o, "h", 0.0, "f") for i in range(3) for o, t in enumerate(["Straße", "STRASSE", "other"])]
+    df = spark.createDataFrame(rows, "job_id string, chunk_key string, ordinal int, text string, provider string, chunk_sha256 string, sort_start double, chunk_filename string")
+    graded = transcripts.reconcile(df)
+    assert len(cut) == 1 and "form" in cut[0].columns
+    assert "nfkc_casefold" not in graded._jdf.queryExecution().executedPlan().toString()
+    assert {r["reason"] for r in graded.collect()} == {"material_candidate_disagreement"}
+
+
 def test_least_similarity_over_many_blocks(spark):
     rng = random.Random(8)
     texts = [" ".join(rng.choice(["aa", "bb", "cc", "dd"]) for _ in range(5)) for _ in range(150)]
