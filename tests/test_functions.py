@@ -184,3 +184,26 @@ def test_forms_lengths_are_those_of_the_pair_scores(spark):
     want = agreement.with_pairwise(df, "abc").select("id", F.array_min(lengths)).collect()
     got = agreement.with_length_ratio(df, "abc").select("id", "min_length_ratio").collect()
     assert {r[0]: r[1] for r in got} == {r[0]: r[1] for r in want}
+
+
+def test_edit_distance_equals_the_table_and_needs_no_table(spark):
+    def table(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(new[-1] + 1, row[j] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    rng = random.Random(3)
+    for _ in range(400):
+        a, b = ("".join(rng.choice("abc ") for _ in range(rng.randrange(90))) for _ in "ab")
+        assert sim.edit_distance(a, b) == table(a, b), (a, b)
+        assert sim.edit_distance(a.split(), b.split()) == table(a.split(), b.split())
+    # Six hundred million cells: minutes as a table.
+    a = "".join(rng.choice("abcdefgh") for _ in range(24_000))
+    assert sim.edit_distance(a, "x" + a[:9000] + "yz" + a[9001:]) == 3
+    df = spark.createDataFrame([("A\u00a0 b", "a c d"), ("", ""), ("", "x"), (None, "x")], "r string, h string")
+    got = df.select(sim.word_error_rate(F.col("r"), F.col("h")), sim.character_error_rate(F.col("r"), F.col("h")), sim.word_distance(F.col("r"), F.col("h"))).collect()
+    assert [tuple(x) for x in got] == [(1.0, 1.0, 2), (0.0, 0.0, 0), (1.0, 1.0, 1), (None, None, None)]
