@@ -146,16 +146,35 @@ def with_overlaps(planned: DataFrame) -> DataFrame:
         "target_end_sec", "strategy", "silence_start_sec", "silence_end_sec")
 
 
+def _fixed_steps() -> tuple[Column, Column]:
+    """Number of evenly stepped chunks of a recording and their step."""
+    overlap = F.least(F.greatest(F.lit(0), F.col("overlap_sec")), F.greatest(F.lit(0), F.col("chunk_sec") - 1)).cast("long")
+    step = F.greatest(F.lit(1), F.col("chunk_sec") - overlap)
+    n = F.when(F.col("duration_sec") <= 0, 0).when(F.col("duration_sec") <= F.col("chunk_sec"), 1).otherwise(
+        F.ceil((F.col("duration_sec") - F.col("chunk_sec")) / step) + 1).cast("long")
+    return n, step
+
+
+def fixed_totals(recordings: DataFrame) -> DataFrame:
+    """Chunks, billable seconds and longest chunk of ``fixed_chunks`` without making a chunk row.
+
+    All chunks but the last are whole, so sums need neither rows nor an aggregate.
+    """
+    n, step = _fixed_steps()
+    rows = recordings.select("*", n.alias("chunk_count"), step.alias("__step")).where(F.col("chunk_count") > 0)
+    whole, last = F.col("chunk_count") - 1, F.ceil(F.col("duration_sec") - (F.col("chunk_count") - 1) * F.col("__step")).cast("long")
+    return rows.select(
+        *recordings.columns, "chunk_count", (whole * F.col("chunk_sec") + last).alias("billable_seconds"),
+        F.when(whole > 0, F.greatest(F.col("chunk_sec").cast("long"), last)).otherwise(last).alias("longest_sec"))
+
+
 def fixed_chunks(recordings: DataFrame) -> DataFrame:
     """Evenly stepped chunks in closed form.
 
     ``recordings``: recording_id, duration_sec, chunk_sec, overlap_sec (whole
     seconds). The step is chunk minus overlap and at least a second.
     """
-    overlap = F.least(F.greatest(F.lit(0), F.col("overlap_sec")), F.greatest(F.lit(0), F.col("chunk_sec") - 1)).cast("long")
-    step = F.greatest(F.lit(1), F.col("chunk_sec") - overlap)
-    n = F.when(F.col("duration_sec") <= 0, 0).when(F.col("duration_sec") <= F.col("chunk_sec"), 1).otherwise(
-        F.ceil((F.col("duration_sec") - F.col("chunk_sec")) / step) + 1).cast("long")
+    n, step = _fixed_steps()
     rows = recordings.select("*", n.alias("__n"), step.alias("__step")).where(F.col("__n") > 0).withColumn(
         "__k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1)))
     start = F.col("__k") * F.col("__step")

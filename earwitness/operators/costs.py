@@ -87,7 +87,12 @@ def cost_preflight(chunks: DataFrame, models: DataFrame, cap_usd: float) -> Data
     """
     jobs = chunks.groupBy("job_id").agg(
         F.count(F.lit(1)).alias("chunk_count"), F.sum(F.ceil("duration_sec")).alias("billable_seconds"),
-        F.max(F.ceil("duration_sec")).alias("__longest"))
+        F.max(F.ceil("duration_sec")).alias("longest_sec"))
+    return preflight_of_totals(jobs, models, cap_usd)
+
+
+def preflight_of_totals(jobs: DataFrame, models: DataFrame, cap_usd: float) -> DataFrame:
+    """The same from one row per recording: job_id, chunk_count, billable_seconds, longest_sec."""
     price, capped = F.col("price_per_minute_usd"), F.col("cost_cap_included")
     estimate = F.col("billable_seconds") * price / 60.0
     guard = F.when(capped, F.col("chunk_count") * price / 60.0).when(price.isNotNull(), F.lit(0.0))
@@ -96,7 +101,7 @@ def cost_preflight(chunks: DataFrame, models: DataFrame, cap_usd: float) -> Data
     return rows.select(
         "job_id", "model_id", "provider_code", "chunk_count", "billable_seconds", "cost_cap_included", "runnable",
         estimate.alias("estimated_cost_usd"), guard.alias("rounding_guard_usd"), budget.alias("run_budget_cap_usd"),
-        (F.col("__longest") * price / 60.0 + F.when(capped, price / 60.0).otherwise(F.lit(0.0))).alias("max_chunk_cost_usd"),
+        (F.col("longest_sec") * price / 60.0 + F.when(capped, price / 60.0).otherwise(F.lit(0.0))).alias("max_chunk_cost_usd"),
         (F.col("runnable") & F.coalesce(budget <= cap_usd + CAP_SLACK, F.lit(False))).alias("within_cap"))
 
 
@@ -111,6 +116,21 @@ def preflight_totals(preflight: DataFrame, cap_usd: float) -> DataFrame:
         (authorization(paid) > cap_usd + CAP_SLACK).alias("over_cap"), "all_runnable")
 
 
+def totals_of_jobs(jobs: DataFrame, models: DataFrame, cap_usd: float) -> DataFrame:
+    """``preflight_totals`` from one row per recording: job_id, billable_seconds.
+
+    The registry meets a recording as one row of arrays, so nothing is grouped by
+    recording again and a task holds no table of them.
+    """
+    registered = route_status(models).agg(
+        F.count(F.lit(1)).alias("__n"), F.bool_and("runnable").alias("all_runnable"),
+        F.array_sort(F.collect_list(F.when(F.col("cost_cap_included"), F.col("price_per_minute_usd")))).alias("__prices"))
+    paid = F.aggregate("__prices", F.lit(0.0), lambda total, price: total + F.col("billable_seconds") * price / 60.0)
+    return jobs.crossJoin(registered.where("__n > 0")).select(
+        "job_id", paid.alias("paid_provider_total_usd"), authorization(paid).alias("paid_authorization_usd"),
+        (authorization(paid) > cap_usd + CAP_SLACK).alias("over_cap"), "all_runnable")
+
+
 def ordered_models(requests: DataFrame) -> DataFrame:
     """Distinct model ids per request in first-asked order, blanks dropped: request_id, position, model_id."""
     asked = requests.withColumn("model_id", F.trim("model_id")).where(F.col("model_id") != "")
@@ -128,24 +148,31 @@ def one_per_provider(models: DataFrame, primary_provider: str) -> DataFrame:
 def execution_plans(jobs: DataFrame, routes: DataFrame, mode: str, cap_usd: float) -> DataFrame:
     """Initial and worst-case cost of one route list for every recording.
 
-    ``jobs``: job_id, duration_minutes. ``routes``: model columns of
-    ``route_status`` plus route_index (0 is primary).
+    ``jobs``: one row per job_id, with duration_minutes. ``routes``: model columns of
+    ``route_status`` plus route_index (0 is primary). A route list is short; it meets
+    a recording as one row of arrays, so nothing is grouped by recording.
     """
     if mode not in ("economy", "recommended", "max_quality"):
         raise ValueError(f"unsupported quality mode {mode!r}")
     used = routes.where(F.col("route_index") == 0) if mode == "economy" else routes
-    estimate = round_exact(F.col("duration_minutes") * F.col("price_per_minute_usd"), 9)
     primary = F.col("route_index") == 0
-    rows = with_every_model(jobs, used).withColumn("__e", estimate)
-    plans = rows.groupBy("job_id").agg(
-        F.count(F.lit(1)).alias("route_count"),
-        F.max(F.when(primary, F.col("__e"))).alias("initial_estimated_cost_usd"),
-        F.bool_and(F.col("__e").isNotNull()).alias("__known"),
-        F.sum(F.when(F.col("cost_cap_included"), F.col("__e"))).alias("__worst"),
+    listed = used.agg(
+        F.count(F.lit(1)).alias("route_count"), F.bool_and(F.col("price_per_minute_usd").isNotNull()).alias("__priced"),
+        F.collect_list(F.when(primary, F.col("price_per_minute_usd"))).alias("__first"),
+        F.array_sort(F.collect_list(F.when(F.col("cost_cap_included"), F.col("price_per_minute_usd")))).alias("__capped"),
         F.bool_or(primary & F.col("runnable")).alias("__primary_ok"), F.bool_and("runnable").alias("__all_ok"),
         F.array_sort(F.collect_list(F.when(~F.col("runnable"), F.struct(
             "route_index", F.concat("provider_code", F.lit(": "), "readiness_reason").alias("why"))))).alias("__why"))
-    first, worst = F.col("initial_estimated_cost_usd"), F.when(F.col("__known"), round_exact(F.coalesce("__worst", F.lit(0.0)), 9))
+    minutes = F.col("duration_minutes")
+
+    def estimate(price: Column) -> Column:
+        return round_exact(minutes * price, 9)
+
+    plans = jobs.crossJoin(listed.where("route_count > 0")).select(
+        "*", F.array_max(F.transform("__first", estimate)).alias("initial_estimated_cost_usd"),
+        (F.col("__priced") & minutes.isNotNull()).alias("__known"),
+        F.aggregate(F.transform("__capped", estimate), F.lit(0.0), lambda total, e: total + F.coalesce(e, F.lit(0.0))).alias("__worst"))
+    first, worst = F.col("initial_estimated_cost_usd"), F.when(F.col("__known"), round_exact(F.col("__worst"), 9))
     first_ok, worst_ok = F.coalesce(first <= cap_usd, F.lit(False)), F.coalesce(worst <= cap_usd, F.lit(False))
     return plans.select(
         "job_id", F.lit(mode).alias("quality_mode"), "route_count", first, worst.alias("maximum_estimated_cost_usd"),

@@ -379,6 +379,28 @@ def test_preflight_budget(spark):
     assert {tuple(r["errors"]) for r in costs.registry_errors(dup).collect()} == {("duplicate model_id",), ("duplicate model_id", "duplicate provider_code"), ("duplicate provider_code",)}
 
 
+def test_totals_without_chunk_rows_and_without_grouping_again(spark):
+    from pyspark.sql import functions as F
+
+    rec = spark.createDataFrame([(f"j{i}", d, c, o) for i, (d, c, o) in enumerate([(0, 300, 4), (300, 300, 4), (301, 300, 4), (896, 300, 4), (897, 300, 4), (7, 2, 5), (50, 7, 0)])],
+                                "job_id string, duration_sec long, chunk_sec int, overlap_sec int")
+    chunks = chunking.fixed_chunks(rec).select("job_id", (F.col("end_sec") - F.col("start_sec")).alias("duration_sec"))
+    models = spark.createDataFrame([("m", "o", "c", 0.006, True, True, True, True, 0), ("free", "p", "f", 0.0, True, True, True, False, 1), ("none", "q", "n", None, True, True, False, True, 2)],
+                                   "model_id string, provider string, provider_code string, price_per_minute_usd double, adapter_ready boolean, gate_enabled boolean, credential_available boolean, cost_cap_included boolean, route_index int")
+    jobs = chunking.fixed_totals(rec)
+    assert sorted(costs.preflight_of_totals(jobs, models, 1.0).collect(), key=str) == sorted(costs.cost_preflight(chunks, models, 1.0).collect(), key=str)
+    totals = costs.totals_of_jobs(jobs, models, 0.005)
+    assert sorted(totals.collect()) == sorted(costs.preflight_totals(costs.cost_preflight(chunks, models, 1.0), 0.005).collect())
+    minutes = rec.select("job_id", (F.col("duration_sec") / 60).alias("duration_minutes"))
+    plans = costs.execution_plans(minutes, costs.route_status(models), "max_quality", 0.5)
+    for out in (totals, plans):  # one row of the registry, and no aggregate by recording
+        assert "keys=[job_id" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {r["job_id"]: r for r in plans.collect()}
+    assert got["j6"]["route_count"] == 3 and got["j6"]["initial_estimated_cost_usd"] == 0.005 and got["j6"]["maximum_estimated_cost_usd"] is None
+    assert got["j6"]["mode_readiness_reasons"] == "n: Provider credential is not available in the server environment."
+    assert costs.execution_plans(minutes, costs.route_status(models).where("false"), "max_quality", 0.5).count() == 0
+
+
 def test_every_row_meets_every_model(spark):
     jobs = spark.createDataFrame([(f"j{i}",) for i in range(9)], "job_id string")
     models = spark.createDataFrame([(f"m{i}", i) for i in range(7)], "model_id string, p int")
