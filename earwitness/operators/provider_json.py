@@ -53,8 +53,8 @@ def _turns(text: Column, annotations: Column) -> Column:
             F.sequence(F.lit(1), F.size(w)),
             lambda i: (i == 1) | (name(F.try_element_at(w, i)) != name(F.try_element_at(w, F.greatest(F.lit(1), i - 1)))))
 
-        def turn(s: Column, k: Column) -> Column:
-            stop = F.coalesce(F.try_element_at(starts, k + 2), F.size(w) + 1)
+        def turn(at: Column, s: Column, k: Column) -> Column:
+            stop = F.coalesce(F.try_element_at(at, k + 2), F.size(w) + 1)
             first, last = F.try_element_at(w, s), F.try_element_at(w, stop - 1)
             span = utf8_span(text, first["start_index"], last["end_index"])
             joined = join_words(F.transform(F.slice(w, s, stop - s), lambda a: F.coalesce(a["text"], a["word"])))
@@ -62,7 +62,7 @@ def _turns(text: Column, annotations: Column) -> Column:
                 F.coalesce(span, joined).alias("text"), F.nullif(name(first), F.lit("")).alias("speaker"),
                 seconds_text(first["start_offset"]).alias("start_sec"), seconds_text(last["end_offset"]).alias("end_sec"))
 
-        return F.when(F.size(w) > 0, F.transform(starts, turn)).otherwise(F.array().cast(f"array<{CANONICAL}>"))
+        return F.when(F.size(w) > 0, let(starts, lambda at: F.transform(at, lambda s, k: turn(at, s, k)))).otherwise(F.array().cast(f"array<{CANONICAL}>"))
 
     return let(words, cut)
 
@@ -185,19 +185,22 @@ def native_timing(payloads: DataFrame) -> DataFrame:
     ``payloads``: job_id, chunk_filename, chunk_start_sec, chunk_duration_sec, raw.
     Times are never inferred or clamped.
     """
-    v = F.try_parse_json("raw")
+    v = F.col("__v")
 
     def items(name: str) -> Column:
         found = F.coalesce(F.try_variant_get(v, f"$.{name}", "array<variant>"), F.array().cast("array<variant>"))
         return F.transform(found, lambda x, i: F.struct(F.lit(name).alias("collection"), i.cast("long").alias("index"), x.alias("item")))
 
-    rows = payloads.select(*[c for c in payloads.columns if c != "raw"], F.inline(F.concat(items("words"), items("segments"))))
+    # Each step is its own projection: parsed once, and each time read once.
+    parsed = payloads.withColumn("__v", F.try_parse_json("raw"))
+    rows = parsed.select(*[c for c in payloads.columns if c != "raw"], F.inline(F.concat(items("words"), items("segments"))))
 
     def pick(*names: str) -> Column:
         return F.coalesce(*[F.try_variant_get("item", f"$.{n}", "variant") for n in names])
 
     rows = rows.withColumns({"s": pick("start", "start_sec", "startOffset", "start_offset"), "e": pick("end", "end_sec", "endOffset", "end_offset")})
-    start, end = seconds(F.col("s")), seconds(F.col("e"))
+    rows = rows.withColumns({"local_start_sec": seconds(F.col("s")), "local_end_sec": seconds(F.col("e"))})
+    start, end = F.col("local_start_sec"), F.col("local_end_sec")
     outside = (start < 0) | (end <= start) | (end > F.col("chunk_duration_sec") + EPSILON)
     spot = F.concat("collection", F.lit("["), F.col("index").cast("string"), F.lit("] omitted: "))
     warning = (
@@ -208,7 +211,7 @@ def native_timing(payloads: DataFrame) -> DataFrame:
     return rows.select(
         "job_id", "chunk_filename", "collection", "index",
         F.coalesce(*[F.try_variant_get("item", f"$.{n}", "string") for n in ("word", "text", "display")], F.lit("")).alias("text"),
-        start.alias("local_start_sec"), end.alias("local_end_sec"),
+        start, end,
         (F.col("chunk_start_sec") + start).alias("global_start_sec"), (F.col("chunk_start_sec") + end).alias("global_end_sec"),
         F.try_variant_get("s", "$", "string").alias("provider_start"), F.try_variant_get("e", "$", "string").alias("provider_end"),
         label.alias("speaker"), F.col("item").alias("raw"), warning.alias("warning"))
@@ -220,16 +223,18 @@ def timing_capability(timed: DataFrame, requested: DataFrame) -> DataFrame:
     ``requested``: job_id, chunk_filename, timing_requested. One chunk's distinct speakers are few.
     """
     keys = ["job_id", "chunk_filename"]
-    good = timed.where(F.col("warning").isNull())
-    n = good.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    # The timed rows are read once, and no filter goes back through the reading of the times.
     rank = F.struct(F.when(F.col("collection") == "words", 0).otherwise(1).alias("c"), F.col("index").alias("i"))
-    named = good.withColumn("speaker", F.nullif(strip(F.col("speaker")), F.lit(""))).where("speaker IS NOT NULL")
-    firsts = named.groupBy(*keys, "speaker").agg(F.min(rank).alias("__at"))
-    names = firsts.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("__at", "speaker"))), lambda x: x["speaker"]).alias("provider_speaker_ids"))
-    rows = requested.join(n, keys, "left").join(names, keys, "left")
+    named = timed.withColumn("speaker", F.nullif(strip(F.col("speaker")), F.lit("")))
+    firsts = named.groupBy(*keys, "speaker").agg(F.min(F.when(F.col("warning").isNull(), rank)).alias("__at"))
+    good = F.col("__at").isNotNull()
+    heard = F.when(good & F.col("speaker").isNotNull(), F.struct("__at", "speaker"))
+    names = firsts.groupBy(*keys).agg(
+        F.bool_or(good).alias("__good"), F.transform(F.array_sort(F.collect_list(heard)), lambda x: x["speaker"]).alias("provider_speaker_ids"))
+    rows = requested.join(names, keys, "left")
     ids = F.coalesce("provider_speaker_ids", F.array().cast("array<string>"))
     return rows.select(
-        *keys, F.when(F.coalesce("__n", F.lit(0)) > 0, "available").when(F.col("timing_requested"), "requested_but_not_returned")
+        *keys, F.when(F.col("__good"), "available").when(F.col("timing_requested"), "requested_but_not_returned")
         .otherwise("not_requested").alias("capability_status"), ids.alias("provider_speaker_ids"), F.size(ids).alias("speaker_count"))
 
 

@@ -86,3 +86,19 @@ def test_envelopes(spark):
 def test_sql_functions(spark):
     register_sql_functions(spark)
     assert spark.sql("SELECT seq_ratio('abcd', 'bcde') AS r, nfkc_casefold('Straße') AS f").first() == (0.75, "strasse")
+
+
+def test_timings_are_read_once_and_byte_spans_are_not_added_up_again(spark):
+    from earwitness.catalog import all_queries
+    from earwitness.operators import provider_json as pj
+
+    raw = '{"words": [{"text": "a", "start": 1, "end": 2, "speaker": "x"}, {"text": "b", "start": 9, "end": 99, "speaker": "y"}, {"text": "c", "start": 3, "end": 4}], "segments": [{"text": "d", "start": "1s", "end": "4s", "speaker": " z "}]}'
+    late = '{"words": [{"text": "b", "start": 9, "end": 99, "speaker": "y"}]}'
+    p = spark.createDataFrame([("j", "c1", 10.0, 5.0, raw), ("j", "c2", 10.0, 5.0, late)], "job_id string, chunk_filename string, chunk_start_sec double, chunk_duration_sec double, raw string")
+    asked = spark.createDataFrame([("j", "c1", True), ("j", "c2", True), ("j", "c3", False)], "job_id string, chunk_filename string, timing_requested boolean")
+    out = pj.timing_capability(pj.native_timing(p), asked)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Generate inline") == 1
+    got = {r["chunk_filename"]: tuple(r)[2:] for r in out.collect()}
+    assert got == {"c1": ("available", ["x", "z"], 2), "c2": ("requested_but_not_returned", [], 0), "c3": ("not_requested", [], 0)}
+    plan = all_queries()["parts_turns"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(slice(" not in plan and "lambdafunction((octet_length" not in plan
