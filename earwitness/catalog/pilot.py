@@ -41,9 +41,16 @@ def outcomes(spark, sf):
 def ledger(spark, sf):
     """Chained rows; one event in a hundred names a wrong predecessor."""
     rows = t.events(spark, sf).select(
-        F.format_string("%d-%d", "user_id", F.floor(F.col("k") / 10).cast("long")).alias("job_id"), F.col("event_id").alias("seq"), "cents", "k",
-        F.sha2(F.format_string('{"cents":%d,"event_id":%d}', "cents", "event_id"), 256).alias("event_sha256"))
-    linked = scan(rows, ["job_id"], ["seq"], slice_of("seq", 100_000), previous={"before": F.col("event_sha256")})
+        F.format_string("%d-%d", "user_id", F.floor(F.col("k") / 10).cast("long")).alias("job_id"), F.col("event_id").alias("seq"), "cents", "k")
+
+    def digest(cents, seq):
+        return F.sha2(F.format_string('{"cents":%d,"event_id":%d}', cents, seq), 256)
+
+    # Facts are moved, not hashes: four times smaller.
+    placed = scan(rows, ["job_id"], ["seq"], slice_of("seq", 100_000), previous={"last": F.struct("cents", "seq")})
+    linked = placed.select(
+        "job_id", "seq", "cents", "k", digest("cents", "seq").alias("event_sha256"),
+        F.when(F.col("last").isNotNull(), digest("last.cents", "last.seq")).alias("before"))
     return linked.withColumn("previous_event_sha256", F.when((F.col("k") == 13) & (F.col("cents") > 9000), "tampered").otherwise(F.col("before")))
 
 

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from earwitness.functions.numbers import round_exact
 from earwitness.functions.hashing import canonical_json, sha256_text
 from earwitness.functions.text import let
 from earwitness.operators.latest import latest
-from earwitness.operators.scan import scan
+from earwitness.operators.scan import BUCKET
 from earwitness.session import cut_lineage
 
 # The input contract.
@@ -157,13 +157,23 @@ def chain_report(events: DataFrame, bucket: Column, recomputed: Column) -> DataF
     ``events``: job_id, seq, previous_event_sha256, event_sha256. ``bucket`` slices
     seq so that a long ledger is checked in parallel; only neighbours meet.
     """
-    placed = scan(
-        events.withColumn("__want", recomputed), ["job_id"], ["seq"], bucket, row_number="__no",
-        previous={"__before": F.col("event_sha256")})
-    bad = ~F.col("previous_event_sha256").eqNullSafe(F.col("__before")) | ~F.col("event_sha256").eqNullSafe(F.col("__want"))
-    out = placed.groupBy("job_id").agg(
-        F.count(F.lit(1)).alias("event_count"), F.min(F.when(bad, F.col("__no") - 1)).alias("invalid_index"),
-        F.max_by("event_sha256", "seq").alias("__last"))
+    rows = events.select(
+        "job_id", "seq", bucket.alias(BUCKET), "previous_event_sha256", "event_sha256", F.col("event_sha256").eqNullSafe(recomputed).alias("__own"))
+    inner, order = Window.partitionBy("job_id", BUCKET).orderBy("seq"), Window.partitionBy("job_id").orderBy(BUCKET)
+    placed = rows.select("*", F.row_number().over(inner).alias("__no"), F.lag("event_sha256").over(inner).alias("__before"))
+    # The first of a slice is held against the last of the slice before, one row a slice.
+    bad = ~F.col("__own") | ((F.col("__no") > 1) & ~F.col("previous_event_sha256").eqNullSafe(F.col("__before")))
+    slices = placed.groupBy("job_id", BUCKET).agg(
+        F.count(F.lit(1)).alias("__n"), F.min(F.when(bad, F.col("__no"))).alias("__bad"),
+        F.min_by(F.struct("previous_event_sha256"), "seq").alias("__first"), F.max_by(F.struct("event_sha256"), "seq").alias("__last"))
+    met = slices.select(
+        "*", F.lag("__last").over(order)["event_sha256"].alias("__before"),
+        F.coalesce(F.sum("__n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__earlier"))
+    apart = ~F.col("__first.previous_event_sha256").eqNullSafe(F.col("__before"))
+    at = F.when(apart, F.lit(1)).otherwise(F.col("__bad"))
+    out = met.groupBy("job_id").agg(
+        F.sum("__n").alias("event_count"), F.min(F.col("__earlier") + at - 1).alias("invalid_index"),
+        F.max_by("__last", BUCKET)["event_sha256"].alias("__last"))
     ok = F.col("invalid_index").isNull()
     return out.select("job_id", ok.alias("ok"), "event_count", "invalid_index", F.when(ok, F.col("__last")).alias("latest_event_sha256"))
 

@@ -102,3 +102,23 @@ def test_timings_are_read_once_and_byte_spans_are_not_added_up_again(spark):
     assert got == {"c1": ("available", ["x", "z"], 2), "c2": ("requested_but_not_returned", [], 0), "c3": ("not_requested", [], 0)}
     plan = all_queries()["parts_turns"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "aggregate(slice(" not in plan and "lambdafunction((octet_length" not in plan
+
+
+def test_a_chain_is_checked_over_slices_without_joining_its_events(spark):
+    from pyspark.sql import functions as F
+    from earwitness.operators import pilot
+    from earwitness.operators.scan import slice_of
+
+    rows, want = [], {}
+    for job, wrong in (("a", None), ("b", 0), ("c", 4), ("d", 3), ("e", 7), ("f", 5)):
+        before = None
+        for i in range(8):  # slices of three: 0-2, 3-5, 6-7
+            named = "tampered" if i == wrong and job != "f" else before
+            rows.append((job, i, named, f"{job}{i}", f"{job}{i}" if job != "f" or i != wrong else "other"))
+            before = f"{job}{i}"
+        want[job] = (wrong is None, 8, wrong, before if wrong is None else None)
+    df = spark.createDataFrame(rows, "job_id string, seq long, previous_event_sha256 string, event_sha256 string, again string")
+    for width in (1, 3, 100):
+        out = pilot.chain_report(df, slice_of("seq", width), F.col("again"))
+        assert {r[0]: tuple(r)[1:] for r in out.collect()} == want
+        assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
