@@ -13,11 +13,16 @@ are verified on the exact sets.
 
 Documents with equal sets are one class, and everything after the first scan
 works on classes. Buckets with equal members count once. Small buckets give their
-pairs. Of its large buckets a class first stands in the few that it picks by a hash
-of the key, as near copies do alike, and is compared there in blocks of sketches
-along a spanning forest; then in all those whose members are still apart. No pair that
-could join two components goes unverified, and no group is expanded into all
-its pairs. Fixed-size bitmaps keep rows that can't matter out of shuffles.
+pairs. A set of ``u`` keys shares all but ``differ`` of them with each set it is
+linked to, so two of the shared ones are among its first ``differ + 2`` in any order
+that holds for all sets. With keys of small buckets first, a class needs to stand in
+few large ones, and in none if it shares only a passage. Of those it first picks a
+few by a hash of the key, as near copies do alike, and is compared there along a
+spanning forest, its block of sketches within itself and with the bucket's first;
+then it stands in all those whose members are still apart, where members of the
+largest component meet the others only. No pair that could join two components
+goes unverified, and no group is expanded into all its pairs. Fixed-size bitmaps
+keep rows that can't matter out of shuffles.
 """
 
 from __future__ import annotations
@@ -131,6 +136,21 @@ def chunk_keys(bits: bytes, band: int, percent: int) -> np.ndarray:
     return (key >> np.uint64(8)) | (np.uint64(band) << np.uint64(56))
 
 
+def keys_needed(bits: bytes, band: int, size: int, percent: int) -> int:
+    """How many keys of a sketch, first in an order of all keys, hold two that any linked set of the band has as well.
+
+    A linked set differs from one of ``size`` in no more chunks than in shingles, and
+    below the set's own band it is no larger than that band allows. Sketches
+    that give unused chunks too need all their keys.
+    """
+    if np.count_nonzero(np.frombuffer(bits, np.uint32)) < band_chunks(band, percent)[0] + 2:
+        return len(bits) // 4
+    other = size * 100 // percent
+    if size >= EDGES[band + 1]:
+        other = min(other, EDGES[band + 1] - 1)
+    return (size + other) * (100 - percent) // (100 + percent) + 2
+
+
 def _word_memo() -> Memo:
     return Memo(xxhash.xxh3_64_intdigest)
 
@@ -173,14 +193,21 @@ def _picked(key: np.ndarray, picks: int) -> np.ndarray:
         return key[np.unique([np.argmin(_mix(key ^ (_ODD[0][k % 3] * np.uint64(k + 1)))) for k in range(picks)])] if len(key) > picks else key
 
 
-def _chunk_rows(batches, percent: int, within: Broadcast | None = None, without: Broadcast | None = None, picks: int | None = None, keep: tuple[str, ...] = ("node",)):
-    """A row (key, ``keep``) for each key of each sketch that may be in the one bitmap and is not in the other; of ``picks`` of them, if given."""
+def _chunk_rows(batches, percent: int, within: Broadcast | None = None, without: Broadcast | None = None, large: Broadcast | None = None, picks: int | None = None, keep: tuple[str, ...] = ("node",)):
+    """A row (key, ``keep``) for each key of each sketch that may be in the one bitmap and is not in the other.
+
+    With ``large`` for those that may be in it and are needed, if it comes last in the order of keys;
+    of ``picks`` of them, if given.
+    """
     for batch in batches:
         keys, counts = [np.empty(0, np.uint64)], []
-        for sketches in batch.column("sketches").to_pylist():
+        for size, sketches in zip(batch.column("n").to_pylist(), batch.column("sketches").to_pylist(), strict=True):
             count = 0
             for s in sketches:
                 key = chunk_keys(s["bits"], s["band"], percent)
+                if large is not None:
+                    last = np.sort(key[maybe_in(large.value, key)])
+                    key = last[: max(0, keys_needed(s["bits"], s["band"], size, percent) - (len(key) - len(last)))]
                 if within is not None:
                     key = key[maybe_in(within.value, key)]
                 if without is not None:
@@ -264,12 +291,28 @@ def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, words: int, pe
     return pairs.select("a", "b", "a_fp", "b_fp").join(left, "a_fp").join(right, "b_fp").where(both * 100 >= (F.size("x") + F.size("y") - both) * percent).select("a", "b")
 
 
-def _in_blocks(hot: DataFrame, size: Column) -> DataFrame:
-    """Every member of a large bucket, once for each pair of blocks that its own block is part of."""
-    blocks = F.ceil(size / BLOCK).cast("int")
-    dealt = hot.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int"))
-    other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return other.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+def _blocks(size: Column) -> Column:
+    return F.ceil(size / BLOCK).cast("int")
+
+
+def _block_pairs(hot: DataFrame, first: Column, blocks: Column, others: Column) -> DataFrame:
+    """Every member of a large bucket, dealt over ``blocks`` from ``first`` on, once for each pair of its block and one of ``others``."""
+    dealt = hot.withColumn("block", (first + F.pmod(F.xxhash64("node", "key"), blocks)).cast("int")).withColumn("other", F.explode(others))
+    return dealt.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+
+
+def _near_first(hot: DataFrame) -> DataFrame:
+    """Members of large buckets in pairs of blocks: each block with itself and with the bucket's first."""
+    blocks, block = _blocks(F.col("size")), F.col("block")
+    others = F.when(block == 0, F.sequence(F.lit(0), blocks - 1)).when(block > 0, F.array(F.lit(0), block))
+    return _block_pairs(hot, F.lit(0), blocks, others)
+
+
+def _near_others(hot: DataFrame) -> DataFrame:
+    """Members of large buckets in pairs of blocks: those outside the bucket's largest component with all, the rest with those only."""
+    outside, inside = _blocks(F.col("size") - F.col("most")), _blocks(F.col("most"))
+    main = F.col("root") == F.col("main")
+    return _block_pairs(hot, F.when(main, outside).otherwise(0), F.when(main, inside).otherwise(outside), F.sequence(F.lit(0), F.when(main, outside).otherwise(outside + inside) - 1))
 
 
 def classes(docs: DataFrame, id_col: str, words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -288,12 +331,12 @@ def classes(docs: DataFrame, id_col: str, words: int = WORDS, percent: int = PER
     slim = reps.select("node", "fp", "label")
 
     def chunks(of: DataFrame = reps, keep: tuple[str, ...] = ("node",), **which) -> DataFrame:
-        return of.select(*keep, "sketches").mapInArrow(partial(_chunk_rows, percent=percent, keep=keep, **which), ", ".join(["key long", *(f"{c} long" for c in keep)]))
+        return of.select(*keep, "n", "sketches").mapInArrow(partial(_chunk_rows, percent=percent, keep=keep, **which), ", ".join(["key long", *(f"{c} long" for c in keep)]))
 
     def in_buckets(members: DataFrame, buckets: DataFrame) -> DataFrame:
         """Members of ``buckets(key, size, x, y)`` with their sketches; of buckets with equal members one stays."""
-        single = buckets.groupBy("size", "x", "y", F.shiftright("key", 56).alias("band")).agg(F.min("key").alias("key"))
-        return members.join(single.select("key", "size", "band"), "key").join(bits, ["node", "band"])
+        single = buckets.groupBy(*(c for c in buckets.columns if c != "key"), F.shiftright("key", 56).alias("band")).agg(F.min("key").alias("key"))
+        return members.join(single.drop("x", "y"), "key").join(bits, ["node", "band"])
 
     told_apart = F.count("*").alias("size"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")
     bits = reps.select("node", "n", F.explode("sketches").alias("s")).select("node", "n", F.col("s.band").alias("band"), F.col("s.bits").alias("bits"))
@@ -308,9 +351,9 @@ def classes(docs: DataFrame, id_col: str, words: int = WORDS, percent: int = PER
     nearest = small.groupBy("b").agg(F.min_by("a", F.struct(-F.col("weight"), F.col("a"))).alias("a")).select("a", "b")
 
     # Near copies pick the same large buckets mostly, so these few rows connect nearly all of a group.
-    picked = cut_lineage(chunks(within=large, picks=PICKED))
+    picked = cut_lineage(chunks(large=large, picks=PICKED))
     hot = in_buckets(picked, picked.groupBy("key").agg(*told_apart).where("size > 1"))
-    forest = _in_blocks(hot, F.col("size")).groupBy("key", "i", "j").applyInArrow(lambda t: _forest(t, percent), "a long, b long")
+    forest = _near_first(hot).groupBy("key", "i", "j").applyInArrow(lambda t: _forest(t, percent), "a long, b long")
     first = cut_lineage(nearest.union(forest).distinct())
     links = cut_lineage(_verified(first, reps, docs, words, percent))
 
@@ -318,15 +361,16 @@ def classes(docs: DataFrame, id_col: str, words: int = WORDS, percent: int = PER
     root = cut_lineage(roots(links))
     ends = [root.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")) for c in ("a", "b")]
     apart = small.join(ends[0], "a", "left").join(ends[1], "b", "left").where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
-    placed = cut_lineage(reps.join(root, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "sketches"))
-    ranges = chunks(placed, ("node", "root"), within=large).groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), *told_apart)
-    mixed = cut_lineage(ranges.where("lo <> hi").drop("lo", "hi"))
-    large.destroy()
+    placed = cut_lineage(reps.join(root, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "n", "sketches"))
+    shares = chunks(placed, ("node", "root"), large=large).groupBy("key", "root").agg(*told_apart)
+    buckets = shares.groupBy("key").agg(F.sum("size").alias("size"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"), F.max("size").alias("most"), F.max_by("root", F.struct("size", "root")).alias("main"))
+    mixed = cut_lineage(buckets.where("size > most"))
     (some,) = bitmaps(mixed, "key", F.lit(True), bits=MAP_BITS)
-    again = in_buckets(chunks(placed, ("node", "root"), within=some), mixed)
-    across = _in_blocks(again, F.col("size")).groupBy("key", "i", "j").applyInArrow(lambda t: _across(t, percent), "a long, b long")
+    again = in_buckets(chunks(placed, ("node", "root"), large=large, within=some), mixed)
+    across = _near_others(again).groupBy("key", "i", "j").applyInArrow(lambda t: _across(t, percent), "a long, b long")
     rest = cut_lineage(apart.union(across).distinct().join(first, ["a", "b"], "left_anti"))
     some.destroy()
+    large.destroy()
     if not rest.isEmpty():
         links = links.union(_verified(rest, reps, docs, words, percent))
     linked = slim.join(roots(links), "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -4,8 +4,10 @@ import itertools
 import math
 import random
 import re
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from earwitness.llm import caps, components, jaccard
@@ -72,6 +74,57 @@ def test_components_equal_brute_force(spark, words, percent, monkeypatch):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i in sets if want[i] == i)
 
 
+def test_rows_compared_grow_with_the_group(spark, monkeypatch):
+    """Near copies, some of them too far from most; and texts that share no more than a passage."""
+    monkeypatch.setattr(jaccard, "SMALL", 6)
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    grouped = type(spark.range(1).groupBy("id"))
+    apply, compared = grouped.applyInArrow, []
+    monkeypatch.setattr(grouped, "applyInArrow", lambda self, *args: compared.append(self._df.count()) or apply(self, *args))
+
+    def rows(texts):
+        compared.clear()
+        sets = {i: shingles(t, 5) for i, t in enumerate(texts)}
+        links = [(a, b) for a, b in itertools.combinations(sets, 2) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+        got = {r.doc_id: r.component_id for r in jaccard.components(df, "doc_id", 5, 80).collect()}
+        assert got == smallest(list(sets), links)
+        return list(compared)
+
+    rng = random.Random(8)
+    base = [f"x{k}" for k in range(148)]
+    apart = [" ".join(f"y{k}" if i in at else w for i, w in enumerate(base)) for k in range(5) for at in [rng.sample(range(5, 143, 7), 4)]]
+    near = apart + [edited(rng, base, 1) for _ in range(235)]
+    less, more = rows(near[:120]), rows(near)
+    assert [0 < y <= 3 * x for x, y in zip(less, more, strict=True)] == [True, True], (less, more)
+    assert rows([" ".join(base[:44] + [f"own{rng.randrange(10**9)}" for _ in range(104)]) for _ in range(100)]) == [0, 0]
+
+
+@pytest.mark.parametrize("percent", [60, 80, 90, 95])
+def test_linked_sets_meet_in_the_keys_needed(percent):
+    """Whatever keys are in large buckets: two shared ones are not, or one of them is needed by both sets."""
+    rng = np.random.default_rng(percent)
+    for size in [*range(1, 60), 90, 94, 140, 141, 150, 400, 1500]:
+        for grow in (0, size * (100 - percent) // percent):
+            a = np.unique(rng.integers(0, 2**63, size).astype(np.uint64))
+            if grow:
+                b = np.unique(np.concatenate([a, rng.integers(0, 2**63, grow).astype(np.uint64)]))
+            else:
+                swaps = size * (100 - percent) // (100 + percent)
+                b = np.unique(np.concatenate([a[swaps:], rng.integers(0, 2**63, swaps).astype(np.uint64)]))
+            if np.array_equal(a, b):
+                continue
+            for share in (0.2, 0.7, 1):
+                words = np.where(rng.random((1 << 14, 64)) < share, np.uint64(1) << np.arange(64, dtype=np.uint64), np.uint64(0)).sum(1, dtype=np.uint64)
+                small, large = [], []
+                for s in (a, b):
+                    sketches = [{"band": k, "bits": jaccard.sketch(s, k, percent)} for k in jaccard.bands_of(len(s), percent) if jaccard.band_chunks(k, percent)[1]]
+                    batch = pa.RecordBatch.from_pylist([{"node": 1, "n": len(s), "sketches": sketches}])
+                    large += [k.column("key").to_numpy() for k in jaccard._chunk_rows([batch], percent, large=SimpleNamespace(value=words))]
+                    small += [k.column("key").to_numpy() for k in jaccard._chunk_rows([batch], percent, without=SimpleNamespace(value=words))]
+                assert len(np.intersect1d(*small)) >= 2 or len(np.intersect1d(*large)) >= 1
+
+
 def test_null_and_repeated_ids(spark):
     rows = [(None, "a b c d e f"), (None, "a b c d e f"), (4, "a b c d e f"), (4, "a b c d e f"), (9, "p q r s t u"), (9, "other words are in this text"), (None, "only null ids have this text"), (None, None), (3, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
