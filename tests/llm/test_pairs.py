@@ -185,6 +185,13 @@ def test_roots_of_chains_and_stars(spark):
     assert all((got[a] == got[b]) == (want[a] == want[b]) for a, b in itertools.combinations(sorted(nodes), 2))
 
 
+def test_size_estimates_do_not_grow_with_the_rounds(spark):
+    ids = random.Random(6).sample(range(1000), 40)
+    found = components.roots(spark.createDataFrame(list(itertools.pairwise(ids)), "a long, b long"))
+    assert {(r.node, r.root) for r in found.collect()} == {(k, found.first().root) for k in ids}
+    assert int(found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()).bit_length() < 64
+
+
 def brute_links(rows, cosine):
     def unit(v):
         if not v or any(x is None or not math.isfinite(x) for x in v) or not any(v):
